@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,6 +54,7 @@ def drop_table(df: DataFrame) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, line_dedup, mixing, token_counts
+from . import bitplanes, langid, line_dedup, mixing, simhash, token_counts
 from .common import read
 
 
@@ -14,6 +14,8 @@ QUERIES = {
     "op2_token_counts": _on("documents", token_counts.histogram),
     "op3_line_dedup": _on("documents", line_dedup.deduped),
     "op5_token_planes": _on("documents", bitplanes.digests),
+    "op7_language_bitmasks": _on("documents", langid.identify),
+    "op8_simhash_anchors": _on("documents", simhash.classes),
     "op9_mix_sources": _on("documents", mixing.mixed_sizes),
 }
 
