@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, langid, line_dedup, mixing, simhash, token_counts
+from . import ann, bitplanes, langid, line_dedup, mixing, simhash, token_counts
 from .common import read
 
 
@@ -13,6 +13,7 @@ def _on(table, make):
 QUERIES = {
     "op2_token_counts": _on("documents", token_counts.histogram),
     "op3_line_dedup": _on("documents", line_dedup.deduped),
+    "op4_stable_projections": _on("embeddings", ann.neighbours),
     "op5_token_planes": _on("documents", bitplanes.digests),
     "op7_language_bitmasks": _on("documents", langid.identify),
     "op8_simhash_anchors": _on("documents", simhash.classes),
