@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bitplanes, langid, line_dedup, mixing, simhash, token_counts
+from . import ann, bitplanes, langid, line_dedup, mixing, secrets, simhash, token_counts
 from .common import read
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op3_line_dedup": _on("documents", line_dedup.deduped),
     "op4_stable_projections": _on("embeddings", ann.neighbours),
     "op5_token_planes": _on("documents", bitplanes.digests),
+    "op6_linked_secrets": _on("documents", secrets.report),
     "op7_language_bitmasks": _on("documents", langid.identify),
     "op8_simhash_anchors": _on("documents", simhash.classes),
     "op9_mix_sources": _on("documents", mixing.mixed_sizes),
