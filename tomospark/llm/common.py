@@ -61,3 +61,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of WORD matches, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def whole_groups(batches, key: list[str], least: int = 50_000):
+    """Tables of whole groups of batches that are sorted by key, of least rows or more each."""
+    import pyarrow as pa
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        last = [table.column(k)[-1].as_py() for k in key]
+        cut = table.num_rows
+        while cut and all(table.column(k)[cut - 1].as_py() == x for k, x in zip(key, last, strict=True)):
+            cut -= 1
+        if cut:
+            yield table.slice(0, cut)
+            table = table.slice(cut)
+        held, rows = table.to_batches(), 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

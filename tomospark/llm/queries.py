@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bitplanes, langid, line_dedup, mixing, secrets, simhash, token_counts
+from . import ann, bitplanes, langid, line_dedup, mixing, secrets, simhash, suffix_dedup, token_counts
 from .common import read
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op7_language_bitmasks": _on("documents", langid.identify),
     "op8_simhash_anchors": _on("documents", simhash.classes),
     "op9_mix_sources": _on("documents", mixing.mixed_sizes),
+    "op10_suffix_sort": _on("documents", suffix_dedup.digests),
 }
 
 ORACLES = {

@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import whole_groups, write_table
 from .components import components
 
 THRESHOLD = 4
@@ -180,29 +180,6 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> Dat
     return placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "u long, v long")
 
 
-def whole_groups(batches, key: list[str], least: int = 50_000):
-    """Tables of whole groups of batches that are sorted by key, of least rows or more each."""
-    import pyarrow as pa
-
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < least:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        last = [table.column(k)[-1].as_py() for k in key]
-        cut = table.num_rows
-        while cut and all(table.column(k)[cut - 1].as_py() == x for k, x in zip(key, last, strict=True)):
-            cut -= 1
-        if cut:
-            yield table.slice(0, cut)
-            table = table.slice(cut)
-        held, rows = table.to_batches(), 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def near_dups(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
     """doc_id, fp (signed long) and component_id for each row of docs."""
     prints = write_table(fingerprints(docs, shingle), "prints")
