@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bitplanes, langid, line_dedup, mixing, secrets, simhash, suffix_dedup, token_counts
+from . import ann, bitplanes, decontam, langid, line_dedup, mixing, secrets, simhash, suffix_dedup, token_counts
 from .common import read
 
 
@@ -10,7 +10,12 @@ def _on(table, make):
     return lambda spark, sf_dir: make(read(spark, sf_dir, table))
 
 
+def _leaks(spark, sf_dir):
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_cgk_decontamination": _leaks,
     "op2_token_counts": _on("documents", token_counts.histogram),
     "op3_line_dedup": _on("documents", line_dedup.deduped),
     "op4_stable_projections": _on("embeddings", ann.neighbours),
