@@ -119,8 +119,8 @@ def write_corpus(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
             return pa.RecordBatch.from_pylist([{"shard": shard, "seg": seg, "first": first, "n_ids": len(ids), "doc_ids": doc_ids, "lens": lens, "blob": encode(ids, unit)}], schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 parts.append(ids)
                 doc_ids.append(doc_id)
                 lens.append(len(ids) // 4)
