@@ -111,23 +111,26 @@ def write_corpus(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
         from pyspark import TaskContext
 
         schema = pa.schema([("shard", pa.int32()), ("seg", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("blob", pa.binary())])
-        enc, shard, end = encoder(path), TaskContext.get().partitionId(), struct.pack("<I", end_id)
+        enc, shard, end = encoder(path), TaskContext.get().partitionId(), np.array([end_id], "<u4")
         seg, first, size, doc_ids, lens, parts = 0, 0, 0, [], [], []
 
         def flush():
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             return pa.RecordBatch.from_pylist([{"shard": shard, "seg": seg, "first": first, "n_ids": len(ids), "doc_ids": doc_ids, "lens": lens, "blob": encode(ids, unit)}], schema)
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                parts.append(ids)
-                doc_ids.append(doc_id)
-                lens.append(len(ids) // 4)
-                size += len(ids) // 4
-                if size >= segment:
-                    yield flush()
-                    seg, first, size, doc_ids, lens, parts = seg + 1, first + size, 0, [], [], []
+            names = iter(batch.column(0).to_pylist())
+            for counts, flat in enc.slices(batch.column(1)):
+                at = 0
+                for n in counts.tolist():
+                    parts += [flat[at : at + n], end]
+                    doc_ids.append(next(names))
+                    lens.append(n + 1)
+                    at += n
+                    size += n + 1
+                    if size >= segment:
+                        yield flush()
+                        seg, first, size, doc_ids, lens, parts = seg + 1, first + size, 0, [], [], []
         if doc_ids:
             yield flush()
 

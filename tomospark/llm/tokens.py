@@ -1,20 +1,21 @@
-"""Encoding of whole texts with a public tokenizer, memoised by word.
+"""Encoding of whole texts with a public tokenizer, by distinct words.
 
 word_bpe_49k drops white space and looks at nothing beyond it, so a text's ids are its words' ids in
-order (a test compares this with whole-text encoding). Words are kept in a bounded memo. A new word of
-Latin letters, with or without one full stop or comma, is cut there as the pre-tokenizer does and
-given to the library's BPE model itself; all others pass the whole tokenizer.
+order (a test compares this with whole-text encoding). Arrow cuts a slice of texts into words and numbers the
+distinct ones; each is encoded once and the ids are gathered by number. Words of Latin-1 letters,
+with or without one full stop or comma, are cut there as the pre-tokenizer does and given to the
+library's BPE model itself; all others pass the whole tokenizer. Words seen are kept in bounded memos.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 
 END_ID = 2
-#: After lower-casing: letters of Latin-1, which normalisation leaves alone and which stay together.
-PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)")
+#: Letters of Latin-1, which normalisation leaves alone and which stay together, and one mark or none.
+PLAIN = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<end>[.,]?)$"
+SLICE_BYTES = 8_000_000
 _encoders: dict = {}
 
 
@@ -32,53 +33,78 @@ def byte_letters() -> dict[int, int]:
 
 
 class WordEncoder:
-    """ids of texts as little-endian uint32 bytes; each memo holds at most about memo_words words."""
+    """ids of texts as uint32 arrays; each memo holds about memo_words words at most."""
 
-    def __init__(self, path: str | None = None, memo_words: int = 500_000):
+    def __init__(self, path: str | None = None, memo_words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
+        self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.memo: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {"": b""}
         self.memo_words = memo_words
-        self.ends = {"": b"", ".": self.whole(["."])[0], ",": self.whole([","])[0]}
+        self.ends = {"": b"", ".": self.whole(["."])[0], ",": self.whole([","])[0], None: b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        """The texts through the whole tokenizer."""
+        """The texts through the whole tokenizer; ids as little-endian uint32 bytes."""
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _core(self, core: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(core.encode().decode("latin-1").translate(self.letters))]
+        ids = [t.id for t in self.model.tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(self.letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, words) -> None:
-        memo, cores, other = self.memo, self.cores, []
-        for word in words:
-            found = PLAIN.fullmatch(word.decode().lower())
-            if not found:
-                other.append(word)
-                continue
-            core, end = found.groups()
-            ids = cores.get(core)
+    def _words(self, words) -> list[bytes]:
+        """ids of each of the distinct words (an Arrow array)."""
+        import pyarrow.compute as pc
+
+        cut = pc.extract_regex(words, PLAIN)
+        cores = pc.utf8_lower(pc.struct_field(cut, "core"))
+        cores = pc.if_else(pc.is_valid(cut), cores, None).dictionary_encode()
+        known, make = self.cores, self._core
+        if len(known) > self.memo_words:
+            known.clear()
+        distinct = []
+        for core in cores.dictionary.to_pylist():
+            ids = known.get(core)
             if ids is None:
-                ids = cores[core] = self._core(core)
-            memo[word] = ids + self.ends[end]
-        memo.update(zip(other, self.whole([w.decode() for w in other]), strict=True))
-
-    def encode_all(self, texts, together: int = 64):
-        """ids of each text, in order."""
-        for at in range(0, len(texts), together):
-            split = [(t or "").encode().split() for t in texts[at : at + together]]
-            if len(self.memo) > self.memo_words:
-                self.memo.clear()
-            if len(self.cores) > self.memo_words:
-                self.cores.clear()
-            self._learn(set().union(*split).difference(self.memo))
-            get = self.memo.__getitem__
-            for words in split:
-                yield b"".join(map(get, words))
+                ids = known[core] = make(core)
+            distinct.append(ids)
+        other = words.filter(pc.invert(pc.is_valid(cut))).to_pylist()
+        if len(self.others) > self.memo_words:
+            self.others = {"": b""}
+        new = [w for w in other if w not in self.others]
+        self.others.update(zip(new, self.whole(new), strict=True))
+        rest, ends = iter(other), self.ends
+        marks = pc.struct_field(cut, "end").to_pylist()
+        return [self.others[next(rest)] if k is None else distinct[k] + ends[mark] for k, mark in zip(cores.indices.to_pylist(), marks, strict=True)]
+
+    def slices(self, texts, ids: bool = True):
+        """For slices of texts (an Arrow string array) in order: tokens of each text, and all ids in a row or None."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            lists = pc.ascii_split_whitespace(pa.concat_arrays([texts.slice(at, end - at)]))
+            numbered = lists.flatten().dictionary_encode()
+            found, index = self._words(numbered.dictionary), numbered.indices.to_numpy()
+            lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            count = lens[index]
+            until = np.append(0, np.cumsum(count))
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = None
+            if ids:
+                held = np.frombuffer(b"".join(found), "<u4")
+                begin = (np.cumsum(lens) - lens)[index] - until[:-1]
+                flat = held[np.repeat(begin.astype(np.int32), count) + np.arange(until[-1], dtype=np.int32)]
+            yield until[offsets[1:]] - until[offsets[:-1]], flat
+            at = end
 
 
 def encoder(path: str | None = None) -> WordEncoder:
