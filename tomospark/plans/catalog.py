@@ -1,4 +1,8 @@
-"""Queries by name with their SQL."""
+"""All queries by name with their SQL, where SQL can express them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import annotation_queries
+
+QUERIES = {**annotation_queries.QUERIES}
+ORACLES = {**annotation_queries.ORACLES}

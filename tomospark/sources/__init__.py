@@ -1,0 +1 @@
+"""Reading and writing scans, annotations and scan information."""
