@@ -22,6 +22,11 @@ def _array(struct: Column) -> Column:
     return F.array(*[struct[a] for a in AXES])
 
 
+def _shifted(n: int, start: Column) -> Column:
+    """start .. start + n - 1."""
+    return F.transform(span(n), lambda i: i + start)
+
+
 def normalize_hu(scans: DataFrame, min_hu: float = -1000, max_hu: float = 400, column: str = "images") -> DataFrame:
     return scans.withColumn(column, F.transform(column, lambda v: clip((v - float(min_hu)) / float(max_hu - min_hu), 0.0, 1.0) * 255))
 
@@ -35,7 +40,8 @@ def to_hu(pixels: Column, slope: Column, intercept: Column) -> Column:
 
 def gather(scans: DataFrame, zs: Column, ys: Column, xs: Column, shape: Column, columns=("images",), fill=None) -> DataFrame:
     """The columns' voxels at (zs x ys x xs), in a scan of the given shape."""
-    return scans.withColumns({c: take(F.col(c), F.col("shape"), zs, ys, xs, fill) for c in columns} | {"shape": shape})
+    # shape in a step of its own: in one select, lambdas would see the new one (a lateral alias)
+    return scans.withColumns({c: take(F.col(c), F.col("shape"), zs, ys, xs, fill) for c in columns}).withColumn("shape", shape)
 
 
 def flip(scans: DataFrame, columns=("images",)) -> DataFrame:
@@ -50,7 +56,7 @@ def central_crop(scans: DataFrame, size, columns=("images",)) -> DataFrame:
     guard = F.when(fits[0] & fits[1] & fits[2], F.col("shape")).otherwise(F.raise_error(F.lit("the crop is larger than the scan")))
     scans = scans.withColumn("shape", guard)
     first = {a: (F.rint(dim(a) / 2) - F.lit(-(-int(k) // 2))).cast("int") for a, k in zip(AXES, size, strict=True)}
-    index = [F.transform(span(int(k)), lambda i, a=a: i + first[a]) for a, k in zip(AXES, size, strict=True)]
+    index = [_shifted(int(k), first[a]) for a, k in zip(AXES, size, strict=True)]
     half = dict(zip(AXES, (float(round(k / 2)) for k in size), strict=True))
     moved = scans.withColumn("origin", each(lambda a: F.col(f"origin.{a}") + F.col(f"spacing.{a}") * half[a]))
     return gather(moved, *index, _dims(size), columns)
@@ -69,7 +75,7 @@ def crops(scans: DataFrame, starts: DataFrame, size, columns=("images",)) -> Dat
     """
     joined = scans.join(starts.select("scan_id", "crop_id", "start"), "scan_id")
     moved = joined.withColumn("origin", each(lambda a: F.col(f"origin.{a}") + F.col(f"spacing.{a}") * F.col(f"start.{a}")))
-    index = [F.transform(span(int(k)), lambda i, a=a: i + F.col(f"start.{a}")) for a, k in zip(AXES, size, strict=True)]
+    index = [_shifted(int(k), F.col(f"start.{a}")) for a, k in zip(AXES, size, strict=True)]
     return gather(moved, *index, _dims(size), columns)
 
 

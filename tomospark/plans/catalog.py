@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import annotation_queries
+from . import annotation_queries, volume_queries
 
-QUERIES = {**annotation_queries.QUERIES}
-ORACLES = {**annotation_queries.ORACLES}
+QUERIES = {**annotation_queries.QUERIES, **volume_queries.QUERIES}
+ORACLES = {**annotation_queries.ORACLES, **volume_queries.ORACLES}
