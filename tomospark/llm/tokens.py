@@ -15,7 +15,7 @@ import struct
 END_ID = 2
 #: Letters of Latin-1, which normalisation leaves alone and which stay together, and one mark or none.
 PLAIN = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<end>[.,]?)$"
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 _encoders: dict = {}
 
 
@@ -33,9 +33,9 @@ def byte_letters() -> dict[int, int]:
 
 
 class WordEncoder:
-    """ids of texts as uint32 arrays; each memo holds about memo_words words at most."""
+    """ids of texts as uint32 arrays; the memos hold about memo_words plain and a third as many other words at most."""
 
-    def __init__(self, path: str | None = None, memo_words: int = 600_000):
+    def __init__(self, path: str | None = None, memo_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -72,7 +72,7 @@ class WordEncoder:
                 ids = known[core] = make(core)
             distinct.append(ids)
         other = words.filter(pc.invert(pc.is_valid(cut))).to_pylist()
-        if len(self.others) > self.memo_words:
+        if len(self.others) > self.memo_words // 3:
             self.others = {"": b""}
         new = [w for w in other if w not in self.others]
         self.others.update(zip(new, self.whole(new), strict=True))
@@ -105,6 +105,8 @@ class WordEncoder:
                 flat = held[np.repeat(begin.astype(np.int32), count) + np.arange(until[-1], dtype=np.int32)]
             yield until[offsets[1:]] - until[offsets[:-1]], flat
             at = end
+            del lists, numbered, found, index, count, flat
+            pa.default_memory_pool().release_unused()
 
 
 def encoder(path: str | None = None) -> WordEncoder:
