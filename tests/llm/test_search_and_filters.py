@@ -1,0 +1,252 @@
+"""Neighbours, secrets, language, mixing, decontamination and the pipeline."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tomospark.llm import ann, decontam, langid, mixing, secrets
+from tomospark.llm import queries as llm
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def brute_nearest(rows, k=10):
+    good = [(i, np.array(v, float)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    size = max({len(v) for _, v in good}, key=[len(v) for _, v in good].count)
+    good = [(i, v.astype(np.float32).astype(float)) for i, v in good if len(v) == size]
+    return {i: sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in good if j != i)[:k] for i, v in good if i % 100 == 0}
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=16).tolist(), 0) for k in range(1500)]
+    rows += [(3000, None, 0), (3100, [0.0] * 16, 0), (3200, [float("nan")] + [1.0] * 15, 0), (3300, [None] + [1.0] * 15, 0), (3400, [1.0] * 3, 0), (None, [1.0] * 16, 0), (3500, rows[0][1], 0)]
+    got = ann.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0, shard=400, block=5).collect()
+    want = brute_nearest(rows)
+    hits = sum((r.vec_id in {j for _, j in want[r.query_id]}) for r in got)
+    assert {r.query_id for r in got} == set(want) and len(got) == 10 * len(want)
+    assert hits >= 0.95 * len(got)
+    exact = {(q, j): s for q, near in want.items() for s, j in near}
+    assert all(abs(exact.get((r.query_id, r.vec_id), r.score) - r.score) < 1e-12 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    assert all([x[0] for x in sorted(v)] == list(range(1, 11)) and sorted(v) == sorted(v, key=lambda x: x[1:]) for v in by.values())
+
+
+def test_few_candidates_and_ties(spark):
+    rows = [(0, [1.0, 0.0], 0), (5, [1.0, 1.0], 0), (4, [1.0, 1.0], 0), (7, [3.0, 0.0], 0)]
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.neighbours(vectors(spark, rows)).collect())
+    assert got == [(1, 4, 1.0), (2, 5, 1.0), (3, 7, 2.0)]
+    assert ann.neighbours(vectors(spark, [])).count() == 0
+
+
+def test_chi_square():
+    assert abs(ann.chi2_below(ann.chi2_bound(0.95)) - 0.95) < 1e-9
+    assert abs(ann.chi2_bound(0.95, 2) - 5.991464547) < 1e-6
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def brute_secrets(text):
+    text, out = text or "", []
+    out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    listed = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+    return (*[sum(x[1] == k for x in out) for k in range(3)], hashlib.sha256(listed.encode()).hexdigest())
+
+
+HEX = "0123456789abcdef" * 2
+SECRETS = [
+    None, "", "token: token=abcdefg secret: pass secret: token: abcdefg", f'É𝄞 PassWord = "{HEX}" AKIA{"A" * 16} x AKIA{"B" * 15} AKIA{"C" * 40}', f"api_key:\"zzzzzz\" apikey='12345' é{HEX}",
+    "token=a" * 3000, "AKIAAKIA" + "A" * 13, "x" + "a" * 24 + "g" + "b" * 23, "secret = \n abcdefgh", "SECRET='abc-def_==' tokens: zzzzzzz",
+]
+
+
+def test_base_secrets(spark, documents):
+    docs = documents([(k % 7 if k < 9 else None, t, "s") for k, t in enumerate(SECRETS * 2)])
+    got = sorted(repr((r.n_assign, r.n_access, r.n_hex, r.base_sha256)) for r in secrets.report(docs).collect())
+    assert got == sorted(repr(brute_secrets(t)) for t in SECRETS * 2)
+    assert secrets.report(documents([])).count() == 0
+
+
+def test_linked_secrets(spark, documents):
+    bare = "aB3" * 12
+    texts = [f"user: bob {bare} https://x.example/a", f"{bare} alone", f"client_id=abc {'z ' * 200}{bare}", f"https://x.example {'z ' * 90}password=hunter22", f"user: bob https://y.example"]
+    spans = [r.spans for r in secrets.report(documents(texts)).orderBy("doc_id").collect()]
+    assert spans[0] == "weak_id:0:9,weak_secret:10:46,endpoint:47:66"
+    assert spans[1] == "" and spans[2] == "" and spans[4] == ""
+    assert spans[3] == "endpoint:0:17,assign:198:215"
+
+
+def test_language(spark, documents):
+    rng = random.Random(2)
+    parts = {"aa": ["thion", "ing", "erth", "was"], "bb": ["eaux", "ouè", "ment", "èl"]}
+    rows = []
+    for k in range(400):
+        lang = "aa" if k % 2 else "bb"
+        rows.append((k, " ".join("".join(rng.choices(parts[lang], k=2)) for _ in range(rng.randint(3, 40))), lang))
+    extra = [(1000, None, "aa"), (1001, "123 !!", "bb"), (1002, "", None), (1003, "漢字漢字", None), (None, "thioning", "aa"), (1004, "thioning " * 30_000, None)]
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string").withColumn("score", F.lit(1)).withColumn("found", F.lit(2))
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    import zlib
+
+    assert all(got[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d in got if d is not None) and not got[None].held_out
+    held = [(r.lang_pred, lang) for d, _, lang in rows if (r := got[d]).held_out]
+    assert sum(a == b for a, b in held) >= 0.98 * len(held)
+    assert [got[d].lang_pred for d in (1000, 1001, 1002)] == ["und"] * 3 and got[1000].score == 0
+    assert got[1003].lang_pred in ("aa", "bb") and got[1003].score == 0 and got[1004].lang_pred == "aa"
+    assert all(0 <= r.score <= 1 for r in got.values())
+    kept = langid.keep_known(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, *_ in rows} | {None, 1004}
+    assert langid.identify(df.where("false")).count() == 0
+    unlabelled = langid.identify(df.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
+
+
+def test_long_text_in_chunks(monkeypatch):
+    text = "Thë Quick, brown fox  " * 40
+    whole = {n: [] for n in langid.ORDERS}
+    for n, h in langid.grams(text):
+        whole[n] += h.tolist()
+    monkeypatch.setattr(langid, "CHUNK", 17)
+    parts = {n: [] for n in langid.ORDERS}
+    for n, h in langid.grams(text):
+        parts[n] += h.tolist()
+    assert all(set(whole[n]) == set(parts[n]) for n in langid.ORDERS)
+
+
+def test_mixing(spark, documents):
+    rng = random.Random(4)
+    rows = [(k, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "b", "c", "é", None])) for k in range(2000)] + [(5000, None, "zero"), (5001, "", "zero")]
+    got = mixing.mixed_sizes(documents(rows)).collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    level = 0.0
+    while True:
+        capped = {s for s in order if level * weight[s] > 2 * sizes[s]}
+        new = (1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in capped)) / sum(weight[s] for s in order if s not in capped)
+        if new <= level:
+            break
+        level = new
+    by_id = {d: s for d, _, s in rows}
+    taken = {}
+    for r in got:
+        s = by_id[r.doc_id]
+        assert r.source_size == sizes[s] and abs(r.target - min(level * weight[s], 2 * sizes[s])) < 1e-6
+        assert r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[s] = taken.get(s, 0) + r.taken
+    assert all(abs(taken[s] - min(level * weight[s], 2 * sizes[s])) <= 0.12 * sizes[s] + 1 for s in order)
+    again = mixing.mixed_sizes(documents(rows).repartition(7))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
+    docs = documents(rows)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.count() == mixing.copies(docs).agg(F.sum("_copies")).first()[0]
+    assert mixing.mixed_sizes(documents([])).count() == 0
+
+
+def norm(text):
+    return " ".join(re.findall(r"[^\W_]+", text.lower()))
+
+
+def test_leaks(spark, documents):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    items = [(k, " ".join(word() for _ in range(rng.randint(8, 60)))) for k in range(30)] + [(100, None), (101, ""), (102, "too short"), (0, "A second item, under the same ID!")]
+    noise = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [(900, None, "s"), (901, "", "s"), (902, noise(400), "s"), (903, "x" * 20_000, "s")], set()
+    for k, text in items[:30]:
+        words = text.split()
+        for share in (0.0, 0.1, 0.2):
+            edited, d = list(words), int(share * len(words) + 1e-9)
+            for _ in range(d):
+                p, kind = rng.randrange(len(edited)), rng.choice("sid")
+                edited[p : p + (kind != "i")] = [word()] if kind != "d" else []
+            doc_id = len(rows)
+            rows.append((doc_id, f"{noise(30)}. {', '.join(edited).upper()} - {noise(30)}", "s"))
+            want.add((doc_id, k))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("edits", F.lit(1))
+    got = decontam.leaks(documents(rows), bench).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert len(found & want) >= decontam.RECALL * len(want) and found <= want
+    for r in got:
+        assert r.edits <= (1 - decontam.SIMILARITY) * r.item_words + 1e-9
+        if r.edits == 0:
+            assert norm(rows[r.doc_id][1][r.start : r.end]) == items[r.item_id][1]
+    docs = documents(rows)
+    clean = decontam.keep_clean(docs, bench)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {d for d, *_ in rows} - {d for d, _ in found}
+    assert decontam.leaks(documents([]), bench).count() == 0 and decontam.leaks(docs, bench.where("false")).count() == 0
+    assert decontam.keep_clean(docs, bench.where("false")).count() == len(rows)
+
+
+def plain_distance(item, text):
+    best = (len(item), 0)
+    row = list(range(len(item) + 1))
+    for j, w in enumerate(text, 1):
+        new = [0]
+        for i, v in enumerate(item, 1):
+            new.append(min(row[i - 1] + (v != w), row[i] + 1, new[i - 1] + 1))
+        row = new
+        best = min(best, (row[-1], j))
+    return best
+
+
+def test_distance():
+    rng = random.Random(8)
+    for _ in range(300):
+        item, text = ([rng.randint(0, 3) for _ in range(rng.randint(1, 70))], [rng.randint(0, 3) for _ in range(rng.randint(0, 80))])
+        assert decontam.distance(item, text) == plain_distance(item, text)
+
+
+@pytest.mark.parametrize("name", sorted(llm.ORACLES))
+def test_sql(spark, folder, name):
+    import duckdb
+
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    df = llm.QUERIES[name](spark, folder)
+    names = sorted(df.columns)
+    found = connection.sql(llm.ORACLES[name])
+    at = [found.columns.index(n) for n in names]
+    assert sorted(repr(tuple(r)) for r in df.select(*names).collect()) == sorted(repr(tuple(r[k] for k in at)) for r in found.fetchall())
+
+
+def test_pipeline(spark, folder):
+    """Each stage keeps the columns and does what its plain version says; the last has a row per copy kept."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    seen = [docs]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, seen[-1], folder)
+        assert out.columns == docs.columns, name
+        seen.append(spark.createDataFrame(out.toPandas(), docs.schema))
+    raw, known, single, clean, mixed = (s.toPandas() for s in seen)
+    letters = raw[raw.text.fillna("").map(lambda t: any(c.isalpha() for c in t))]
+    assert set(known.doc_id) <= set(letters.doc_id) and len(known) >= 0.99 * len(letters)
+    from tests.llm.test_text_dedup import brute_components, brute_print
+
+    roots = brute_components([brute_print(t) for t in known.text])
+    assert sorted(single.doc_id) == sorted(known.doc_id.groupby(np.array(roots)).min())
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet").toPandas()
+    exact = {d for d, t in zip(single.doc_id, single.text, strict=True) if any(f" {norm(b)} " in f" {norm(t)} " for b in bench.text)}
+    assert exact and not exact & set(clean.doc_id)
+    assert set(mixed.doc_id) <= set(clean.doc_id) and mixed.doc_id.value_counts().max() <= 2
+    rows = corpus_pipeline.run(spark, folder)
+    assert rows.count() == len(mixed)
