@@ -36,7 +36,7 @@ def read_annotation(spark: SparkSession, path, max_nodules: int = MAX_NODULES) -
     '-' and missing fields are null.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    text = F.regexp_replace(F.regexp_replace(F.decode(F.col("content"), F.lit("UTF-16")), "\r\n?", "\n"), HEADER, "")
+    text = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-16"), "\r\n?", "\n"), HEADER, "")
     blocks = F.split(text, "\n\n\n")
     estimates = F.flatten(F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))), lambda b: F.split(b, "\n")))
     rows = spark.read.format("binaryFile").load(paths).select(F.explode(estimates).alias("line")).select(F.split("line", "\t").alias("v"))
@@ -49,7 +49,7 @@ def read_annotation(spark: SparkSession, path, max_nodules: int = MAX_NODULES) -
 def to_nodules(annotation: DataFrame) -> DataFrame:
     """One row per place with all coordinates and a diameter; the id is a digest of scan, doctor and position."""
     rows = annotation.select("seriesuid", F.regexp_replace("DoctorID", "'", "").alias("DoctorID"), F.posexplode("places").alias("no", "p"))
-    number = lambda k: F.try_to_number(F.lit("0"), F.lit("9")) if k is None else F.expr(f"try_cast(nullif(p.{k}, '') AS DOUBLE)")
+    number = lambda k: F.col(f"p.{k}").try_cast("double")
     long = rows.select(
         "seriesuid", "DoctorID", F.substring(F.sha2(F.concat_ws("|", "seriesuid", "DoctorID", F.col("no").cast("string"), F.to_json("p")), 256), 1, 20).alias("NoduleID"),
         normalized_type(F.coalesce("p.type", F.lit("nan"))).alias("NoduleType"),

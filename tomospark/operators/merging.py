@@ -44,7 +44,7 @@ def groups(nodules: DataFrame, threshold: float = 0.1) -> DataFrame:
 
     edges = overlaps(nodules, threshold).select("seriesuid", "id_1", "id_2")
     linked = edges.groupBy("seriesuid").applyInArrow(union, "NoduleID string, GroupNoduleID string")
-    joined = nodules.select("NoduleID").join(linked, "NoduleID", "left")
+    joined = nodules.select("NoduleID").distinct().join(linked, "NoduleID", "left")
     return joined.select("NoduleID", F.coalesce("GroupNoduleID", "NoduleID").alias("GroupNoduleID"))
 
 
