@@ -20,7 +20,7 @@ def documents(spark):
         df = spark.createDataFrame(full, SCHEMA)
         from pyspark.sql import functions as F
 
-        for name in ("size", "start", "end", "ids", "rank", "fp", "score", "count", "target", "state", "spans", "_n", "kept"):
+        for name in ("size", "start", "end", "ids", "rank", "fp", "score", "count", "target", "state", "spans", "_n", "kept", "row", "copies", "source_size", "_found", "_keep", "_leaks", "_id", "_gone", "_parts", "n_lines"):
             df = df.withColumn(name, F.lit(name))
         return df
 

@@ -107,6 +107,7 @@ def test_language(spark, documents):
     assert [got[d].lang_pred for d in (1000, 1001, 1002)] == ["und"] * 3 and got[1000].score == 0
     assert got[1003].lang_pred in ("aa", "bb") and got[1003].score == 0 and got[1004].lang_pred == "aa"
     assert all(0 <= r.score <= 1 for r in got.values())
+    df = df.withColumn("_found", F.lit("mine"))
     kept = langid.keep_known(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, *_ in rows} | {None, 1004}
     assert langid.identify(df.where("false")).count() == 0
@@ -156,7 +157,7 @@ def test_mixing(spark, documents):
     docs = documents(rows)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    assert mixed.count() == mixing.copies(docs).agg(F.sum("_copies")).first()[0]
+    assert mixed.count() == mixing.copies(docs).agg(F.sum("copies")).first()[0]
     assert mixing.mixed_sizes(documents([])).count() == 0
 
 
@@ -250,3 +251,31 @@ def test_pipeline(spark, folder):
     assert set(mixed.doc_id) <= set(clean.doc_id) and mixed.doc_id.value_counts().max() <= 2
     rows = corpus_pipeline.run(spark, folder)
     assert rows.count() == len(mixed)
+
+
+def test_pipeline_on_odd_tables(spark, folder, tmp_path):
+    """Empty tables, nulls, repeated rows and further columns pass every stage."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+    nothing = docs.where("false")
+    nulls = docs.limit(20).select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in docs.dtypes[1:]])
+    anonymous = docs.limit(20).withColumn("doc_id", F.lit(None).cast("long"))
+    odd = docs.limit(40).unionAll(nulls).unionAll(anonymous).unionAll(docs.limit(5)).withColumn("copies", F.lit(1)).withColumn("_leaks", F.lit(2))
+    for name, table, items in (("empty", nothing, bench), ("odd", odd, bench), ("unsought", docs.limit(30), bench.where("false"))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        items.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert bool(rows) == (name != "empty")
+        held = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, held, str(tmp_path / name)).columns == held.columns
+
+
+@pytest.mark.parametrize("name", sorted(llm.QUERIES))
+def test_queries_on_empty_tables(spark, folder, tmp_path, name):
+    for table in ("documents", "benchmark", "embeddings"):
+        spark.read.parquet(f"{folder}/{table}.parquet").where("false").write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert llm.QUERIES[name](spark, str(tmp_path)).count() == 0

@@ -44,8 +44,9 @@ def test_lines(spark, documents):
     got = line_dedup.deduped(documents(rows).repartition(3))
     assert sorted(repr(tuple(r)) for r in got.select("doc_id", "text", "n_lines", "n_removed").collect()) == brute_lines(rows)
     assert line_dedup.deduped(documents([])).count() == 0
-    kept = line_dedup.dedup_lines(documents(rows))
-    assert kept.columns[-2:] == ["_lines", "_removed"] and kept.count() == len(rows)
+    docs = documents(rows)
+    kept = line_dedup.dedup_lines(docs)
+    assert kept.columns == [*docs.columns, "_n_lines", "n_removed"] and {r.n_lines for r in kept.collect()} == {"n_lines"}
 
 
 def brute_suffix(rows, size=200):
@@ -85,6 +86,36 @@ def test_suffixes(spark, documents):
     assert suffix_dedup.digests(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("cell", [1, 2, 5])
+def test_suffixes_in_small_buckets(spark, documents, cell):
+    from pyspark.sql import functions as F
+
+    rows = suffix_rows()
+    got = suffix_dedup.cut(documents(rows).repartition(4), cell).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert sorted(repr(tuple(r)) for r in got.collect()) == brute_suffix(rows)
+
+
+def test_buckets_in_batches():
+    """Contexts of a head keep one count over any batches."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = sorted((rng.randint(0, 5), rng.randint(0, 40), 0) for _ in range(300))
+    table = pa.table({"head": [r[0] for r in rows], "context": [r[1] for r in rows], "state": pa.array([r[2] for r in rows], pa.int32()), **{k: pa.array(range(300), pa.int32()) for k in ("tag", "first", "number", "left")}, "doc_id": list(range(300))})
+    want = pa.Table.from_batches(suffix_dedup._bucket_rows(7)(iter(table.to_batches()))).to_pylist()
+    held = suffix_dedup.whole_groups
+    try:
+        suffix_dedup.whole_groups = lambda batches, key: held(batches, key, 3)
+        got = pa.Table.from_batches(suffix_dedup._bucket_rows(7)(iter(table.to_batches(max_chunksize=5)))).to_pylist()
+    finally:
+        suffix_dedup.whole_groups = held
+    order = lambda r: sorted(map(repr, r))
+    assert order(got) == order(want)
+    contexts = {h: len({c for a, c, _ in rows if a == h}) for h in {r[0] for r in rows}}
+    per_head = {h: [r["part"] for r in want if r["head"] == h and not r["whole"]] for h in contexts}
+    assert all(len(p) == contexts[h] and max(p) == (contexts[h] - 1) // 7 for h, p in per_head.items())
+
+
 def test_suffixes_of_long_text_in_segments(spark, documents, monkeypatch):
     rng = random.Random(5)
     part = "".join(rng.choice("abcdefgh") for _ in range(700))

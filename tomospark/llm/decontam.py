@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .suffix_dedup import Prefix, _mix
 
 SIMILARITY = 0.8
@@ -280,5 +281,6 @@ def leaking(docs: DataFrame, index: Index) -> Column:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that leak an item."""
     for index in blocks(benchmark, **options):
-        docs = docs.withColumn("_leaks", leaking(docs, index)).where("NOT _leaks").drop("_leaks")
+        (name,) = fresh(docs, "_leaks")
+        docs = docs.withColumn(name, leaking(docs, index)).where(~F.col(name)).drop(name)
     return docs

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ORDERS = (2, 3, 4)
 SHARE = 1e-4
 SAMPLE = 4_000
@@ -191,5 +193,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, evidence: float = EVIDENCE) -> DataFrame:
     """docs without those that have no letter or too little evidence for any learned language."""
-    found = docs.withColumn("_found", predicted(docs, fit(docs)))
-    return found.where((F.col("_found.lang") != "und") & (F.col("_found.evidence") >= evidence)).select(*docs.columns)
+    (name,) = fresh(docs, "_found")
+    found = docs.withColumn(name, predicted(docs, fit(docs)))
+    return found.where((F.col(name)["lang"] != "und") & (F.col(name)["evidence"] >= evidence)).drop(name)

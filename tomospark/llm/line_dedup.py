@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import fresh, write_table
 
 LINES = 3
 
@@ -43,23 +43,18 @@ def covered(docs: DataFrame, lines: int = LINES) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """docs with their texts' remaining lines, and the columns _lines and _removed."""
-    gone = covered(docs.select("doc_id", "text"), lines).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_parts", F.split("text", "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), "_gone")
-    kept = F.transform(stay, lambda i: F.get("_parts", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({
-        "_lines": F.coalesce(F.size("_parts"), F.lit(0)) * F.col("text").isNotNull().cast("int"),
-        "_removed": F.coalesce(F.size("_gone"), F.lit(0)) * F.col("_gone").isNotNull().cast("int"),
-        "text": text,
-    }).select(*docs.columns, "_lines", "_removed")
+    """docs with their texts' remaining lines, and two last columns: n_lines and n_removed (with underscores before them if docs has such)."""
+    key, gone_, parts = fresh(docs, "_id", "_gone", "_parts")
+    gone = covered(docs.select("doc_id", "text"), lines).withColumnsRenamed({"doc_id": key, "_gone": gone_})
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)), "left").withColumn(parts, F.split("text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone_)
+    text = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    counts = [F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(n) for c, n in zip((parts, gone_), fresh(docs, "n_lines", "n_removed"), strict=True)]
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counts)
 
 
 def deduped(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs.select("doc_id", "text")).select(
-        "doc_id", "text", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed")
-    )
+    return dedup_lines(docs.select("doc_id", "text"))
 
 
 LINES_SQL = """

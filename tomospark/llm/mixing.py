@@ -63,29 +63,27 @@ def draw(doc_id, seed: int):
 
 
 def copies(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED) -> DataFrame:
-    """docs plus the columns _size, _source_size, _target and _copies."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    sizes = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, cap).select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
-    )
-    rate = F.when(F.col("_source_size") > 0, F.least(F.col("_target") / F.nullif("_source_size", F.lit(0)), F.lit(float(cap)))).otherwise(0.0)
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    extra = (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("_copies", F.floor(rate) + extra)
+    """row (a struct of docs' columns), size, source_size, target and copies, per row of docs."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    sized = rows.withColumn("size", word_count(F.col("row.text")))
+    sizes = sized.groupBy(F.col("row.source").alias("source")).agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, weights, share, cap).select("source", "source_size", "target")
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(float(cap)))).otherwise(0.0)
+    joined = sized.join(targets, F.col("row.source").eqNullSafe(F.col("source")), "left")
+    extra = (draw(F.col("row.doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    return joined.select("row", "size", "source_size", "target", (F.floor(rate) + extra).alias("copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED) -> DataFrame:
     """The mixed corpus: docs' own columns, each row as often as it is taken."""
-    rows = copies(docs, weights, share, cap, seed).where(F.col("_copies") > 0)
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select(*docs.columns)
+    rows = copies(docs, weights, share, cap, seed).where(F.col("copies") > 0)
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
     """Per document its size, its source's size and target, and the words that the mix takes."""
     return copies(docs.select("doc_id", "text", "source")).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"),
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
     )
 
 

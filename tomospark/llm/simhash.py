@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_groups, write_table
+from .common import fresh, whole_groups, write_table
 from .components import components
 
 THRESHOLD = 4
@@ -199,6 +199,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with the rows of each component's least doc_id; of exactly repeated rows one stays, rows of null doc_id all stay."""
     found = near_dups(docs.where("doc_id IS NOT NULL"))
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id", "text"])
+    (name,) = fresh(docs, "_keep")
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(stay, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionAll(docs.where("doc_id IS NULL"))

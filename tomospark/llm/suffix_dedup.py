@@ -14,6 +14,8 @@ A byte goes if a string of LENGTH = 200 bytes that covers it also starts anywher
    prefix polynomial hashes. For each offset of windows before the anchor, neighbours in suffix order that
    agree on the bytes left of it are tested for a common extension of the rest. What the hashes find
    equal is verified byte by byte; a bucket in which that fails is redone without hashes.
+   A bucket takes CELL contexts at most. A head with more has several; for those heads alone, windows
+   are also compared across buckets by digests, counted with partial sums.
 4. The spans of a document are merged and cut out.
 
 Defined cases: null text counts as empty; texts under 200 bytes keep all; matches never cross documents;
@@ -33,6 +35,7 @@ STRETCH = 160
 GRAM = 16
 HEAD = LENGTH - STRETCH + 1
 SEGMENT = 1 << 19
+CELL = 16_384
 BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict = {}
 
@@ -241,37 +244,67 @@ def _anchor_rows(batches):
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-BUCKETS = "head long, doc_id long, tag int, first int, number int, left int, whole boolean"
+BUCKETS = "head long, part int, doc_id long, tag int, first int, number int, left int, whole boolean"
 
 
-def _bucket_rows(batches):
-    """Rows whose context repeats (whole), and one row of each context that shares its head with another."""
-    import numpy as np
-    import pyarrow as pa
+def _with_next(items):
+    """Pairs of an item and the one after it, None at the end."""
+    held = None
+    for item in items:
+        if held is not None:
+            yield held, item
+        held = item
+    if held is not None:
+        yield held, None
+
 
-    for table in whole_groups(batches, ["head"]):
-        head, context, state = (table.column(k).to_numpy() for k in ("head", "context", "state"))
-        new_head = np.append(True, head[1:] != head[:-1])
-        new = new_head | np.append(True, context[1:] != context[:-1])
-        group, bucket = np.cumsum(new) - 1, np.cumsum(new_head) - 1
-        times = np.bincount(group)
-        several = np.bincount(group, weights=state == FIRST) > 0
-        whole = (times[group] > 1) | several[group]
-        compare = new & (np.bincount(bucket, weights=new)[bucket] > 1)
-        at = np.concatenate([np.flatnonzero(whole), np.flatnonzero(compare)])
-        kind = np.arange(len(at)) < whole.sum()
-        rows = table.take(pa.array(at))
-        columns = [rows.column(k).combine_chunks() for k in ("head", "doc_id", "tag", "first", "number", "left")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(kind)], ["head", "doc_id", "tag", "first", "number", "left", "whole"])
+def _bucket_rows(cell: int):
+    """Rows whose context repeats (whole), and one row of each context that shares its head with another.
+
+    Rows come by head and context. A context has at most one row per input batch; of a head only its last context and their
+    number are held, so it may have any number.
+    """
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-CONTEXTS = "head long, doc_id long, tag int, first int, number int, left int, bytes binary"
+        last_head, held = None, 0
+        for table, after in _with_next(whole_groups(batches, ["head", "context"])):
+            head, context, state = (table.column(k).to_numpy() for k in ("head", "context", "state"))
+            new = np.append(True, (head[1:] != head[:-1]) | (context[1:] != context[:-1]))
+            group = np.cumsum(new) - 1
+            times = np.bincount(group)
+            several = np.bincount(group, weights=state == FIRST) > 0
+            whole = (times[group] > 1) | several[group]
+            heads = head[new]
+            as_before = np.append(last_head is not None and heads[0] == last_head, heads[1:] == heads[:-1])
+            as_after = np.append(heads[1:] == heads[:-1], after is not None and after.column("head")[0].as_py() == heads[-1])
+            # the number of each context within its head
+            begin = np.maximum.accumulate(np.where(as_before, 0, np.arange(len(heads))))
+            number = np.arange(len(heads)) - begin
+            if as_before[0]:
+                number[: int((~as_before).argmax()) if not as_before.all() else len(heads)] += held
+            last_head, held = heads[-1], int(number[-1]) + 1
+            compare = np.flatnonzero(new)[as_before | as_after]
+            at = np.concatenate([np.flatnonzero(whole), compare])
+            rows = table.take(pa.array(at))
+            columns = {k: rows.column(k).combine_chunks() for k in ("head", "doc_id", "tag", "first", "number", "left")}
+            columns["part"] = pa.array((number[group[at]] // cell).astype(np.int32))
+            columns["whole"] = pa.array(np.arange(len(at)) < whole.sum())
+            names = [x.split()[0] for x in BUCKETS.split(", ")]
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+    return run
+
+
+CONTEXTS = "head long, part int, doc_id long, tag int, first int, number int, left int, bytes binary"
 
 
 def _context_rows(batches):
     import pyarrow as pa
 
-    schema = pa.schema([("head", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("first", pa.int32()), ("number", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("head", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("first", pa.int32()), ("number", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary())])
     for batch in batches:
         for one in range(batch.num_rows):
             row = batch.slice(one, 1).to_pylist()[0]
@@ -283,13 +316,13 @@ def _suffix_rows(batches):
     import numpy as np
     import pyarrow as pa
 
-    for table in whole_groups(batches, ["head"], 20_000):
-        head = table.column("head").to_numpy()
+    for table in whole_groups(batches, ["head", "part"], 20_000):
+        head, part = table.column("head").to_numpy(), table.column("part").to_numpy()
         first, number, left = (table.column(k).to_numpy().astype(np.int64) for k in ("first", "number", "left"))
         held = table.column("bytes").combine_chunks()
         raw = np.frombuffer(b"".join(held.to_pylist()), np.uint8)
         sizes = number + LENGTH - 1
-        bucket = np.cumsum(np.append(False, head[1:] != head[:-1]))
+        bucket = np.cumsum(np.append(False, (head[1:] != head[:-1]) | (part[1:] != part[:-1])))
         context, window = repeated_windows(raw, np.cumsum(sizes) - sizes, left, number, bucket)
         # runs of windows of one context make one span
         key = np.unique((context << 32) | window)
@@ -301,18 +334,52 @@ def _suffix_rows(batches):
         yield pa.RecordBatch.from_arrays([table.column("doc_id").take(at).combine_chunks(), table.column("tag").take(at).combine_chunks(), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "tag", "start", "end"])
 
 
-def spans(docs: DataFrame, tagged: DataFrame) -> DataFrame:
-    """doc_id, tag and spans (start, end) in bytes, not merged, of the texts that lose any."""
+def _window_rows(batches):
+    """A row for each window of the contexts: its digest and place."""
+    import hashlib
+
+    import pyarrow as pa
+
+    names = ["digest", "doc_id", "tag", "start"]
+    for batch in batches:
+        for one in range(batch.num_rows):
+            row = batch.slice(one, 1).to_pylist()[0]
+            raw = row["text"].encode()
+            starts = [x["first"] + w for x in row["rows"] for w in range(x["number"])]
+            digests_ = [hashlib.blake2b(raw[s : s + LENGTH], digest_size=16).digest() for s in starts]
+            yield pa.RecordBatch.from_arrays([pa.array(digests_, pa.binary()), pa.array([row["doc_id"]] * len(starts), pa.int64()), pa.array([row["tag"]] * len(starts), pa.int32()), pa.array(starts, pa.int32())], names)
+
+
+def _across(tagged: DataFrame, need: DataFrame) -> DataFrame | None:
+    """Spans of windows that repeat across the buckets of one head; None if each head has one bucket."""
+    heads = write_table(need.where("part = 1").select(F.col("head").alias("_head")).distinct(), "heads")
+    if heads.isEmpty():
+        return None
+    hot = need.join(heads, F.col("head") == F.col("_head"), "left_semi")
+    windows = write_table(_with_text(tagged, _rows_of(hot), "inner").mapInArrow(_window_rows, "digest binary, doc_id long, tag int, start int"), "windows")
+    twice = write_table(windows.groupBy("digest").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("digest").alias("_digest")), "digests")
+    found = windows.join(twice, F.col("digest") == F.col("_digest"), "left_semi")
+    return found.select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("end"))
+
+
+def _rows_of(need: DataFrame) -> DataFrame:
+    """The contexts of each text; a text's anchors bound their number."""
+    return need.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("head", "part", "first", "number", "left")).alias("rows"))
+
+
+def spans(tagged: DataFrame, cell: int = CELL) -> DataFrame:
+    """doc_id, tag, start and end in bytes, not merged, of what goes; tagged has doc_id, text and tag."""
     table = write_table(tagged.mapInArrow(_anchor_rows, ANCHORS), "anchors")
     dealt = table.where(F.col("state") < FURTHER).repartition("head").sortWithinPartitions("head", "context")
-    buckets = write_table(dealt.mapInArrow(_bucket_rows, BUCKETS), "buckets")
+    buckets = write_table(dealt.mapInArrow(_bucket_rows(cell), BUCKETS), "buckets")
 
-    need = buckets.where("NOT whole").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("head", "first", "number", "left")).alias("rows"))
-    fetched = _with_text(docs, need, "inner").mapInArrow(_context_rows, CONTEXTS)
-    partial = fetched.repartition("head").sortWithinPartitions("head").mapInArrow(_suffix_rows, "doc_id long, tag int, start int, end int")
-    whole = buckets.where("whole").unionByName(table.where(F.col("state") > SINGLE).withColumn("whole", F.lit(True)).drop("context", "state"))
-    whole = whole.select("doc_id", "tag", F.col("first").alias("start"), (F.col("first") + F.col("number") + LENGTH - 1).alias("end"))
-    return whole.unionAll(partial)
+    need = buckets.where("NOT whole")
+    fetched = _with_text(tagged, _rows_of(need), "inner").mapInArrow(_context_rows, CONTEXTS)
+    partial = fetched.repartition("head", "part").sortWithinPartitions("head", "part").mapInArrow(_suffix_rows, "doc_id long, tag int, start int, end int")
+    across = _across(tagged, need)
+    found = partial if across is None else partial.unionAll(across)
+    place = lambda df: df.select("doc_id", "tag", F.col("first").alias("start"), (F.col("first") + F.col("number") + LENGTH - 1).alias("end"))
+    return place(buckets.where("whole")).unionAll(place(table.where(F.col("state") > SINGLE))).unionAll(found)
 
 
 def _with_text(tagged: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -321,10 +388,10 @@ def _with_text(tagged: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return tagged.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), how).drop("_id", "_tag")
 
 
-def cut(docs: DataFrame) -> DataFrame:
+def cut(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """doc_id, kept (the remaining bytes), n_bytes, n_removed and n_spans of each row of docs."""
     tagged = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.hash(F.coalesce("text", F.lit(""))).alias("tag"))
-    gone = spans(tagged, tagged).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    gone = spans(tagged, cell).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
 
     def remove(batches):
         import pyarrow as pa
