@@ -75,6 +75,16 @@ def test_codes(scans):
     assert all((v == 7).all() for v in arrays(volumes.decode_linear(volumes.encode_linear(flat))).values())
 
 
+def test_items(scans):
+    assert volumes.get(scans, 2, "spacing").first().scan_id == "s2" and volumes.get(scans, "s3").count() == 1
+    for place in (6, -1):
+        with pytest.raises(IndexError):
+            volumes.get(scans, place)
+    row = volumes.unpack(scans).where("scan_id = 's0'").first()
+    assert np.array(row.images).tolist() == arrays(scans)["s0"].tolist()
+    assert volumes.unpack(scans, "nothing").first().nothing is None
+
+
 def test_patches_round_trip(scans):
     cut = volumes.get_patches(scans, (3, 4, 4), (2, 3, 2), "reflect")
     back = arrays(volumes.load_from_patches(cut, (3, 4, 4), (2, 3, 2)))

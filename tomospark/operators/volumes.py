@@ -97,8 +97,37 @@ def binarize_mask(scans: DataFrame, threshold: float = 0.35) -> DataFrame:
 
 
 def trim_uint8(scans: DataFrame, limits=None, column: str = "images") -> DataFrame:
+    """Clip to limits (else the scan's own range) and spread over 0..255, whole numbers; a constant scan becomes 0."""
     low, high = (F.lit(float(x)) for x in limits) if limits else (F.array_min(column), F.array_max(column))
-    return scans.withColumn(column, F.transform(column, lambda v: F.rint(F.least(F.greatest(v, low), high) * 0 + (F.least(F.greatest(v, low), high) - low) / (high - low) * 255).cast("int")))
+    ends = F.struct(low.alias("low"), high.alias("high"))
+
+    def one(v, e):
+        share = (F.least(F.greatest(v, e["low"]), e["high"]) - e["low"]) / F.nullif(e["high"] - e["low"], F.lit(0.0))
+        return F.coalesce(F.rint(share * 255), F.lit(0.0)).cast("int")
+
+    # the ends once per row, not once per voxel
+    return scans.withColumn(column, F.flatten(F.transform(F.array(ends), lambda e: F.transform(F.col(column), lambda v: one(v, e)))))
+
+
+def get(scans: DataFrame, item, component: str = "images") -> DataFrame:
+    """A scan's component by its id, or by its position (from 0) in the order of ids; a position beyond the end raises."""
+    if not isinstance(item, int):
+        return scans.where(F.col("scan_id") == item).select("scan_id", component)
+    ids = scans.select("scan_id").orderBy("scan_id").offset(item).limit(1)
+    if item < 0 or ids.isEmpty():
+        raise IndexError(f"no scan at position {item}")
+    return scans.join(ids, "scan_id", "left_semi").select("scan_id", component)
+
+
+def unpack(scans: DataFrame, component: str = "images", channel_axis: bool = False) -> DataFrame:
+    """scan_id and the component as nested arrays z, y, x (and a channel of one value); null where there is no such column."""
+    if component not in scans.columns:
+        return scans.select("scan_id", F.lit(None).alias(component))
+    ny, nx = dim("y"), dim("x")
+    value = (lambda v: F.array(v)) if channel_axis else (lambda v: v)
+    line = lambda z, y: F.transform(F.slice(component, (z * ny + y) * nx + 1, nx), value)
+    nested = F.transform(span(dim("z")), lambda z: F.transform(span(ny), lambda y: line(z, y)))
+    return scans.select("scan_id", nested.alias(component))
 
 
 def ones(ids: DataFrame, shape=(32, 64, 64)) -> DataFrame:

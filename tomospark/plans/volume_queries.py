@@ -96,6 +96,30 @@ def binarize_mask(spark, d):
     return voxels(volumes.binarize_mask(soft), "masks")
 
 
+@query(f"WITH {VOXELS} SELECT scan_id, z, y, x, round_even((least(greatest(v, -500.0::DOUBLE), 500.0::DOUBLE) - -500.0::DOUBLE) / 1000.0::DOUBLE * 255, 0)::INT AS v FROM vox")
+def trim_uint8(spark, d):
+    return to_voxels(volumes.trim_uint8(scans(spark, d), (-500, 500)))
+
+
+@query(f"""WITH {VOXELS}, lim AS (SELECT scan_id, min(v) AS lo, max(v) AS hi FROM vox GROUP BY 1)
+SELECT scan_id, z, y, x, round_even((v - lo) / (hi - lo) * 255, 0)::INT AS v FROM vox JOIN lim USING (scan_id)""")
+def trim_uint8_own_range(spark, d):
+    return to_voxels(volumes.trim_uint8(scans(spark, d)))
+
+
+@query(f"WITH {VOXELS} SELECT scan_id, p, {q6('v')} AS v FROM vox WHERE scan_id = 7")
+def get_component(spark, d):
+    return volumes.get(scans(spark, d), 7).select("scan_id", F.posexplode("images").alias("p", "v")).withColumn("v", r6(F.col("v")))
+
+
+@query(f"WITH {VOXELS} SELECT scan_id, z, y, x, {q6('m')} AS v FROM vox")
+def unpack_targets(spark, d):
+    rows = volumes.unpack(scans(spark, d), "masks", True)
+    for axis, column in (("z", "masks"), ("y", "plane"), ("x", "line")):
+        rows = rows.select(*[c for c in rows.columns if c != column], F.posexplode(column).alias(axis, {"z": "plane", "y": "line", "x": "cell"}[axis]))
+    return rows.select("scan_id", "z", "y", "x", r6(F.col("cell")[0]).alias("v"))
+
+
 INSIDE = "z BETWEEN 1 AND 2 AND y BETWEEN 0 AND 1 AND x BETWEEN 2 AND 3"
 
 
