@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is an aggregate and a join on the node; the edges of each round are written to the shared
-folder, so no lineage grows and nothing is gathered on the driver but one row of counts.
+folder, so no lineage grows and nothing is gathered on the driver but one row of counts. The edges of a
+node are dealt to SALTS tasks, each with a copy of the node's least neighbour.
 """
 
 from __future__ import annotations
@@ -12,19 +13,24 @@ from pyspark.sql import functions as F
 from .common import drop_table, write_table
 
 
-def _mins(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("_m"))
+SALTS = 8
+
+
+def _met(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges with _m, the least v of their u; and the table of u and _m."""
+    mins = edges.groupBy("u").agg(F.min("v").alias("_m"))
+    copies = mins.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies, ["u", "_salt"]), mins
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_mins(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "_m").alias("v")).distinct()
+    both, _ = _met(edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return both.where("v > u").select(F.col("v").alias("u"), F.least("u", "_m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    mins = _mins(down)
-    moved = down.join(mins, "u").where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
+    down, mins = _met(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    moved = down.where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
     return moved.unionAll(mins.select("u", F.col("_m").alias("v"))).distinct()
 
 
