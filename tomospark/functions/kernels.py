@@ -31,7 +31,8 @@ def per_row(kernel, returns: str = "array<double>"):
             out.append(got.ravel() if isinstance(got, np.ndarray) else got)
         return pd.Series(out, dtype=object)
 
-    udf = F.pandas_udf(run, returns)
+    # as if not deterministic: a filter inferred for an explode, or pushed down, must not run the kernel a second time
+    udf = F.pandas_udf(run, returns).asNondeterministic()
 
     def column(volume: Column, shape: Column, *others: Column) -> Column:
         named = [o.alias(f"c{k}") for k, o in enumerate(others)]

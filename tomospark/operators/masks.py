@@ -135,7 +135,8 @@ def nodules_from_mask(scans: DataFrame, src: str = "masks") -> DataFrame:
             out.append([float(k), *at.mean(axis=0).tolist(), float(len(at))])
         return out
 
-    found = scans.select("scan_id", "spacing", "origin", F.explode(kernels.per_row(regions, "array<array<double>>")(F.col(src), F.col("shape"))).alias("r"))
+    held = scans.select("scan_id", "spacing", "origin", kernels.per_row(regions, "array<array<double>>")(F.col(src), F.col("shape")).alias("_r"))
+    found = held.select("scan_id", "spacing", "origin", F.explode("_r").alias("r"))
     diameter = F.pow(6 * F.col("r")[4] / 3.141592653589793, F.lit(1 / 3))
     return found.select(
         "scan_id", F.col("r")[0].cast("int").alias("nodule_id"),

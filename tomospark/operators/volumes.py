@@ -113,7 +113,7 @@ def get(scans: DataFrame, item, component: str = "images") -> DataFrame:
     """A scan's component by its id, or by its position (from 0) in the order of ids; a position beyond the end raises."""
     if not isinstance(item, int):
         return scans.where(F.col("scan_id") == item).select("scan_id", component)
-    ids = scans.select("scan_id").orderBy("scan_id").offset(item).limit(1)
+    ids = scans.select("scan_id").orderBy("scan_id").offset(max(item, 0)).limit(1)
     if item < 0 or ids.isEmpty():
         raise IndexError(f"no scan at position {item}")
     return scans.join(ids, "scan_id", "left_semi").select("scan_id", component)

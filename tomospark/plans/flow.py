@@ -159,7 +159,8 @@ def predict(patches: DataFrame, model: Callable, batch_size: int = 4) -> DataFra
     from collections.abc import Iterator as It
 
     run.__annotations__ = {"parts": It[pd.Series], "return": It[pd.Series]}
-    return patches.withColumn("prediction", F.pandas_udf(run, "array<double>")("pixels"))
+    # as if not deterministic, so that no inferred filter runs the model again
+    return patches.withColumn("prediction", F.pandas_udf(run, "array<double>").asNondeterministic()("pixels"))
 
 
 def predict_on_scan(scans: DataFrame, model: Callable, strides=(16, 32, 32), crop_shape=(32, 64, 64), batch_size: int = 4, targets_mode: str = "segmentation", dst: str = "masks", padding: str = "reflect") -> DataFrame:
