@@ -15,7 +15,7 @@ import struct
 END_ID = 2
 #: Letters of Latin-1, which normalisation leaves alone and which stay together, and one mark or none.
 PLAIN = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<end>[.,]?)$"
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 6_000_000
 _encoders: dict = {}
 
 
@@ -45,7 +45,9 @@ class WordEncoder:
         self.cores: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {"": b""}
         self.memo_words = memo_words
-        self.ends = {"": b"", ".": self.whole(["."])[0], ",": self.whole([","])[0], None: b""}
+        #: a mark that isn't one token stays with its word
+        self.marks = {m: struct.unpack("<I", ids)[0] for m, ids in zip(".,", self.whole([".", ","]), strict=True) if len(ids) == 4}
+        self.plain = PLAIN.replace("[.,]?", f"[{''.join(self.marks)}]?" if self.marks else "")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """The texts through the whole tokenizer; ids as little-endian uint32 bytes."""
@@ -55,30 +57,48 @@ class WordEncoder:
         ids = [t.id for t in self.model.tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(self.letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _words(self, words) -> list[bytes]:
-        """ids of each of the distinct words (an Arrow array)."""
+    def _words(self, words):
+        """Number of ids of each of the distinct words (an Arrow array), and all their ids in a row."""
+        import numpy as np
         import pyarrow.compute as pc
 
-        cut = pc.extract_regex(words, PLAIN)
-        cores = pc.utf8_lower(pc.struct_field(cut, "core"))
-        cores = pc.if_else(pc.is_valid(cut), cores, None).dictionary_encode()
-        known, make = self.cores, self._core
+        cut = pc.extract_regex(words, self.plain)
+        is_plain = pc.is_valid(cut)
+        cores = pc.if_else(is_plain, pc.utf8_lower(pc.struct_field(cut, "core")), None).dictionary_encode()
+        known, make, pieces = self.cores, self._core, []
         if len(known) > self.memo_words:
             known.clear()
-        distinct = []
         for core in cores.dictionary.to_pylist():
             ids = known.get(core)
             if ids is None:
                 ids = known[core] = make(core)
-            distinct.append(ids)
-        other = words.filter(pc.invert(pc.is_valid(cut))).to_pylist()
+            pieces.append(ids)
+        n_cores, other = len(pieces), words.filter(pc.invert(is_plain)).to_pylist()
         if len(self.others) > self.memo_words // 3:
             self.others = {"": b""}
         new = [w for w in other if w not in self.others]
         self.others.update(zip(new, self.whole(new), strict=True))
-        rest, ends = iter(other), self.ends
-        marks = pc.struct_field(cut, "end").to_pylist()
-        return [self.others[next(rest)] if k is None else distinct[k] + ends[mark] for k, mark in zip(cores.indices.to_pylist(), marks, strict=True)]
+        pieces += map(self.others.__getitem__, other)
+
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        pool = np.frombuffer(b"".join(pieces), "<u4")
+        plain = is_plain.to_numpy(zero_copy_only=False)
+        which = np.empty(len(words), np.int64)
+        which[plain] = cores.indices.drop_null().to_numpy()
+        which[~plain] = n_cores + np.arange(len(other))
+        mark, ends = np.zeros(len(words), np.uint32), pc.struct_field(cut, "end")
+        marked = np.zeros(len(words), bool)
+        for sign, number in self.marks.items():
+            has = pc.fill_null(pc.equal(ends, sign), False).to_numpy(zero_copy_only=False)
+            mark[has], marked = number, marked | has
+        size = sizes[which]
+        lens = size + marked
+        begin = np.cumsum(lens) - lens
+        out = np.empty(int(lens.sum()), "<u4")
+        nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(begin, size) + nth] = pool[np.repeat((np.cumsum(sizes) - sizes)[which], size) + nth]
+        out[(begin + size)[marked]] = mark[marked]
+        return lens, out
 
     def slices(self, texts, ids: bool = True):
         """For slices of texts (an Arrow string array) in order: tokens of each text, and all ids in a row or None."""
@@ -93,19 +113,18 @@ class WordEncoder:
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
             lists = pc.ascii_split_whitespace(pa.concat_arrays([texts.slice(at, end - at)]))
             numbered = lists.flatten().dictionary_encode()
-            found, index = self._words(numbered.dictionary), numbered.indices.to_numpy()
-            lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            lens, held = self._words(numbered.dictionary)
+            index = numbered.indices.to_numpy()
             count = lens[index]
             until = np.append(0, np.cumsum(count))
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             flat = None
             if ids:
-                held = np.frombuffer(b"".join(found), "<u4")
                 begin = (np.cumsum(lens) - lens)[index] - until[:-1]
                 flat = held[np.repeat(begin.astype(np.int32), count) + np.arange(until[-1], dtype=np.int32)]
             yield until[offsets[1:]] - until[offsets[:-1]], flat
             at = end
-            del lists, numbered, found, index, count, flat
+            del lists, numbered, held, index, count, flat
             pa.default_memory_pool().release_unused()
 
 
