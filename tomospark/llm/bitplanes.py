@@ -21,7 +21,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import released, write_table
 from .tokens import END_ID, default_path, encoder
 
 BLOCK = 65_536
@@ -135,7 +135,7 @@ def write_corpus(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return write_table(ordered.mapInArrow(make, SEGMENTS), "tokens")
+    return write_table(ordered.mapInArrow(released(make), SEGMENTS), "tokens")
 
 
 def read_corpus(segments: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def read_corpus(segments: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["lens"], pa.int64()), pa.array(ids, pa.binary())], names)
 
     rows = segments.join(F.broadcast(shards), "shard").select((F.col("first") + F.col("_before")).alias("_at"), "doc_ids", "lens", "blob")
-    return rows.mapInArrow(take, "doc_id long, start long, n_tokens long, ids binary")
+    return rows.mapInArrow(released(take), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:

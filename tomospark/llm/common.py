@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -58,6 +59,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give memory that Arrow and the C library keep for later back to the machine, as reused workers live long."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(rows):
+    """A function of batches that ends with release()."""
+
+    def run(batches):
+        yield from rows(batches)
+        release()
+
+    return run
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front of those that df has already."""
     taken, out = {c.lower() for c in df.columns}, []

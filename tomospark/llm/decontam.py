@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, release, released
 from .suffix_dedup import Prefix, _mix
 
 SIMILARITY = 0.8
@@ -262,7 +262,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in LEAKS.split(", ")])
 
-        part = rows.mapInArrow(find, LEAKS)
+        part = rows.mapInArrow(released(find), LEAKS)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else spark.createDataFrame([], LEAKS)
 
@@ -273,6 +273,7 @@ def leaking(docs: DataFrame, index: Index) -> Column:
 
     def test(text: pd.Series) -> pd.Series:
         hit = {f[0] for f in shared.value.search(text.tolist())}
+        release()
         return pd.Series([k in hit for k in range(len(text))], dtype=bool)
 
     return F.pandas_udf(test, "boolean").asNondeterministic()(F.col("text"))

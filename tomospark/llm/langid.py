@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, release, released
 
 ORDERS = (2, 3, 4)
 SHARE = 1e-4
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Model:
                 size = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array([n] * size, pa.int32()), pa.array(keys.view(np.int64)), pa.array(times)], ["lang", "n", "gram", "times"])
 
-    counted = rows.where(draw < part).select("lang", "text").mapInArrow(count, "lang string, n int, gram long, times long")
+    counted = rows.where(draw < part).select("lang", "text").mapInArrow(released(count), "lang string, n int, gram long, times long")
     counted = counted.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     totals = counted.groupBy("lang", "n").agg(F.sum("times").alias("total"))
     # totals: one row per language and order
@@ -178,7 +178,9 @@ def predicted(docs: DataFrame, model: Model) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang", "score", "evidence"])
+        found = pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang", "score", "evidence"])
+        release()
+        return found
 
     # as if not deterministic: a filter on it must not run it a second time
     return F.pandas_udf(predict, "lang string, score double, evidence double").asNondeterministic()(F.col("text"))

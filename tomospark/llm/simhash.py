@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, whole_groups, write_table
+from .common import fresh, released, whole_groups, write_table
 from .components import components
 
 THRESHOLD = 4
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fp = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(make), "doc_id long, fp long")
 
 
 def _syndromes(x):
@@ -150,7 +150,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> Dat
             at, block, anchor = anchors(fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(anchor, pa.int32()), pa.array(fp[at]), batch.column(1).take(pa.array(at))], ["block", "anchor", "fp", "rep"])
 
-    spreaded = nodes.select("fp", "rep").mapInArrow(spread, "block int, anchor int, fp long, rep long")
+    spreaded = nodes.select("fp", "rep").mapInArrow(released(spread), "block int, anchor int, fp long, rep long")
     large = spreaded.groupBy("block", "anchor").count().where(F.col("count") > cell)
     parts = F.ceil(F.col("count") / cell).cast("int")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -177,7 +177,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> Dat
             yield found(table)
 
     key = ["block", "anchor", "lo", "hi"]
-    return placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "u long, v long")
+    return placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(released(compare), "u long, v long")
 
 
 def near_dups(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:

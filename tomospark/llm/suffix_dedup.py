@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_groups, write_table
+from .common import released, whole_groups, write_table
 
 LENGTH = 200
 STRETCH = 160
@@ -369,13 +369,13 @@ def _rows_of(need: DataFrame) -> DataFrame:
 
 def spans(tagged: DataFrame, cell: int = CELL) -> DataFrame:
     """doc_id, tag, start and end in bytes, not merged, of what goes; tagged has doc_id, text and tag."""
-    table = write_table(tagged.mapInArrow(_anchor_rows, ANCHORS), "anchors")
+    table = write_table(tagged.mapInArrow(released(_anchor_rows), ANCHORS), "anchors")
     dealt = table.where(F.col("state") < FURTHER).repartition("head").sortWithinPartitions("head", "context")
     buckets = write_table(dealt.mapInArrow(_bucket_rows(cell), BUCKETS), "buckets")
 
     need = buckets.where("NOT whole")
-    fetched = _with_text(tagged, _rows_of(need), "inner").mapInArrow(_context_rows, CONTEXTS)
-    partial = fetched.repartition("head", "part").sortWithinPartitions("head", "part").mapInArrow(_suffix_rows, "doc_id long, tag int, start int, end int")
+    fetched = _with_text(tagged, _rows_of(need), "inner").mapInArrow(released(_context_rows), CONTEXTS)
+    partial = fetched.repartition("head", "part").sortWithinPartitions("head", "part").mapInArrow(released(_suffix_rows), "doc_id long, tag int, start int, end int")
     across = _across(tagged, need)
     found = partial if across is None else partial.unionAll(across)
     place = lambda df: df.select("doc_id", "tag", F.col("first").alias("start"), (F.col("first") + F.col("number") + LENGTH - 1).alias("end"))
@@ -414,7 +414,7 @@ def cut(docs: DataFrame, cell: int = CELL) -> DataFrame:
                 runs.append(n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return _with_text(tagged, gone, "left").select("doc_id", "text", "gone").mapInArrow(remove, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return _with_text(tagged, gone, "left").select("doc_id", "text", "gone").mapInArrow(released(remove), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def digests(docs: DataFrame) -> DataFrame:

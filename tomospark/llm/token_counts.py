@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import released
 from .tokens import default_path, encoder
 
 #: Lengths are summed within blocks of so many; a block's rows are bounded by this number.
@@ -28,7 +29,7 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
             for counts, _ in enc.slices(batch.column(0), ids=False):
                 yield pa.RecordBatch.from_arrays([pa.array(counts)], ["n_tokens"])
 
-    return docs.select("text").mapInArrow(count, "n_tokens long")
+    return docs.select("text").mapInArrow(released(count), "n_tokens long")
 
 
 def histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
