@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tomospark.llm import components, line_dedup, simhash, suffix_dedup
+from tomospark.llm import components, line_dedup, simhash, similar, suffix_dedup
 
 
 def brute_lines(rows, lines=3):
@@ -231,3 +231,58 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(1, 61)} | {101: 100, 102: 100}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def brute_copies(texts, similarity=0.8, k=5):
+    """A number of the component of each text by the Jaccard similarity of shingle sets."""
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        sets.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))})
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("cell", [8_192, 3])
+def test_keep_one_reaches_the_similarity(spark, documents, cell):
+    """Chains of copies with more and more words changed, many of them over four bits apart."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for g in range(20):
+        words = [word() for _ in range(150)]
+        for c in range(6):
+            near = list(words)
+            for p in range(c * (1 + g % 3)):
+                near[(7 * p + 3) % 150] = word()
+            texts.append(" ".join(near))
+            if c == 3:
+                words = near
+    texts += [None, "", " ", "one", "One", "one two"]
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    roots = brute_copies(texts)
+    least = sorted({min(k for k, r in enumerate(roots) if r == x) for x in roots})
+    rng.shuffle(rows)
+    kept = sorted(r.doc_id for r in similar.keep_one(documents(rows).repartition(3), cell).collect())
+    assert kept == least
+    bits = [bin(brute_print(a) ^ brute_print(b)).count("1") for a, b in zip(texts, texts[1:], strict=False)]
+    assert sum(b > 4 and roots[k] == roots[k + 1] for k, b in enumerate(bits)) > 10
+
+
+def test_recall_of_bands():
+    rng, by, met = np.random.default_rng(5), similar._hashes(), 0
+    for _ in range(1000):
+        u = rng.integers(0, 2**64, 270, dtype=np.uint64)
+        a, b = similar.bands(u[:243], by), similar.bands(np.concatenate([u[:216], u[243:]]), by)  # similarity 0.8
+        met += bool((a == b).any())
+    assert met >= 995

@@ -95,6 +95,24 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shingles(text: str | None, size: int, seed: int):
+    """XXH64 values of each run of size words of the lower-cased text, or of all its words if they are fewer."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
+    if not words:
+        return np.zeros(0, "<u8")
+    line = b" ".join(words)
+    ends, at = [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0, *[e + 1 for e in ends[:-1]]]
+    spans = zip(starts, ends[size - 1 :], strict=False) if len(words) >= size else [(0, len(line))]
+    return np.array([xxh64_intdigest(line[a:b], seed) for a, b in spans], "<u8")
+
+
 def whole_groups(batches, key: list[str], least: int = 50_000):
     """Tables of whole groups of batches that are sorted by key, of least rows or more each."""
     import pyarrow as pa

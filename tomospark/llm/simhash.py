@@ -23,8 +23,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, released, whole_groups, write_table
+from .common import released, shingles, whole_groups, write_table
 from .components import components
+from .similar import keep_one  # noqa: F401  the pipeline's stage, by similarity and not by bits
 
 THRESHOLD = 4
 SHINGLE = 4
@@ -39,19 +40,10 @@ RADIUS = 3
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Bit i is 1 if it is 1 in over half of the shingles' XXH64 values."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
-    if not words:
+    h = shingles(text, shingle, seed)
+    if not len(h):
         return 0
-    line = b" ".join(words)
-    ends, at = [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    starts = [0, *[e + 1 for e in ends[:-1]]]
-    spans = zip(starts, ends[shingle - 1 :], strict=False) if len(words) >= shingle else [(0, len(line))]
-    h = np.array([xxh64_intdigest(line[a:b], seed) for a, b in spans], "<u8")
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 65_536):
         ones += np.unpackbits(h[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -194,12 +186,3 @@ def near_dups(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
 def classes(docs: DataFrame) -> DataFrame:
     found = near_dups(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with the rows of each component's least doc_id; of exactly repeated rows one stays, rows of null doc_id all stay."""
-    found = near_dups(docs.where("doc_id IS NOT NULL"))
-    (name,) = fresh(docs, "_keep")
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionAll(docs.where("doc_id IS NULL"))
