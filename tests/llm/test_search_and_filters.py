@@ -279,3 +279,14 @@ def test_queries_on_empty_tables(spark, folder, tmp_path, name):
     for table in ("documents", "benchmark", "embeddings"):
         spark.read.parquet(f"{folder}/{table}.parquet").where("false").write.parquet(str(tmp_path / f"{table}.parquet"))
     assert llm.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_leaks_of_other_scripts(spark, documents):
+    items = ["Это длинное предложение для проверки поиска утечек в чужих документах", "人工知能の研究は二十世紀の半ばに始まりました"]
+    texts = [f"Начало. {items[0].upper()}! Конец.", items[1].replace("研究", "学習"), "Совсем другой текст без всяких утечек и повторов", items[1][:8]]
+    for k, item in enumerate(items):
+        bench = spark.createDataFrame([(k, item)], "item_id long, text string")
+        assert [(r.doc_id, r.item_id) for r in decontam.leaks(documents(texts), bench).collect()] == [(k, k)]
+    text = "Ab漢字 か。привет x1 𠀀b"
+    number = len(decontam.words(np.frombuffer(decontam.lowered(text).encode(), np.uint8))[0])
+    assert number == 9 and spark.range(1).select(F.regexp_count(F.lit(text), F.lit(decontam.WORDS))).first()[0] == number

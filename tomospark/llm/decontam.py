@@ -17,7 +17,8 @@ edits (insertions, deletions, replacements) of the item.
 Items come to the executors in blocks of BLOCK_WORDS words at most (or one longer item), however many there are.
 
 Defined cases: null or empty texts leak nothing and null, empty or shorter items than MIN_WORDS words are not
-searched for; repeated items and rows each count; bytes above 127 count as letters.
+searched for; repeated items and rows each count; bytes above 127 count as letters; of scripts that are
+written without spaces (SOLO) each character is a word.
 """
 
 from __future__ import annotations
@@ -37,6 +38,11 @@ SAMPLES = 3
 RECALL = 0.95
 BLOCK_WORDS = 1_000_000
 SEED = 42
+#: First and last code points of scripts without spaces: Thai to Myanmar, Khmer, CJK marks and kana, ideographs, halfwidth kana.
+SOLO = ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x3000, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+_solo = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in SOLO) + "]"
+#: What words() finds, as a pattern.
+WORDS = rf"{_solo}|(?:(?!{_solo})[0-9A-Za-z\x{{80}}-\x{{10FFFF}}])+"
 
 _letters = None
 
@@ -46,6 +52,21 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
+def _cuts(raw):
+    """Where characters of SOLO begin and end in UTF-8 bytes."""
+    import numpy as np
+
+    at = np.flatnonzero(raw >= 0xE0)  # leads of three or four bytes
+    if not len(at):
+        return at
+    four = raw[at] >= 0xF0
+    low = lambda k: (raw[np.minimum(at + k, len(raw) - 1)] & 0x3F).astype(np.int64)
+    lead = raw[at].astype(np.int64)
+    cp = np.where(four, (lead & 7) << 18 | low(1) << 12 | low(2) << 6 | low(3), (lead & 15) << 12 | low(1) << 6 | low(2))
+    solo = np.any([(cp >= a) & (cp <= b) for a, b in SOLO], axis=0)
+    return np.union1d(at[solo], at[solo] + np.where(four, 4, 3)[solo])
+
+
 def words(raw):
     """Hashes, first bytes and end bytes of the words of lower-cased UTF-8 bytes (a uint8 array)."""
     global _letters
@@ -54,7 +75,13 @@ def words(raw):
     if _letters is None:
         _letters = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
     edge = np.flatnonzero(np.diff(_letters[raw].astype(np.int8), prepend=0, append=0))
-    begin, size = edge[::2], edge[1::2] - edge[::2]
+    begin, end = edge[::2], edge[1::2]
+    cuts = _cuts(raw)
+    if len(cuts):
+        letter = np.append(_letters[raw], False)
+        begin = np.union1d(begin, cuts[letter[cuts]])
+        end = np.union1d(end, cuts[letter[cuts - 1] & (cuts > 0)])
+    size = end - begin
     # long texts in parts, so that the hash's tables stay small
     out, step = np.zeros(len(begin), np.uint64), 1 << 18
     for k in range(0, len(begin), 1 << 16):
@@ -230,8 +257,8 @@ def blocks(benchmark: DataFrame, **options):
     import numpy as np
 
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
-    size = items.agg(F.sum(F.regexp_count("text", F.lit(r"\w+")))).first()[0] or 0
-    n = -(-size // BLOCK_WORDS)
+    rows, size = items.agg(F.count("*"), F.sum(F.regexp_count("text", F.lit(WORDS)))).first()
+    n = max(1, -(-size // BLOCK_WORDS)) if rows else 0
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         hashed = [(i, words(np.frombuffer(lowered(t).encode(), np.uint8))[0]) for i, t in sorted(block.collect(), key=str)]
