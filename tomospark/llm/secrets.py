@@ -2,9 +2,9 @@
 
 Base kinds (assign, access, hex) stand alone. Weak parts are reported only where complementary parts
 co-occur in one scope, a stretch of SCOPE code points either way in one document: a weak secret
-(a bare token of 32 to 64 letters and digits with upper, lower and digit) needs an identifier (an access
-key or a named user, client or account) and an identifier or an endpoint (URL or host:port) needs a secret
-(an assignment, a hex run or a linked weak secret's candidate).
+(a bare token of 32 or more letters, digits, + / _ - with upper, lower and digit, and its = padding, or a value
+named as a secret key) needs an identifier (an access key or a named user, client or account) and an identifier
+or an endpoint (URL or host:port) needs a secret (an assignment, a hex run or a linked weak secret's candidate).
 The link is an interval join: parts are laid into bins of SCOPE code points, each bin and role is reduced to
 its first and last position before anything meets, and a part looks at three bins by an equality join.
 
@@ -29,9 +29,10 @@ HEX = r"[0-9a-f]{24,}"
 #: kind -> pattern, in the order in which kinds of one start are listed; weak kinds follow the base kinds
 BASE = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))
 WEAK = (
-    ("weak_secret", r"\b(?=[A-Za-z0-9]*[a-z])(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[0-9])[A-Za-z0-9]{32,64}\b", "secret"),
+    ("weak_secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{32,}+={0,2}", "secret"),
     ("weak_id", r"""(?i:\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", "id"),
     ("endpoint", r"\bhttps?://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9/_.?=&%-]*|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}\b", "endpoint"),
+    ("named_secret", r"""(?i:\b(?:[a-z0-9]{1,32}[_-]){0,4}(?:secret(?:[_-]?access)?[_-]?key|client[_-]?secret))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", "secret"),
 )
 ROLE = {"assign": "secret", "access": "id", "hex": "secret"} | {kind: role for kind, _, role in WEAK}
 KINDS = [kind for kind, _ in BASE] + [kind for kind, _, _ in WEAK]
