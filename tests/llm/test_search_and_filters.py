@@ -301,3 +301,14 @@ def test_secrets_with_signs(spark, documents):
     assert spans[0] == f"named_secret:0:64,weak_secret:24:64,access:{at}:{at + 20},endpoint:{url}:{len(texts[0])}"
     assert spans[1] == "weak_id:0:9,weak_secret:10:110,weak_secret:111:153"
     assert spans[2] == "" and spans[3] == "named_secret:0:26,weak_id:27:36"
+
+
+def test_unknown_languages_go(spark, folder):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60)) for _ in range(20)]
+    odd.append("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.")
+    rows = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(odd)], docs.schema)
+    kept = {r.doc_id for r in langid.keep_known(docs.unionAll(rows)).select("doc_id").collect()}
+    known = {r.doc_id for r in docs.where("text RLIKE '[A-Za-z]'").collect()}
+    assert not any(d < 0 for d in kept) and len(kept & known) >= 0.99 * len(known)

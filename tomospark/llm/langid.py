@@ -31,8 +31,9 @@ SHARE = 1e-4
 SAMPLE = 4_000
 HASHES = 3
 SLOTS_PER_GRAM = 8
-#: A text is rejected below this evidence.
+#: A text is rejected below this evidence, or below LEEWAY of the QUANTILE of about CALIBRATION labelled texts' evidence.
 EVIDENCE = 0.1
+LEEWAY, QUANTILE, CALIBRATION = 0.5, 0.02, 4_000
 CHUNK = 1 << 19
 
 _fold = None
@@ -193,8 +194,22 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
 
 
+def least_evidence(docs: DataFrame, model: Model) -> float:
+    """The evidence below which a text is of none of the learned languages, from labelled texts that weren't learned from."""
+    import numpy as np
+
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out(F.col("doc_id"))).select("doc_id", "text")
+    part = min(1.0, CALIBRATION / max(1, rows.count()))
+    draw = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # about CALIBRATION numbers
+    found = rows.where(draw < part).select(predicted(rows, model).alias("found")).where("found.lang <> 'und'").select("found.evidence").collect()
+    return LEEWAY * float(np.quantile([r[0] for r in found], QUANTILE)) if found else 0.0
+
+
 def keep_known(docs: DataFrame, evidence: float = EVIDENCE) -> DataFrame:
     """docs without those that have no letter or too little evidence for any learned language."""
     (name,) = fresh(docs, "_found")
-    found = docs.withColumn(name, predicted(docs, fit(docs)))
+    model = fit(docs)
+    evidence = max(evidence, least_evidence(docs, model))
+    found = docs.withColumn(name, predicted(docs, model))
     return found.where((F.col(name)["lang"] != "und") & (F.col(name)["evidence"] >= evidence)).drop(name)
