@@ -89,6 +89,37 @@ def test_linked_secrets(spark, documents):
     assert spans[3] == "endpoint:0:17,assign:198:215"
 
 
+def brute_linked(text, scope=secrets.SCOPE):
+    """All spans by regular expressions and all pairs of parts."""
+    base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    base += [(m.start(), k, m.end()) for k, p in ((1, "AKIA[A-Z0-9]{16,}"), (2, "[0-9a-f]{24,}")) for m in re.finditer(p, text)]
+    weak = [(m.start(), k + 3, m.end()) for k, (_, p, _) in enumerate(secrets.WEAK) for m in re.finditer(p.replace("(?i:", "(?ai:"), text, re.A)]
+    role = lambda s: secrets.ROLE[secrets.KINDS[s[1]]]
+    weak = [w for w in weak if not (role(w) == "secret" and any(a <= w[0] and w[2] <= b for a, _, b in base))]
+    near = lambda w, others: any(abs(w[0] - o[0]) <= scope for o in others)
+    of = lambda spans, r: [s for s in spans if role(s) == r]
+    keys = [w for w in of(weak, "secret") if near(w, of(base + weak, "id"))]
+    ids = [w for w in of(weak, "id") if near(w, of(base + weak, "secret"))]
+    ends = [w for w in of(weak, "endpoint") if near(w, of(base, "secret") + keys)]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + keys + ids + ends))
+
+
+def test_linked_secrets_against_all_pairs(spark, documents):
+    rng = random.Random(12)
+    parts = ["user: bob", "client_id=abc", "aB3" * 12, "password=hunter22", "password=" + "aB3" * 12, "AKIA" + "A" * 16, HEX, "https://x.example:80/a", "db.x.example:5432", "..:80", "client_secret: abcdef1", "é𝄞", "z " * 60, "a.b.:22 c..d:33"]
+    texts = [" ".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(300)]
+    got = {r.doc_id: r.spans for r in secrets.report(documents(texts)).collect()}
+    assert [got[k] for k in range(300)] == [brute_linked(t) for t in texts]
+    # a rejected candidate supports nothing, and a candidate within a base span isn't listed
+    assert brute_linked("https://x.example " + "aB3" * 12) == "" and brute_linked("user: b0b password=" + "aB3" * 12) == "weak_id:0:9,assign:10:55"
+
+
+@pytest.mark.parametrize("text", ["a." * 1_000_000, "a" * 1_000_000, "a-" * 500_000, "aB3" * 400_000, "user " * 100_000 + " " * 300_000, "token=abcdef " * 100_000, HEX.join("  " * 50_000), "secret" * 100_000, "a..b" * 200_000 + ":80"], ids=str.__len__)
+def test_secrets_in_long_texts(spark, documents, text):
+    (row,) = secrets.report(documents([text]).repartition(1)).collect()
+    assert (row.n_assign, row.n_access, row.n_hex, row.base_sha256) == brute_secrets(text)
+
+
 def test_language(spark, documents):
     rng = random.Random(2)
     parts = {"aa": ["thion", "ing", "erth", "was"], "bb": ["eaux", "ouè", "ment", "èl"]}
