@@ -15,20 +15,19 @@ from tomospark.llm import components, line_dedup, simhash, similar, suffix_dedup
 
 
 def brute_lines(rows, lines=3):
+    """Rows in order of doc_id and the text's MD5, each a document of its own; windows by their lines."""
     seen, gone = {}, {}
-    spots = []
-    for doc_id, text, _ in rows:
-        if text is None:
-            continue
-        parts = text.split("\n")
-        spots += [((doc_id is not None, doc_id), k, tuple(parts[k : k + lines])) for k in range(len(parts) - lines + 1)]
-    for doc, k, window in sorted(spots, key=lambda s: s[:2]):
-        if window in seen and seen[window] != (doc, k):
-            gone.setdefault(doc, set()).update(range(k, k + lines))
-        seen.setdefault(window, (doc, k))
+    md5 = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, md5(rows[k][1])))
+    for row in order:
+        parts = (rows[row][1] or "").split("\n")
+        for k in range(len(parts) - lines + 1):
+            window = tuple(parts[k : k + lines])
+            if seen.setdefault(window, (row, k)) != (row, k):
+                gone.setdefault(row, set()).update(range(k, k + lines))
     out = []
-    for doc_id, text, _ in rows:
-        g = gone.get((doc_id is not None, doc_id), set())
+    for row, (doc_id, text, _) in enumerate(rows):
+        g = gone.get(row, set())
         if text is None:
             out.append((doc_id, None, 0, 0))
         else:
@@ -44,6 +43,12 @@ def test_lines(spark, documents):
     got = line_dedup.deduped(documents(rows).repartition(3))
     assert sorted(repr(tuple(r)) for r in got.select("doc_id", "text", "n_lines", "n_removed").collect()) == brute_lines(rows)
     assert line_dedup.deduped(documents([])).count() == 0
+    # rows of null or repeated doc_id are told apart: what no other row holds stays
+    unlike = "\n".join("pqrstuv")
+    rows += [(None, unlike, "s"), (None, "a\nb\nc\nz\nz", "s"), (None, None, "s"), (7, "K\nL\nM\nN\nO", "s"), (7, "c\na\nb\nc\nd", "s"), rows[3], rows[3], (None, unlike, "s")]
+    got = [tuple(r) for r in line_dedup.deduped(documents(rows).repartition(5)).select("doc_id", "text", "n_lines", "n_removed").collect()]
+    assert sorted(map(repr, got)) == brute_lines(rows)
+    assert {(None, unlike, 7, 0), (None, "", 7, 7), (7, "K\nL\nM\nN\nO", 5, 0)} <= set(got)
     docs = documents(rows)
     kept = line_dedup.dedup_lines(docs)
     assert kept.columns == [*docs.columns, "_n_lines", "n_removed"] and {r.n_lines for r in kept.collect()} == {"n_lines"}
