@@ -192,6 +192,27 @@ def test_mixing(spark, documents):
     assert mixing.mixed_sizes(documents([])).count() == 0
 
 
+def test_mixing_rows_of_null_and_equal_ids(spark, documents):
+    """Such rows draw apart, whether their texts are alike or not, and reruns agree in any partitioning."""
+    rng = random.Random(5)
+    rows = [(None, " ".join(rng.choices("abcdefgh", k=10)), "a") for _ in range(700)] + [(None, "one text ten words long that very many rows have", "b")] * 900
+    rows += [(7, f"text {k} of one id", "c") for k in range(600)] + [(8, None, "d")] * 5 + [(9, "w " * 10, s) for s in ("a", "e")]
+    got = mixing.mixed_sizes(documents(rows)).collect()
+    taken, target, size = {}, {}, {}
+    for r in got:
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+        target[r.source_size], size[r.source_size] = r.target, r.source_size
+    assert all(abs(taken[s] - target[s]) <= 0.08 * size[s] + 20 for s in taken) and sum(target.values()) > 0
+    again = mixing.mixed_sizes(documents(rows).repartition(7))
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, got), key=repr)
+    import duckdb
+    import pandas as pd
+
+    connection = duckdb.connect()
+    connection.register("documents", pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": [r[1] for r in rows], "source": [r[2] for r in rows]}))
+    assert sorted(connection.sql(mixing.MIX_SQL).fetchall(), key=repr) == sorted((tuple(r) for r in got), key=repr)
+
+
 def norm(text):
     return " ".join(re.findall(r"[^\W_]+", text.lower()))
 

@@ -4,15 +4,18 @@ Tokens (words) are summed per source, each source gets a target, and its repetit
 target / size. A document is emitted floor(rate) times plus once more when a hash-seeded uniform
 draw falls below the fraction of the rate.
 
+The draw is a hash of the seed, doc_id, the text's MD5 and, for rows that agree in these and the source, their
+number among each other. So it doesn't depend on partitions, and rows of null or equal doc_id draw apart.
+
 Defined cases: null text has size 0; a null source is a source of its own and comes last in the
-order of weights; sources of size 0 have target 0 and rate 0; rows with equal doc_id share one draw
-(the draw depends on seed and doc_id alone, null counts as the empty string), so repeated rows are
-repeated alike and reruns agree; an empty table gives an empty result.
+order of weights; sources of size 0 have target 0 and rate 0; rows that agree in doc_id, text and source
+are numbered in any order (they differ in further columns at most), so as many of them are repeated in each
+run; a null doc_id counts as the empty string; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import word_count, write_table
@@ -34,8 +37,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> D
         sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()), "sources"
     )
     parts = ordered.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
-    before = parts.alias("a").join(parts.alias("b"), F.col("b._part") < F.col("a._part"), "left")
-    first = before.groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_first"))
+    # one row per partition
+    first = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
     rank = F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
     weighed = ordered.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(first), "_part").withColumn("weight", weight)
@@ -56,40 +59,68 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> D
     return weighed.withColumn("target", F.least(F.lit(level) * F.col("weight"), limit))
 
 
-def draw(doc_id, seed: int):
-    """Uniform in [0, 1) from the first 32 bits of md5(seed:doc_id)."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def draw(doc_id, tag, number, seed: int):
+    """Uniform in [0, 1) from the first 32 bits of md5(seed:doc_id:tag:number)."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), tag, number.cast("string"))
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def copies(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED) -> DataFrame:
-    """row (a struct of docs' columns), size, source_size, target and copies, per row of docs."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    sized = rows.withColumn("size", word_count(F.col("row.text")))
-    sizes = sized.groupBy(F.col("row.source").alias("source")).agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, cap).select("source", "source_size", "target")
+def twins(rows: DataFrame) -> DataFrame:
+    """_of (a _row) and number (from 1) of the rows that agree with another in doc_id, tag and source.
+
+    Rows are numbered within the partitions that wrote them (the upper bits of _row) and moved by the counts of the
+    partitions before, so a group of any size is dealt to as many tasks as wrote it.
+    """
+    key = ["doc_id", "tag", "source"]
+    same = lambda a, b: [F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in key]
+    again = rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in key])
+    again = write_table(again, "again")
+    mine = rows.join(again, same("", "_"), "left_semi").select("_row", F.shiftright("_row", 33).alias("_part"), *key)
+    parts = mine.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(*key).orderBy("_part")  # one row per writing partition
+    before = write_table(parts.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_part").alias("_p"), (F.sum("_n").over(by) - F.col("_n")).alias("_before")), "before")
+    within = mine.withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "_part").orderBy("_row")))
+    met = within.join(before, [*same("", "_"), F.col("_part") == F.col("_p")])
+    return met.select(F.col("_row").alias("_of"), (F.col("_before") + F.col("_nth")).alias("number"))
+
+
+def copies(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED) -> DataFrame:
+    """row (a struct of docs' columns, or those of keep), size, source_size, target and copies, per row of docs.
+
+    Rows are numbered in a written table, so texts are read once.
+    """
+    keep = docs.columns if keep is None else keep
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id"), F.col("source"),
+        F.coalesce(F.md5("text"), F.lit("")).alias("tag"), word_count(F.col("text")).alias("size"),
+    )
+    rows = write_table(rows, "mix")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, weights, share, cap).select(F.col("source").alias("_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(float(cap)))).otherwise(0.0)
-    joined = sized.join(targets, F.col("row.source").eqNullSafe(F.col("source")), "left")
-    extra = (draw(F.col("row.doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    numbers = write_table(twins(rows.select("_row", "doc_id", "tag", "source")), "twins")
+    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").join(numbers, F.col("_row") == F.col("_of"), "left")
+    extra = (draw(F.col("doc_id"), F.col("tag"), F.coalesce("number", F.lit(1)), seed) < rate - F.floor(rate)).cast("long")
     return joined.select("row", "size", "source_size", "target", (F.floor(rate) + extra).alias("copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED) -> DataFrame:
     """The mixed corpus: docs' own columns, each row as often as it is taken."""
-    rows = copies(docs, weights, share, cap, seed).where(F.col("copies") > 0)
+    rows = copies(docs, None, weights, share, cap, seed).where(F.col("copies") > 0)
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
     """Per document its size, its source's size and target, and the words that the mix takes."""
-    return copies(docs.select("doc_id", "text", "source")).select(
+    return copies(docs.select("doc_id", "text", "source"), ["doc_id"]).select(
         "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
     )
 
 
 MIX_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(md5(text), '') AS tag, row_number() OVER (PARTITION BY doc_id, text, source) AS number,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (
   SELECT *, [{', '.join(f'{w}.0::DOUBLE' for w in WEIGHTS)}][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(WEIGHTS)})::INT + 1] AS weight FROM src),
@@ -106,7 +137,7 @@ targets AS (
 rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, {CAP}::DOUBLE) ELSE 0.0 END AS rate,
-    ('0x' || substr(md5('{SEED}:' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+    ('0x' || substr(md5(concat_ws(':', '{SEED}', coalesce(s.doc_id::VARCHAR, ''), s.tag, s.number)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken FROM rated
 """
