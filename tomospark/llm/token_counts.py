@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released
+from .common import released, write_table
 from .tokens import default_path, encoder
 
 #: Lengths are summed within blocks of so many; a block's rows are bounded by this number.
@@ -39,7 +39,8 @@ def histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     tokens_in: of the documents of at most L; truncated_total: sum of min(length, L) over all
     documents; quantile: share of documents of at most L.
     """
-    counts = lengths(docs, path).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # written, as it is read twice below and texts are encoded once; one row per length
+    counts = write_table(lengths(docs, path).groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
     counts = counts.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("_tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = counts.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
     # a block table has at most (longest text / BLOCK) rows
