@@ -146,6 +146,43 @@ def test_language(spark, documents):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Every n-gram of ORDERS of the folded text, as strings."""
+    fold = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    line = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in fold).split())} "
+    return [line[i : i + n] for n in langid.ORDERS for i in range(len(line) - n + 1)] if line.strip() else []
+
+
+def test_counts_against_exact_sets(spark):
+    """The corrected counts equal those of exact n-gram sets up to the filters' errors; ties go to the smaller name."""
+    from collections import Counter
+
+    rng = random.Random(14)
+    parts = {"aa": ["thion", "ing", "erth", "was"], "bb": ["eaux", "ouè", "ment", "èl"], "cc": ["was", "eaux", "ißt", "Ünd"]}
+    rows = [(k, " ".join("".join(rng.choices(parts[lang], k=2)) for _ in range(rng.randint(3, 30))), lang) for k, lang in enumerate(list(parts) * 120)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learned = {lang: {n: Counter() for n in langid.ORDERS} for lang in parts}
+    import zlib
+
+    for k, text, lang in rows:
+        if zlib.crc32(str(k).encode()) % 5:
+            for g in plain_grams(text):
+                learned[lang][len(g)][g] += 1
+    sets = {lang: {g for c in by.values() for g, n in c.items() if n >= langid.SHARE * c.total()} for lang, by in learned.items()}
+    off = []
+    for text in [rows[0][1], rows[1][1], "Wasèl, Thioning! 123 eauxment", "zzz qqq", "ÜNDIßT " * 50] + [r[1] for r in rows]:
+        counts, total = model.counts(text)
+        grams = plain_grams(text)
+        assert total == len(grams)
+        for lang, count, fp in zip(model.langs, counts, model.fp, strict=True):
+            want = sum(g in sets[lang] for g in grams)
+            assert count * (1 - fp) + total * fp >= want - 1e-6  # the filters miss nothing
+            off.append((count - want) / total)
+    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.03
+    tied = langid.fit(spark.createDataFrame([(1, "x", "bb"), (2, "y", "aa"), (3, "z", "bb"), (4, "w", "aa")], "doc_id long, text string, lang string"))
+    assert tied.predict("漢字")[0] == "aa"
+
+
 def test_long_text_in_chunks(monkeypatch):
     text = "Thë Quick, brown fox  " * 40
     whole = {n: [] for n in langid.ORDERS}

@@ -170,7 +170,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Model:
     for k in range(HASHES):
         np.bitwise_or.at(table, (lang >> 3, _slots(gram, k, bits).astype(np.int64)), (1 << (lang & 7)).astype(np.uint8))
     fill = np.array([((table[i >> 3] >> (i & 7)) & 1).mean() for i in range(len(langs))])
-    return Model(langs, langs.index(max(langs, key=lambda x: (n_docs[x], x))), bits, table, fill**HASHES)
+    return Model(langs, langs.index(max(langs, key=n_docs.get)), bits, table, fill**HASHES)
 
 
 def predicted(docs: DataFrame, model: Model) -> Column:
