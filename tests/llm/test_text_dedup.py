@@ -100,13 +100,63 @@ def test_suffixes_in_small_buckets(spark, documents, cell):
     assert sorted(repr(tuple(r)) for r in got.collect()) == brute_suffix(rows)
 
 
+def test_suffixes_under_null_and_equal_ids(spark, documents):
+    """Rows without an id of their own are documents of their own."""
+    rows = [(None if k % 2 else 7, t, s) for k, (_, t, s) in enumerate(suffix_rows())]
+    got = suffix_dedup.digests(documents(rows).repartition(4))
+    assert sorted(repr(tuple(r)) for r in got.collect()) == brute_suffix(rows)
+
+
+@pytest.mark.parametrize("mask", [0, 3])
+def test_colliding_contexts_are_verified(spark, documents, mask):
+    """With context hashes of 1 or 4 values, bytes and digests decide what repeats whole."""
+    from pyspark.sql import functions as F
+
+    def collide(batches, mask=mask, plain=suffix_dedup.anchors):
+        from tomospark.llm import suffix_dedup as module
+
+        def poor(raw):
+            first, number, left, head, context = plain(raw)
+            return first, number, left, head, context & np.uint64(mask)
+
+        module.anchors = poor
+        try:
+            yield from module._anchor_rows(batches)
+        finally:
+            module.anchors = plain
+
+    rows, own = suffix_rows(), suffix_dedup._anchor_rows
+    suffix_dedup._anchor_rows = collide
+    try:
+        got = suffix_dedup.cut(documents(rows).repartition(6), 5).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    finally:
+        suffix_dedup._anchor_rows = own
+    assert sorted(repr(tuple(r)) for r in got) == brute_suffix(rows)
+
+
+def test_crowded_heads_are_split(spark, documents, monkeypatch):
+    """A passage that all rows share: its heads are dealt to several tasks and results stay."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = word(260)
+    rows = [(k, word(rng.randint(50, 150)) + passage + word(rng.randint(50, 150)), "s") for k in range(120)]
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 2)
+    docs = documents(rows).repartition(3)
+    table = docs.selectExpr("doc_id AS row", "text").mapInArrow(suffix_dedup._anchor_rows, suffix_dedup.ANCHORS)
+    assert suffix_dedup.crowded(table, 10).where("cells > 3").count() > 0
+    got = suffix_dedup.cut(docs, 10).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)").collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute_suffix(rows)
+
+
 def test_buckets_in_batches():
     """Contexts of a head keep one count over any batches."""
     import pyarrow as pa
 
     rng = random.Random(9)
-    rows = sorted((rng.randint(0, 5), rng.randint(0, 40), 0) for _ in range(300))
-    table = pa.table({"head": [r[0] for r in rows], "context": [r[1] for r in rows], "state": pa.array([r[2] for r in rows], pa.int32()), **{k: pa.array(range(300), pa.int32()) for k in ("tag", "first", "number", "left")}, "doc_id": list(range(300))})
+    rows = sorted((rng.randint(0, 5), rng.randint(0, 1), rng.randint(0, 40)) for _ in range(300))
+    rows = sorted((h, d if h > 3 else 0, c) for h, d, c in rows)
+    table = pa.table({"head": [r[0] for r in rows], "dealt": pa.array([r[1] for r in rows], pa.int32()), "cells": pa.array([2 if r[0] > 3 else 1 for r in rows], pa.int32()), "context": [r[2] for r in rows],
+                      "state": pa.array([0] * 300, pa.int32()), **{k: pa.array(range(300), pa.int32()) for k in ("first", "number", "left")}, "row": list(range(300))})
     want = pa.Table.from_batches(suffix_dedup._bucket_rows(7)(iter(table.to_batches()))).to_pylist()
     held = suffix_dedup.whole_groups
     try:
@@ -116,9 +166,10 @@ def test_buckets_in_batches():
         suffix_dedup.whole_groups = held
     order = lambda r: sorted(map(repr, r))
     assert order(got) == order(want)
-    contexts = {h: len({c for a, c, _ in rows if a == h}) for h in {r[0] for r in rows}}
-    per_head = {h: [r["part"] for r in want if r["head"] == h and not r["whole"]] for h in contexts}
-    assert all(len(p) == contexts[h] and max(p) == (contexts[h] - 1) // 7 for h, p in per_head.items())
+    shares = {(h, d): len({c for *a, c in rows if a == [h, d]}) for h, d, _ in rows}
+    for (h, d), n in shares.items():
+        parts = [r["part"] for r in want if r["head"] == h and r["part"] >> 32 == d and not r["whole"]]
+        assert len(parts) == n and max(parts) & 0xFFFFFFFF == (n - 1) // 7
 
 
 def test_suffixes_of_long_text_in_segments(spark, documents, monkeypatch):

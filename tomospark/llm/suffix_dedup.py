@@ -7,20 +7,25 @@ A byte goes if a string of LENGTH = 200 bytes that covers it also starts anywher
    anchors at equal offsets, and share the HEAD bytes that follow the anchor. Neighbouring windows mostly
    share their anchor: about one row for 80 windows, holding the anchor, its windows and two hashes.
 2. Rows are dealt by the hash of their head. Rows of equal context (all bytes of their windows) repeat
-   whole; that is most of what repeats, and is settled by counting. Within a batch of input one row for
-   each context goes on. A head with one context has no repeat.
+   whole; that is most of what repeats. Within a batch of input their bytes are compared and one row for
+   each context goes on; between batches the SHA-256 of their bytes decides. A head with one context has no repeat.
 3. Contexts that share a head but differ are fetched from their texts and their suffixes from the anchor
    on are sorted by a mergesort whose comparisons find the common extension by binary search over
    prefix polynomial hashes. For each offset of windows before the anchor, neighbours in suffix order that
    agree on the bytes left of it are tested for a common extension of the rest. What the hashes find
    equal is verified byte by byte; a bucket in which that fails is redone without hashes.
-   A bucket takes CELL contexts at most. A head with more has several; for those heads alone, windows
-   are also compared across buckets by digests, counted with partial sums.
-4. The spans of a document are merged and cut out.
+   A bucket takes CELL contexts at most. A head with more has several; for those heads, windows are also
+   compared across buckets, by the SHA-256 of their bytes counted with partial sums.
+4. The spans of a row are merged and cut out.
+
+A passage that very many documents share gives one head very many rows. Such heads are found in a sample of
+the anchors, which steers the dealing alone: their rows are dealt by head and context to several tasks.
+
+Rows are numbered in a written table, so each is a document of its own.
 
 Defined cases: null text counts as empty; texts under 200 bytes keep all; matches never cross documents;
 an exactly repeated row is another document, so both lose all if they have 200 bytes; rows of null
-or repeated doc_id are told apart by their texts; an empty table gives an empty result.
+or equal doc_id are documents like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ GRAM = 16
 HEAD = LENGTH - STRETCH + 1
 SEGMENT = 1 << 19
 CELL = 16_384
+#: One in so many anchors is looked at to find crowded heads.
+SAMPLE = 64
 BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict = {}
 
@@ -213,20 +220,39 @@ def _plainly(raw, begin, left, number, members):
     return pairs[:, 0], pairs[:, 1]
 
 
-ANCHORS = "head long, context long, doc_id long, tag int, first int, number int, left int, state int"
+ANCHORS = "head long, context long, row long, first int, number int, left int, state int"
 #: state of an anchor's row: the only one of its context in its batch, the one of several that goes on, a further one
 SINGLE, FIRST, FURTHER = 0, 1, 2
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _same_bytes(raw, a, b, size):
+    """Whether raw[a : a + size] equals raw[b : b + size], for arrays of places and sizes."""
+    import numpy as np
+
+    out = np.ones(len(a), bool)
+    steps = np.arange(int(size.max()) if len(size) else 0)
+    for k in range(0, len(a), 20_000):
+        part = slice(k, k + 20_000)
+        inside = steps < size[part, None]
+        x, y = (raw[np.minimum(p[part, None] + steps, len(raw) - 1)] for p in (a, b))
+        out[part] = ((x == y) | ~inside).all(axis=1)
+    return out
+
+
 def _anchor_rows(batches):
     import numpy as np
     import pyarrow as pa
 
-    names = [x.split()[0] for x in ANCHORS.split(", ")]
+    names = _names(ANCHORS)
     for batch in batches:
-        doc_ids, parts, sizes = batch.column("doc_id"), [], []
+        rows, parts, sizes, held = batch.column("row"), [], [], []
         for text in batch.column("text").to_pylist():
-            got = anchors(np.frombuffer((text or "").encode(), np.uint8))
+            held.append((text or "").encode())
+            got = anchors(np.frombuffer(held[-1], np.uint8))
             parts.append(got)
             sizes.append(len(got[0]))
         if not sum(sizes):
@@ -235,16 +261,32 @@ def _anchor_rows(batches):
         row = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((context, head))
         same = (head[order[1:]] == head[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
+        # what the hashes call equal is compared; a group that differs goes on row by row
+        begin = np.cumsum([0, *map(len, held[:-1])])[row] + first
+        i, j = order[:-1][same], order[1:][same]
+        equal = (number[i] == number[j]) & (left[i] == left[j]) & _same_bytes(np.frombuffer(b"".join(held), np.uint8), begin[i], begin[j], number[i] + LENGTH - 1)
+        group = np.cumsum(np.append(True, ~same)) - 1
+        wrong = np.zeros(group[-1] + 1, bool)
+        wrong[group[1:][same][~equal]] = True
+        same &= ~wrong[group[1:]]
         state = np.zeros(len(order), np.int32)
         state[order[1:][same]] = FURTHER
         lead = order[:-1][same]
         state[lead[state[lead] == SINGLE]] = FIRST
-        ids = pa.array(row)
-        columns = [pa.array(head.view(np.int64)), pa.array(context.view(np.int64)), doc_ids.take(ids), batch.column("tag").take(ids), *(pa.array(x.astype(np.int32)) for x in (first, number, left, state))]
+        columns = [pa.array(head.view(np.int64)), pa.array(context.view(np.int64)), rows.take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (first, number, left, state))]
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-BUCKETS = "head long, part int, doc_id long, tag int, first int, number int, left int, whole boolean"
+def crowded(table: DataFrame, cell: int) -> DataFrame:
+    """_head and cells (2 or more) of the heads with more than about cell rows, from a sample of the rows."""
+    dealt = table.where(F.col("state") < FURTHER)
+    part = F.pmod(F.xxhash64("row", "first"), F.lit(SAMPLE)) == 0
+    heads = dealt.where(part).groupBy("head").agg((F.count("*") * SAMPLE).alias("_n")).where(F.col("_n") > cell)
+    # at most (rows / cell) of them
+    return write_table(heads.select(F.col("head").alias("_head"), F.ceil(F.col("_n") / cell).cast("int").alias("cells")), "heads")
+
+
+BUCKETS = "head long, context long, part long, row long, first int, number int, left int, whole boolean, several boolean"
 
 
 def _with_next(items):
@@ -261,55 +303,70 @@ def _with_next(items):
 def _bucket_rows(cell: int):
     """Rows whose context repeats (whole), and one row of each context that shares its head with another.
 
-    Rows come by head and context. A context has at most one row per input batch; of a head only its last context and their
-    number are held, so it may have any number.
+    Rows come by head, dealt (the share of a crowded head that the task got) and context. A context has at most one row
+    per input batch; of a head only its last context and their number are held, so it may have any number. All contexts
+    of a crowded head may have others in other tasks, so all go on.
     """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        last_head, held = None, 0
-        for table, after in _with_next(whole_groups(batches, ["head", "context"])):
-            head, context, state = (table.column(k).to_numpy() for k in ("head", "context", "state"))
-            new = np.append(True, (head[1:] != head[:-1]) | (context[1:] != context[:-1]))
+        last, held = None, 0
+        for table, after in _with_next(whole_groups(batches, ["head", "dealt", "context"])):
+            head, dealt, context, state = (table.column(k).to_numpy() for k in ("head", "dealt", "context", "state"))
+            split = table.column("cells").to_numpy() > 1
+            change = (head[1:] != head[:-1]) | (dealt[1:] != dealt[:-1])
+            new = np.append(True, change | (context[1:] != context[:-1]))
             group = np.cumsum(new) - 1
             times = np.bincount(group)
             several = np.bincount(group, weights=state == FIRST) > 0
             whole = (times[group] > 1) | several[group]
-            heads = head[new]
-            as_before = np.append(last_head is not None and heads[0] == last_head, heads[1:] == heads[:-1])
-            as_after = np.append(heads[1:] == heads[:-1], after is not None and after.column("head")[0].as_py() == heads[-1])
-            # the number of each context within its head
+            at = np.flatnonzero(new)
+            heads, deals = head[at], dealt[at]
+            follows = (heads[1:] == heads[:-1]) & (deals[1:] == deals[:-1])
+            key = lambda t, k: (t.column("head")[k].as_py(), t.column("dealt")[k].as_py())
+            as_before = np.append(last is not None and key(table, 0) == last, follows)
+            as_after = np.append(follows, after is not None and key(after, 0) == key(table, table.num_rows - 1))
+            # the number of each context within its head's share
             begin = np.maximum.accumulate(np.where(as_before, 0, np.arange(len(heads))))
             number = np.arange(len(heads)) - begin
             if as_before[0]:
                 number[: int((~as_before).argmax()) if not as_before.all() else len(heads)] += held
-            last_head, held = heads[-1], int(number[-1]) + 1
-            compare = np.flatnonzero(new)[as_before | as_after]
-            at = np.concatenate([np.flatnonzero(whole), compare])
-            rows = table.take(pa.array(at))
-            columns = {k: rows.column(k).combine_chunks() for k in ("head", "doc_id", "tag", "first", "number", "left")}
-            columns["part"] = pa.array((number[group[at]] // cell).astype(np.int32))
-            columns["whole"] = pa.array(np.arange(len(at)) < whole.sum())
-            names = [x.split()[0] for x in BUCKETS.split(", ")]
+            last, held = key(table, table.num_rows - 1), int(number[-1]) + 1
+            compare = at[as_before | as_after | split[at]]
+            take = np.concatenate([np.flatnonzero(whole), compare])
+            rows = table.take(pa.array(take))
+            columns = {k: rows.column(k).combine_chunks() for k in ("head", "context", "row", "first", "number", "left")}
+            columns["part"] = pa.array(dealt[take].astype(np.int64) << 32 | number[group[take]] // cell)
+            columns["whole"] = pa.array(np.arange(len(take)) < whole.sum())
+            columns["several"] = pa.array(state[take] == FIRST)
+            names = _names(BUCKETS)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
     return run
 
 
-CONTEXTS = "head long, part int, doc_id long, tag int, first int, number int, left int, bytes binary"
+CONTEXTS = "head long, context long, part long, row long, first int, number int, left int, whole boolean, several boolean, digest binary, bytes binary"
 
 
 def _context_rows(batches):
+    """The contexts with the bytes of those that are to be compared, and the SHA-256 of those that repeat whole."""
+    import hashlib
+
     import pyarrow as pa
 
-    schema = pa.schema([("head", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("first", pa.int32()), ("number", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary())])
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in CONTEXTS.split(", ")])
     for batch in batches:
         for one in range(batch.num_rows):
             row = batch.slice(one, 1).to_pylist()[0]
-            raw = row["text"].encode()
-            yield pa.RecordBatch.from_pylist([x | {"doc_id": row["doc_id"], "tag": row["tag"], "bytes": raw[x["first"] : x["first"] + x["number"] + LENGTH - 1]} for x in row["rows"]], schema)
+            raw, out = row["text"].encode(), []
+            for x in row["rows"]:
+                part = raw[x["first"] : x["first"] + x["number"] + LENGTH - 1]
+                digest = hashlib.sha256(b"%d:" % x["left"] + part).digest() if x["whole"] else None
+                out.append(x | {"row": row["row"], "digest": digest, "bytes": None if x["whole"] else part})
+            yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def _suffix_rows(batches):
@@ -331,67 +388,81 @@ def _suffix_rows(batches):
         ends = np.append(begins[1:], len(key)) - 1 if len(begins) else begins
         at = pa.array(context[begins])
         start, end = first[context[begins]] + window[begins], first[context[begins]] + window[ends] + LENGTH
-        yield pa.RecordBatch.from_arrays([table.column("doc_id").take(at).combine_chunks(), table.column("tag").take(at).combine_chunks(), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "tag", "start", "end"])
+        yield pa.RecordBatch.from_arrays([table.column("row").take(at).combine_chunks(), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["row", "start", "end"])
 
 
 def _window_rows(batches):
-    """A row for each window of the contexts: its digest and place."""
+    """A row for each window of the contexts: its SHA-256 and place."""
     import hashlib
 
     import pyarrow as pa
 
-    names = ["digest", "doc_id", "tag", "start"]
     for batch in batches:
         for one in range(batch.num_rows):
-            row = batch.slice(one, 1).to_pylist()[0]
-            raw = row["text"].encode()
-            starts = [x["first"] + w for x in row["rows"] for w in range(x["number"])]
-            digests_ = [hashlib.blake2b(raw[s : s + LENGTH], digest_size=16).digest() for s in starts]
-            yield pa.RecordBatch.from_arrays([pa.array(digests_, pa.binary()), pa.array([row["doc_id"]] * len(starts), pa.int64()), pa.array([row["tag"]] * len(starts), pa.int32()), pa.array(starts, pa.int32())], names)
-
-
-def _across(tagged: DataFrame, need: DataFrame) -> DataFrame | None:
-    """Spans of windows that repeat across the buckets of one head; None if each head has one bucket."""
-    heads = write_table(need.where("part = 1").select(F.col("head").alias("_head")).distinct(), "heads")
-    if heads.isEmpty():
-        return None
-    hot = need.join(heads, F.col("head") == F.col("_head"), "left_semi")
-    windows = write_table(_with_text(tagged, _rows_of(hot), "inner").mapInArrow(_window_rows, "digest binary, doc_id long, tag int, start int"), "windows")
-    twice = write_table(windows.groupBy("digest").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("digest").alias("_digest")), "digests")
-    found = windows.join(twice, F.col("digest") == F.col("_digest"), "left_semi")
-    return found.select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("end"))
+            x = batch.slice(one, 1).to_pylist()[0]
+            starts = range(x["number"])
+            shas = [hashlib.sha256(x["bytes"][s : s + LENGTH]).digest() for s in starts]
+            yield pa.RecordBatch.from_arrays([pa.array(shas, pa.binary()), pa.array([x["row"]] * len(starts), pa.int64()), pa.array([x["first"] + s for s in starts], pa.int32())], ["digest", "row", "start"])
 
 
-def _rows_of(need: DataFrame) -> DataFrame:
-    """The contexts of each text; a text's anchors bound their number."""
-    return need.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("head", "part", "first", "number", "left")).alias("rows"))
+SPANS = "row long, start int, end int"
 
 
-def spans(tagged: DataFrame, cell: int = CELL) -> DataFrame:
-    """doc_id, tag, start and end in bytes, not merged, of what goes; tagged has doc_id, text and tag."""
-    table = write_table(tagged.mapInArrow(released(_anchor_rows), ANCHORS), "anchors")
-    dealt = table.where(F.col("state") < FURTHER).repartition("head").sortWithinPartitions("head", "context")
-    buckets = write_table(dealt.mapInArrow(_bucket_rows(cell), BUCKETS), "buckets")
-
-    need = buckets.where("NOT whole")
-    fetched = _with_text(tagged, _rows_of(need), "inner").mapInArrow(released(_context_rows), CONTEXTS)
-    partial = fetched.repartition("head", "part").sortWithinPartitions("head", "part").mapInArrow(released(_suffix_rows), "doc_id long, tag int, start int, end int")
-    across = _across(tagged, need)
-    found = partial if across is None else partial.unionAll(across)
-    place = lambda df: df.select("doc_id", "tag", F.col("first").alias("start"), (F.col("first") + F.col("number") + LENGTH - 1).alias("end"))
-    return place(buckets.where("whole")).unionAll(place(table.where(F.col("state") > SINGLE))).unionAll(found)
-
-
-def _with_text(tagged: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    """tagged (doc_id, text, tag) with other's columns; a null doc_id meets a null one."""
-    other = other.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
-    return tagged.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), how).drop("_id", "_tag")
+def _compared(contexts: DataFrame) -> DataFrame:
+    """Spans of contexts that repeat in part, within their buckets and, for heads of several buckets, across them."""
+    within = contexts.repartition("head", "part").sortWithinPartitions("head", "part").mapInArrow(released(_suffix_rows), SPANS)
+    heads = write_table(contexts.groupBy("head").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a < _b").select(F.col("head").alias("_head")), "heads")
+    if heads.isEmpty():
+        return within
+    hot = contexts.join(heads, F.col("head") == F.col("_head"), "left_semi").select("row", "first", "number", "bytes")
+    windows = write_table(hot.mapInArrow(_window_rows, "digest binary, row long, start int"), "windows")
+    twice = write_table(windows.groupBy("digest").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("digest").alias("_digest")), "digests")
+    across = windows.join(twice, F.col("digest") == F.col("_digest"), "left_semi")
+    return within.unionAll(across.select("row", "start", (F.col("start") + LENGTH).alias("end")))
+
+
+def _fetched(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """need's contexts (BUCKETS) with their bytes or digests; a text's anchors bound the number of its contexts."""
+    listed = need.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct(*[c for c in _names(BUCKETS) if c != "row"])).alias("rows"))
+    return rows.select("row", "text").join(listed, F.col("row") == F.col("_row")).select("row", "text", "rows").mapInArrow(released(_context_rows), CONTEXTS)
+
+
+def _wholly(whole: DataFrame) -> DataFrame:
+    """head, context, digest and whether the context repeats."""
+    return whole.groupBy("head", "context", "digest").agg((F.max("several") | (F.count("*") > 1)).alias("repeats"))
+
+
+def spans(rows: DataFrame, cell: int = CELL) -> DataFrame:
+    """row, start and end in bytes, not merged, of what goes; rows has row (unique and stable), and text."""
+    table = write_table(rows.select("row", "text").mapInArrow(released(_anchor_rows), ANCHORS), "anchors")
+    heads = crowded(table, cell)
+    dealt = table.where(F.col("state") < FURTHER).join(heads, F.col("head") == F.col("_head"), "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    dealt = dealt.withColumn("dealt", F.pmod(F.xxhash64("context"), F.col("cells")).cast("int")).select("head", "dealt", "cells", "context", "row", "first", "number", "left", "state")
+    key = ["head", "dealt"]
+    buckets = write_table(dealt.repartition(*key).sortWithinPartitions(*key, "context").mapInArrow(_bucket_rows(cell), BUCKETS), "buckets")
+    contexts = write_table(_fetched(rows, buckets), "contexts")
+
+    place = lambda df: df.select("row", F.col("first").alias("start"), (F.col("first") + F.col("number") + LENGTH - 1).alias("end"))
+    whole, compare = contexts.where("whole"), contexts.where("NOT whole")
+    # contexts whose hashes are equal and whose bytes aren't: hardly ever any
+    unlike = _wholly(whole).groupBy("head", "context").agg(F.count("*").alias("_n")).where("_n > 1")
+    unlike = write_table(unlike.select(F.col("head").alias("_h"), F.col("context").alias("_c")), "unlike")
+    if not unlike.isEmpty():
+        met = (F.col("head") == F.col("_h")) & (F.col("context") == F.col("_c"))
+        doubtful = whole.join(unlike, met, "left_semi")
+        good = _wholly(doubtful).where("repeats").select(F.col("head").alias("_h"), F.col("context").alias("_c"), F.col("digest").alias("_d"))
+        again = buckets.where("whole").join(unlike, met, "left_semi").withColumn("whole", F.lit(False))
+        more = write_table(_fetched(rows, again), "contexts")
+        kept = compare.join(more.select(F.col("row").alias("_r"), F.col("first").alias("_f")), (F.col("row") == F.col("_r")) & (F.col("first") == F.col("_f")), "left_anti")
+        compare = write_table(kept.unionByName(more), "contexts")
+        whole = whole.join(unlike, met, "left_anti").unionByName(doubtful.join(good, met & (F.col("digest") == F.col("_d")), "left_semi"))
+    return place(whole).unionAll(place(table.where(F.col("state") > SINGLE))).unionAll(_compared(compare))
 
 
 def cut(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """doc_id, kept (the remaining bytes), n_bytes, n_removed and n_spans of each row of docs."""
-    tagged = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.hash(F.coalesce("text", F.lit(""))).alias("tag"))
-    gone = spans(tagged, cell).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    rows = write_table(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "rows")
+    gone = spans(rows, cell).groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
 
     def remove(batches):
         import pyarrow as pa
@@ -414,7 +485,8 @@ def cut(docs: DataFrame, cell: int = CELL) -> DataFrame:
                 runs.append(n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return _with_text(tagged, gone, "left").select("doc_id", "text", "gone").mapInArrow(released(remove), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    joined = rows.join(gone, F.col("row") == F.col("_row"), "left").select("doc_id", "text", "gone")
+    return joined.mapInArrow(released(remove), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def digests(docs: DataFrame) -> DataFrame:
