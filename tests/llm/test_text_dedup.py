@@ -273,12 +273,33 @@ def test_near_dups(spark, documents, cell):
     assert all(got[doc_id][0] % 2**64 == p for (doc_id, *_), p in zip(rows, prints, strict=True))
 
 
+def test_near_dups_under_null_and_equal_ids(spark, documents):
+    """Rows of one doc_id belong together; rows of null doc_id link like any other."""
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (7, b, "s"), (None, c, "s"), (8, c, "s"), (None, d, "s"), (None, d, "s"), (9, None, "s")]
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_dups(documents(rows)).collect()), key=repr)
+    assert got == sorted([(3, 3), (5, 3), (5, 3), (7, 3), (None, 8), (8, 8), (None, None), (None, None), (9, 9)], key=repr)
+
+
+def test_hubs(spark, monkeypatch):
+    """Nodes of many edges are dealt to several tasks."""
+    monkeypatch.setattr(components, "HUB", 3)
+    edges = [(500, k) for k in range(40)] + [(k, 1000 + k) for k in range(20)] + [(2000 + k, 2001 + k) for k in range(9)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: 0 for n in [*range(1, 40), 500, *range(1000, 1020)]} | {n: 2000 for n in range(2001, 2010)}
+
+
 def test_keep_one(spark, documents):
-    rows = [(5, "a b c d e f", "s"), (2, "A b c d e f", "s"), (2, "A b c d e f", "s"), (9, "other words that differ from them all", "s"), (None, "a b c d e f", "s")]
+    """One row of each group, whatever its doc_id; among rows alike but for further columns the choice doesn't depend on partitions."""
+    rows = [(5, "a b c d e f", "s"), (2, "A b c d e f", "s"), (2, "A b c d e f", "t"), (9, "other words that differ from them all", "s"), (None, "a b c d e f", "s"), (None, "no id", "s"), (None, "no id", "s"), (None, "NO id", "u"), (9, "one id with a second text", "s")]
     docs = documents(rows)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id is not None, r.doc_id) for r in kept.collect()) == [(False, None), (True, 2), (True, 9)]
+    kept = [similar.keep_one(docs.repartition(n)) for n in (1, 4)]
+    assert kept[0].columns == docs.columns
+    found = [sorted((r.doc_id or 0, r.text.lower()) for r in k.collect()) for k in kept]
+    assert found[0] == found[1] == [(0, "no id"), (2, "a b c d e f"), (9, "one id with a second text"), (9, "other words that differ from them all")]
+    assert kept[0].where("doc_id = 2").first().source == kept[1].where("doc_id = 2").first().source
     assert simhash.classes(documents([])).count() == 0
 
 

@@ -2,7 +2,8 @@
 
 Each step is an aggregate and a join on the node; the edges of each round are written to the shared
 folder, so no lineage grows and nothing is gathered on the driver but one row of counts. The edges of a
-node are dealt to SALTS tasks, each with a copy of the node's least neighbour.
+node of more than HUB of them are dealt to as many tasks as their number asks for, each with a copy of the
+node's least neighbour.
 """
 
 from __future__ import annotations
@@ -12,26 +13,41 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, write_table
 
+HUB = 1_000
 
-SALTS = 8
 
+def _met(edges: DataFrame, mins: DataFrame) -> DataFrame:
+    """edges with _m, the least v of their u."""
+    hubs = mins.where(F.col("_n") > HUB).select("u", F.ceil(F.col("_n") / HUB).cast("int").alias("_parts"))
+    if hubs.isEmpty():
+        return edges.join(mins.drop("_n"), "u")
+    # at most (edges / HUB) rows
+    hubs = write_table(hubs, "hubs")
+    parts = edges.join(hubs, "u", "left").withColumn("_salt", F.pmod(F.xxhash64("v"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = mins.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / HUB).cast("int") - 1)))
+    return parts.join(copies.drop("_n"), ["u", "_salt"]).drop("_salt")
 
-def _met(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges with _m, the least v of their u; and the table of u and _m."""
-    mins = edges.groupBy("u").agg(F.min("v").alias("_m"))
-    copies = mins.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies, ["u", "_salt"]), mins
+
+def _least(edges: DataFrame) -> DataFrame:
+    """u, its least v and the number of its edges; written."""
+    return write_table(edges.groupBy("u").agg(F.min("v").alias("_m"), F.count("*").alias("_n")), "mins")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both, _ = _met(edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    return both.where("v > u").select(F.col("v").alias("u"), F.least("u", "_m").alias("v")).distinct()
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    mins = _least(both)
+    done = write_table(_met(both, mins).where("v > u").select(F.col("v").alias("u"), F.least("u", "_m").alias("v")).distinct(), "edges")
+    drop_table(mins)
+    return done
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down, mins = _met(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    moved = down.where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
-    return moved.unionAll(mins.select("u", F.col("_m").alias("v"))).distinct()
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    mins = _least(down)
+    moved = _met(down, mins).where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
+    done = write_table(moved.unionAll(mins.select("u", F.col("_m").alias("v"))).distinct(), "edges")
+    drop_table(mins)
+    return done
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -43,9 +59,9 @@ def components(edges: DataFrame) -> DataFrame:
     table = write_table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        large = write_table(_large_star(table), "edges")
+        large = _large_star(table)
         drop_table(table)
-        table = write_table(_small_star(large), "edges")
+        table = _small_star(large)
         drop_table(large)
         # order-free digest of the edge set; stars that both steps leave alone are the components
         now = tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.bit_xor(F.xxhash64("v", "u"))).first())

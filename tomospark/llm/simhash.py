@@ -12,8 +12,8 @@ pair of parts is compared in a task of its own; the table of such anchors has at
 Each task returns a spanning forest of its links, never all pairs.
 
 Defined cases: null text counts as empty; texts without a word have fingerprint zero and link like
-any other; rows of equal doc_id are one node; a row of null doc_id gets its fingerprint and the
-component of others with the same fingerprint, but makes no links itself.
+any other; rows of one doc_id belong together, whatever their texts; a row of null doc_id links like any
+other, and a component of such rows alone has a null component_id; repeated rows are one node.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import released, shingles, whole_groups, write_table
 from .components import components
-from .similar import keep_one  # noqa: F401  the pipeline's stage, by similarity and not by bits
 
 THRESHOLD = 4
 SHINGLE = 4
@@ -37,11 +36,10 @@ GOLAY = 0b110001110101
 RADIUS = 3
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Bit i is 1 if it is 1 in over half of the shingles' XXH64 values."""
+def majority(h) -> int:
+    """Bit i is 1 if it is 1 in over half of the uint64 values; 0 for none."""
     import numpy as np
 
-    h = shingles(text, shingle, seed)
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -50,6 +48,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The majority of the shingles' XXH64 values."""
+    return majority(shingles(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
@@ -129,7 +132,7 @@ def forest(fp, threshold: int = THRESHOLD):
 
 
 def links(nodes: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
-    """(fp, rep), one row per fingerprint -> (u, v), pairs of rep whose components are those of the links."""
+    """(fp, rep), one row per fingerprint -> (u, v), pairs of rep (a name of the fingerprint) whose components are those of the links."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
 
@@ -176,8 +179,16 @@ def near_dups(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
     """doc_id, fp (signed long) and component_id for each row of docs."""
     prints = write_table(fingerprints(docs, shingle), "prints")
     nodes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    joined = components(links(nodes.where("rep IS NOT NULL"), threshold, cell))
-    named = nodes.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+    # fingerprints of one doc_id are tied to the least of them
+    several = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("_most")).where("u < _most").select(F.col("doc_id").alias("_doc"), "u")
+    tied = prints.join(several, F.col("doc_id") == F.col("_doc")).select("u", F.col("fp").alias("v")).where("u <> v").distinct()
+    joined = components(links(nodes.select("fp", F.col("fp").alias("rep")), threshold, cell).unionAll(tied)).select(F.col("node").alias("_fp"), "component")
+    joined = write_table(joined.unionAll(joined.select("component", "component").distinct()), "joined")
+    # a component's name is its least doc_id
+    least = joined.join(nodes, F.col("_fp") == F.col("fp")).groupBy("component").agg(F.min("rep").alias("_least"))
+    least = write_table(least.withColumnRenamed("component", "_component"), "least")
+    member = joined.join(least, F.col("component") == F.col("_component")).select("_fp", "_least")
+    named = nodes.join(member, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("_least", "rep").alias("component_id"))
     # written, so that the join below deals both sides itself and a hot fingerprint can be split
     named = write_table(named, "named")
     return prints.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
