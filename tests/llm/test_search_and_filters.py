@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tomospark.llm import ann, decontam, langid, mixing, secrets
 from tomospark.llm import queries as llm
+from tomospark.llm.common import settled
 
 
 def vectors(spark, rows):
@@ -257,7 +258,7 @@ def norm(text):
 def test_leaks(spark, documents):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
-    items = [(k, " ".join(word() for _ in range(rng.randint(8, 60)))) for k in range(30)] + [(100, None), (101, ""), (102, "too short"), (0, "A second item, under the same ID!")]
+    items = [(k, " ".join(word() for _ in range(rng.randint(8, 60)))) for k in range(30)] + [(100, None), (101, ""), (102, "short, absent"), (0, "A second item, under the same ID!")]
     noise = lambda n: " ".join(word() for _ in range(n))
     rows, want = [(900, None, "s"), (901, "", "s"), (902, noise(400), "s"), (903, "x" * 20_000, "s")], set()
     for k, text in items[:30]:
@@ -285,6 +286,71 @@ def test_leaks(spark, documents):
     assert decontam.keep_clean(docs, bench.where("false")).count() == len(rows)
 
 
+def hashed(text):
+    return decontam.words(np.frombuffer(decontam.lowered(text).encode(), np.uint8))[0]
+
+
+def test_lsh_recall_over_all_windows():
+    """CGK and LSH alone, over every item-sized window of texts, against plain edit distance."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    items = [(k, [word() for _ in range(rng.randint(8, 50))]) for k in range(60)]
+    index = decontam.Index([(k, hashed(" ".join(w))) for k, w in items])
+    leaks = found = within = 0
+    for k, item in items:
+        edited, d = list(item), int(index.edits[k])
+        for _ in range(d):
+            p, kind = rng.randrange(len(edited)), rng.choice("sid")
+            edited[p : p + (kind != "i")] = [word()] if kind != "d" else []
+        text = hashed(" ".join([word() for _ in range(40)] + edited + [word() for _ in range(60)]))
+        n = len(item)
+        start = np.arange(len(text) - n + 1)
+        near = [s for s in start.tolist() if decontam.distance(index.items[k].tolist(), text[max(0, s - d) : s + n + d].tolist())[0] <= d]
+        window, which = index.candidates(np.append(text, np.zeros(index.longest + 1, np.uint64)), start, np.full(len(start), n))
+        met = set(window[which == k].tolist())
+        leaks, found, within = leaks + bool(near), found + bool(met & set(near)), within + len(met) / len(start)
+    assert leaks == len(items) and found >= decontam.RECALL * leaks
+    assert within / len(items) < 0.2  # the tables leave most windows out
+
+
+def test_leaks_against_plain_edit_distance(spark, documents):
+    """Every item against every text, with more edits than allowed in some; short items need equal words."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(3))
+    items = [(k, [word() for _ in range(rng.randint(1, 30))]) for k in range(40)] + [(50, ["Été"]), (51, [])]
+    texts = []
+    for _, item in items * 2:
+        edited = list(item)
+        for _ in range(rng.randint(0, 2 + len(item) // 4)):
+            p, kind = rng.randrange(len(edited) + 1), rng.choice("sid")
+            edited[p : p + (kind != "i")] = [word()] if kind != "d" else []
+        texts.append(" ".join([word() for _ in range(rng.randint(0, 20))] + edited + [word() for _ in range(rng.randint(0, 20))]))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(documents(texts), bench).collect()}
+    want = {}
+    for t, text in enumerate(texts):
+        for k, item in items:
+            d = int(0.2 * len(item) + 1e-9)
+            best = decontam.distance(hashed(" ".join(item)).tolist(), hashed(text).tolist())[0] if item else 1
+            if item and best <= d:
+                want[t, k] = best
+    assert set(got) <= set(want) and len(got) >= decontam.RECALL * len(want)
+    assert all(got[t, k].edits == 0 for (t, k) in want if len(dict(items)[k]) < 5)  # none of these is missed
+    assert all(r.edits >= want[key] for key, r in got.items()) and sum(r.edits == want[key] for key, r in got.items()) >= 0.98 * len(got)
+    few = {(r.doc_id, r.item_id) for r in decontam.leaks(documents(texts), bench, min_words=5).collect()}
+    assert few == {(t, k) for t, k in got if len(dict(items)[k]) >= 5}
+
+
+def test_leaks_in_blocks(spark, documents, monkeypatch):
+    rng = random.Random(18)
+    items = [(k, " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(12))) for k in range(9)]
+    docs, bench = documents([f"x {t} y" for _, t in items] + ["no leak here"]), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 30)
+    assert len(list(decontam.blocks(bench))) == 4
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == {(k, k) for k in range(9)}
+    assert [r.doc_id for r in decontam.keep_clean(docs, bench).collect()] == [9]
+
+
 def plain_distance(item, text):
     best = (len(item), 0)
     row = list(range(len(item) + 1))
@@ -330,9 +396,10 @@ def test_pipeline(spark, folder):
     raw, known, single, clean, mixed = (s.toPandas() for s in seen)
     letters = raw[raw.text.fillna("").map(lambda t: any(c.isalpha() for c in t))]
     assert set(known.doc_id) <= set(letters.doc_id) and len(known) >= 0.99 * len(letters)
-    from tests.llm.test_text_dedup import brute_components, brute_print
+    from tests.llm.test_text_dedup import brute_copies
 
-    roots = brute_components([brute_print(t) for t in known.text])
+    # the stage's own definition: five words, similarity 0.8
+    roots = brute_copies(list(known.text))
     assert sorted(single.doc_id) == sorted(known.doc_id.groupby(np.array(roots)).min())
     bench = spark.read.parquet(f"{folder}/benchmark.parquet").toPandas()
     exact = {d for d, t in zip(single.doc_id, single.text, strict=True) if any(f" {norm(b)} " in f" {norm(t)} " for b in bench.text)}
@@ -356,11 +423,13 @@ def test_pipeline_on_odd_tables(spark, folder, tmp_path):
     for name, table, items in (("empty", nothing, bench), ("odd", odd, bench), ("unsought", docs.limit(30), bench.where("false"))):
         table.write.parquet(str(tmp_path / name / "documents.parquet"))
         items.write.parquet(str(tmp_path / name / "benchmark.parquet"))
-        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
-        assert bool(rows) == (name != "empty")
         held = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, held, str(tmp_path / name)).columns == held.columns
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            out = settled(lambda: stage(spark, held, str(tmp_path / name)), stage_name)  # noqa: B023
+            assert out.columns == held.columns
+            held = out
+        rows = corpus_pipeline.STAGES[-1][1](spark, held, str(tmp_path / name)).collect()
+        assert bool(rows) == (name != "empty")
 
 
 @pytest.mark.parametrize("name", sorted(llm.QUERIES))

@@ -15,43 +15,72 @@ from ..shipping import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
+#: Paths that write_table made, for each settled() under way.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which executors and driver share.
 
-    Only where it is unset (tests on one machine) an own folder is made.
+    Only where it is unset and all runs on one machine (as in tests) an own folder is made.
     """
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="tomospark-")
     return _own_dir
 
 
+def _file_system(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()), hadoop_path
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The folder is deleted when the driver ends.
+    The folder is deleted with the end of the settled() around it, or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tomospark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    files, hadoop_path = _file_system(spark, path)
+    files.deleteOnExit(hadoop_path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make, name: str) -> DataFrame:
+    """The written table of make(); all tables that were written on the way are deleted."""
+    _open.append([])
+    spark = None
+    try:
+        df = make()
+        spark = df.sparkSession
+        out = write_table(df, name)
+        kept = _open[-1].pop()
+    finally:
+        paths = _open.pop()
+        if spark is not None:
+            for path in paths:
+                files, hadoop_path = _file_system(spark, path)
+                files.delete(hadoop_path, True)
+    if _open:
+        _open[-1].append(kept)
+    return out
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table of write_table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _file_system(df.sparkSession, file)
+        files.delete(path.getParent(), True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -58,7 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select("u", "v").where("u <> v")
     table = write_table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
-    while True:
+    while not table.isEmpty():
         large = _large_star(table)
         drop_table(table)
         table = _small_star(large)
@@ -66,5 +66,6 @@ def components(edges: DataFrame) -> DataFrame:
         # order-free digest of the edge set; stars that both steps leave alone are the components
         now = tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.bit_xor(F.xxhash64("v", "u"))).first())
         if now == seen:
-            return table.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            break
         seen = now
+    return table.select(F.col("u").alias("node"), F.col("v").alias("component"))

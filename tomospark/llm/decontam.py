@@ -4,19 +4,26 @@ Texts are sequences of words (runs of letters and digits of the lower-cased text
 document leaks an item of n words if some stretch of it is within floor((1 - SIMILARITY) * n) = d word
 edits (insertions, deletions, replacements) of the item.
 
-1. Windows. An item is cut into d + 1 runs of words; d edits leave one of them whole, so a leak holds one of
-   the item's runs, and the item-sized window that lays this run on its place in the item covers it.
-   This loses nothing: other windows of the document hold no leak.
+1. Windows. Of all windows of an item's size only those are looked at that can hold a leak: an item is cut into
+   d + 1 runs of words; d edits leave one of them whole, so a leak holds one of the item's runs, and the
+   item-sized window that lays this run on its place in the item covers it. This prefilter loses nothing;
+   embedding all windows instead costs 3n steps for each word, size and walk.
 2. CGK. A random walk embeds a window (3n steps; a step emits the current word and moves on or stays by a
    random bit of step and word), which turns edit distance into Hamming distance. REPEATS walks are made.
-3. LSH. TABLES tables each sample SAMPLES steps of a walk; windows and items that agree there are candidates.
-   RECALL below is measured by a test at the largest distance, d.
+3. LSH. TABLES tables each sample SAMPLES steps of a walk's first STEPS * n, and only those are made; windows and
+   items that agree there are candidates.
+   RECALL below is measured by tests: at the largest distance, d, and over all item-sized windows of texts
+   without the prefilter, against plain edit distance.
 4. Verification: the exact least edit distance of the item to any stretch of the window and d words
    either side, by Myers' bit vectors.
 
-Items come to the executors in blocks of BLOCK_WORDS words at most (or one longer item), however many there are.
+Items too short for an edit (d = 0, fewer than five words) need no embedding: equal words are looked up. An item of one common word
+is in many documents, so min_words can leave such items out.
 
-Defined cases: null or empty texts leak nothing and null, empty or shorter items than MIN_WORDS words are not
+Items come to the executors in blocks of BLOCK_WORDS words at most (or one longer item), however many there are;
+a block's results are written before the next one comes.
+
+Defined cases: null or empty texts leak nothing and null or empty items are not
 searched for; repeated items and rows each count; bytes above 127 count as letters; of scripts that are
 written without spaces (SOLO) each character is a word.
 """
@@ -27,14 +34,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, release, released
+from .common import fresh, release, released, write_table
 from .suffix_dedup import Prefix, _mix
 
 SIMILARITY = 0.8
-MIN_WORDS = 5
+MIN_WORDS = 1
 REPEATS = 8
 TABLES = 128
 SAMPLES = 3
+#: Steps are sampled from the first STEPS * n of the walk's 3n. A walk leaves n words after 2n steps on average;
+#: from there on all walks emit the same, so samples of such steps would agree for any two windows.
+STEPS = 1.7
 RECALL = 0.95
 BLOCK_WORDS = 1_000_000
 SEED = 42
@@ -135,17 +145,27 @@ def distance(item: list[int], text: list[int]) -> tuple[int, int]:
 class Index:
     """A block of items: the tables of their runs, and their embeddings' LSH tables."""
 
-    def __init__(self, items, similarity=SIMILARITY, repeats=REPEATS, tables=TABLES, samples=SAMPLES, seed=SEED):
+    def __init__(self, items, similarity=SIMILARITY, repeats=REPEATS, tables=TABLES, samples=SAMPLES, seed=SEED, min_words=MIN_WORDS):
         import numpy as np
 
         rng = np.random.default_rng(seed)
+        items = [(i, w) for i, w in items if len(w) >= max(1, min_words)]
         self.ids, self.items = [i for i, _ in items], [w for _, w in items]
         self.sizes = np.array([len(w) for w in self.items], np.int64)
         # a share like 0.2 * 35 must not fall short of 7
         self.edits = np.floor((1 - similarity) * self.sizes + 1e-9).astype(np.int64)
         self.longest = int(self.sizes.max()) if len(items) else 0
         by_size: dict[int, list] = {}
+        #: items without an edit by their number of words: sorted hashes and items
+        self.exact = {int(n): None for n in self.sizes[self.edits == 0]}
+        for n in self.exact:
+            same = np.flatnonzero((self.sizes == n) & (self.edits == 0))
+            h = np.array([runs(self.items[k], n)[0] for k in same], np.uint64)
+            order = np.argsort(h, kind="stable")
+            self.exact[n] = (h[order], same[order])
         for k, (w, n, d) in enumerate(zip(self.items, self.sizes, self.edits, strict=True)):
+            if not d:
+                continue
             size = int(n // (d + 1))
             for r, h in enumerate(runs(w, size)[:: size][: d + 1]):
                 by_size.setdefault(size, []).append((int(h), k, r * size))
@@ -156,14 +176,15 @@ class Index:
             seen = np.zeros(1 << 18, bool)
             seen[h >> np.uint64(46)] = True
             self.runs[size] = (seen, h, np.array([self.sizes[r[1]] for r in rows]), np.array([r[2] for r in rows]))
-        self.bits = [rng.integers(0, 2, (3 * self.longest, 256), dtype=np.int64) for _ in range(repeats)]
+        self.bits = [rng.integers(0, 2, (int(STEPS * self.longest) + 1, 256), dtype=np.int64) for _ in range(repeats)]
         self.at = rng.random((tables, samples))
         self.tables = []
-        if items:
-            flat = np.concatenate(self.items)
-            for keys in self.keys(flat, np.cumsum(self.sizes) - self.sizes, self.sizes):
+        loose = np.flatnonzero(self.edits > 0)
+        if len(loose):
+            flat, begin = np.concatenate(self.items), np.cumsum(self.sizes) - self.sizes
+            for keys in self.keys(flat, begin[loose], self.sizes[loose]):
                 order = np.argsort(keys, kind="stable")
-                self.tables.append((keys[order], order))
+                self.tables.append((keys[order], loose[order]))
 
     def windows(self, hashes):
         """First words and sizes of the windows that a run of an item points to; each once."""
@@ -180,6 +201,23 @@ class Index:
         key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return key >> 24, key & 0xFFFFFF
 
+    def equal(self, hashes):
+        """(first word, item) of the first place of each item without an edit."""
+        import numpy as np
+
+        out = []
+        for n, (h, items) in self.exact.items():
+            have = runs(hashes, n)
+            low, high = np.searchsorted(h, have), np.searchsorted(h, have, "right")
+            at = np.flatnonzero(low < high)
+            for entry in np.unique(low[at]).tolist():
+                places = at[low[at] == entry]
+                for k in items[h == h[entry]].tolist():
+                    first = next((p for p in places.tolist() if (hashes[p : p + n] == self.items[k]).all()), None)
+                    if first is not None:
+                        out.append((first, k))
+        return out
+
     def keys(self, flat, start, size):
         """For each table the windows' keys."""
         import numpy as np
@@ -188,7 +226,7 @@ class Index:
         for k in range(0, len(start), 8_192):
             s, n = start[k : k + 8_192], size[k : k + 8_192]
             for r, bits in enumerate(self.bits):
-                walk = np.zeros((3 * int(n.max()), len(s)), np.uint64)
+                walk = np.zeros((int(STEPS * n.max()) + 1, len(s)), np.uint64)
                 at, end = s.copy(), s + n
                 for step in range(len(walk)):
                     word = np.where(at < end, flat[np.minimum(at, len(flat) - 1)], np.uint64(0))
@@ -197,7 +235,7 @@ class Index:
                 for t in range(r, len(self.at), len(self.bits)):
                     key = n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
                     for u in self.at[t]:
-                        key = _mix(key ^ walk[(u * 3 * n).astype(np.int64), np.arange(len(s))]) + np.uint64(1)
+                        key = _mix(key ^ walk[(u * STEPS * n).astype(np.int64), np.arange(len(s))]) + np.uint64(1)
                     out[t, k : k + 8_192] = key
         return out
 
@@ -218,13 +256,15 @@ class Index:
         """For each leak: (number of the text, number of the item, edits, first and end code point)."""
         import numpy as np
 
-        held, where, flat, base = [], [], [], 0
+        held, where, flat, base, best = [], [], [], 0, {}
         gap = np.zeros(self.longest + 1, np.uint64)
         for t, text in enumerate(texts):
             if not text or not self.items:
                 continue
             raw = lowered(text).encode()
             hashes, begin, end = words(np.frombuffer(raw, np.uint8))
+            for first, k in self.equal(hashes):
+                best[t, k] = (0, len(raw[: begin[first]].decode()), len(raw[: end[first + self.sizes[k] - 1]].decode()))
             start, size = self.windows(hashes)
             if len(start):
                 held.append((start, size, np.full(len(start), len(where))))
@@ -232,11 +272,10 @@ class Index:
                 flat += [hashes, gap]
                 base += len(hashes) + len(gap)
         if not held:
-            return []
+            return [(t, i, *x) for (t, i), x in sorted(best.items())]
         start, size, doc = (np.concatenate(x) for x in zip(*held, strict=True))
         bases = np.array([w[5] for w in where])
         window, item = self.candidates(np.concatenate(flat), start + bases[doc], size)
-        best: dict = {}
         for w, i in zip(window.tolist(), item.tolist(), strict=True):
             t, raw, hashes, begin, end, _ = where[doc[w]]
             d, n = int(self.edits[i]), int(self.sizes[i])
@@ -262,7 +301,7 @@ def blocks(benchmark: DataFrame, **options):
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         hashed = [(i, words(np.frombuffer(lowered(t).encode(), np.uint8))[0]) for i, t in sorted(block.collect(), key=str)]
-        yield Index([(i, w) for i, w in hashed if len(w) >= MIN_WORDS], **options)
+        yield Index(hashed, **options)
 
 
 LEAKS = "doc_id long, item_id long, edits int, item_words int, similarity double, start int, end int"
@@ -289,14 +328,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in LEAKS.split(", ")])
 
-        part = rows.mapInArrow(released(find), LEAKS)
+        # written, so that one block at a time is on the executors
+        part = write_table(rows.mapInArrow(released(find), LEAKS), "leaks")
+        shared.destroy()
         out = part if out is None else out.unionAll(part)
     return out if out is not None else spark.createDataFrame([], LEAKS)
 
 
-def leaking(docs: DataFrame, index: Index) -> Column:
-    """Whether text leaks an item of the block."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by BLOCK_WORDS
+def leaking(shared) -> Column:
+    """Whether text leaks an item of the block; shared: a broadcast index."""
 
     def test(text: pd.Series) -> pd.Series:
         hit = {f[0] for f in shared.value.search(text.tolist())}
@@ -308,7 +348,9 @@ def leaking(docs: DataFrame, index: Index) -> Column:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that leak an item."""
+    (name,) = fresh(docs, "_leaks")
     for index in blocks(benchmark, **options):
-        (name,) = fresh(docs, "_leaks")
-        docs = docs.withColumn(name, leaking(docs, index)).where(~F.col(name)).drop(name)
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by BLOCK_WORDS
+        docs = write_table(docs.withColumn(name, leaking(shared)).where(~F.col(name)).drop(name), "clean")
+        shared.destroy()
     return docs
