@@ -30,7 +30,7 @@ def test_neighbours(spark):
     rng = np.random.default_rng(3)
     rows = [(k, rng.normal(size=16).tolist(), 0) for k in range(1500)]
     rows += [(3000, None, 0), (3100, [0.0] * 16, 0), (3200, [float("nan")] + [1.0] * 15, 0), (3300, [None] + [1.0] * 15, 0), (3400, [1.0] * 3, 0), (None, [1.0] * 16, 0), (3500, rows[0][1], 0)]
-    got = ann.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0, shard=400, block=5).collect()
+    got = ann.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0, place=200, sample=512).collect()
     want = brute_nearest(rows)
     hits = sum((r.vec_id in {j for _, j in want[r.query_id]}) for r in got)
     assert {r.query_id for r in got} == set(want) and len(got) == 10 * len(want)
@@ -43,6 +43,39 @@ def test_neighbours(spark):
     assert all([x[0] for x in sorted(v)] == list(range(1, 11)) and sorted(v) == sorted(v, key=lambda x: x[1:]) for v in by.values())
 
 
+def test_repeated_vectors_and_ids(spark):
+    """One vector that a third of the rows have is dealt to several places; of a query's rows the least asks."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [1.0, 2.0, 3.0, 4.0] if k % 3 else rng.normal(size=4).round(2).tolist(), 0) for k in range(1, 900)]
+    rows += [(100, [9.0, 0.0, 0.0, 0.0], 0), (100, [8.0, 9.0, 0.0, 0.0], 0), (100, [8.0, 1.0, 0.0, 0.0], 0), (2000, [8.0, 1.0, 0.0, 0.5], 0)]
+    rows = [r for r in rows if r[0] != 100 or r[1][0] >= 8]
+    ask = F.col("vec_id") % 100 == 0
+    got = [sorted(map(tuple, ann.nearest(vectors(spark, rows).repartition(n), ask, dims=4, confidence=0.9999, place=60).collect())) for n in (1, 5)]
+    assert got[0] == got[1]
+    want = []
+    for q in sorted({i for i, *_ in rows if i % 100 == 0}):
+        own = np.array(min(v for i, v, _ in rows if i == q), np.float32).astype(float)
+        near = sorted((float(np.sqrt(((np.array(v, np.float32).astype(float) - own) ** 2).sum())), i) for i, v, _ in rows if i != q)[:10]
+        want += [(q, r + 1, i) for r, (_, i) in enumerate(near)]
+    assert [x[:3] for x in got[0]] == want
+
+
+@pytest.mark.parametrize(("kind", "least", "most"), [("clusters", 0.92, 0.1), ("sphere", 0.92, 0.75)])
+def test_share_verified(kind, least, most):
+    """Recall against all rows, and how many rows the chi-square test lets verify."""
+    rng = np.random.default_rng(9)
+    data = rng.normal(size=(20_000, 64)) if kind == "sphere" else rng.normal(size=(50, 64))[rng.integers(0, 50, 20_000)] + 0.05 * rng.normal(size=(20_000, 64))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    ids, hits, verified = np.arange(20_000), 0, 0
+    rows = ann.Place(ids, data, np.random.default_rng(ann.SEED).standard_normal((64, ann.DIMS)))
+    for q in range(0, 20_000, 200):
+        got, _, n = rows.nearest(q, data[q], 10)
+        dist = np.linalg.norm(data - data[q], axis=1)
+        dist[q] = np.inf
+        hits, verified = hits + len(set(rows.ids[got]) & set(np.argsort(dist)[:10])), verified + n
+    assert hits / 1_000 >= least and verified / 100 / 20_000 <= most
+
+
 def test_few_candidates_and_ties(spark):
     rows = [(0, [1.0, 0.0], 0), (5, [1.0, 1.0], 0), (4, [1.0, 1.0], 0), (7, [3.0, 0.0], 0)]
     got = sorted((r["rank"], r.vec_id, r.score) for r in ann.neighbours(vectors(spark, rows)).collect())
@@ -51,7 +84,7 @@ def test_few_candidates_and_ties(spark):
 
 
 def test_chi_square():
-    assert abs(ann.chi2_below(ann.chi2_bound(0.95)) - 0.95) < 1e-9
+    assert abs(ann.chi2_below(ann.chi2_bound(0.95)) - 0.95) < 1e-9 and abs(ann.chi2_bound(0.9, 16) - 23.541829) < 1e-5
     assert abs(ann.chi2_bound(0.95, 2) - 5.991464547) < 1e-6
 
 
