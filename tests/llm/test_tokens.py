@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -43,11 +44,20 @@ def test_words_equal_whole_texts_property(texts):
     assert by_slices(enc, texts) == enc.whole(texts)
 
 
-@given(st.lists(st.integers(0, 2**32 - 1), max_size=300), st.sampled_from([1, 8]), st.sampled_from([1, 7, 64, 65_536]))
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=300), st.sampled_from([1, 8]), st.sampled_from([1, 7, 64, 65_536]), st.integers(-5, 320), st.integers(-5, 320))
 @settings(max_examples=80, deadline=None)
-def test_blob_round_trip(ids, unit, block):
+def test_blob_round_trip(ids, unit, block, start, stop):
     ids = np.array(ids, "<u4")
-    assert (bitplanes.decode(bitplanes.encode(ids, unit, block)) == ids).all()
+    blob = bitplanes.encode(ids, unit, block)
+    assert (bitplanes.decode(blob) == ids).all()
+    assert bitplanes.decode_range(blob, start, stop).tolist() == ids[max(0, start) : max(0, stop)].tolist()
+
+
+def test_partial_reads_leave_other_blocks_packed(monkeypatch):
+    ids = np.arange(1_000, dtype="<u4")
+    blob, seen, read = bitplanes.encode(ids, 1, 100), [], bitplanes._read_block
+    monkeypatch.setattr(bitplanes, "_read_block", lambda *a: seen.append(a[2]) or read(*a))
+    assert bitplanes.decode_range(blob, 250, 310).tolist() == list(range(250, 310)) and len(seen) == 2
 
 
 def test_damaged_blob():
@@ -62,12 +72,19 @@ def test_damaged_blob():
 @pytest.mark.parametrize("unit", [1, 8])
 def test_corpus(spark, documents, unit):
     rows = [(k * 7 % 50, t, "s") for k, t in enumerate(ODD * 4)] + [(3, "same row", "s"), (3, "same row", "s"), (None, "no id", "s")]
-    docs = documents(rows).repartition(5)
     enc = tokens.encoder(None)
+    rows += [(None, f"no id {k}", "s") for k in range(30)]
+    docs = documents(rows).repartition(5)
     got = sorted(map(tuple, bitplanes.read_corpus(bitplanes.write_corpus(docs, unit=unit, segment=100)).collect()), key=lambda r: r[1])
-    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    by = lambda t: 42 if t is None else np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, by(r[1]), r[1] is not None, (r[1] or "").encode()))
     at = 0
     assert len(got) == len(rows)
+    segments = bitplanes.write_corpus(docs, unit=unit, segment=100)
+    stream = b"".join(bytes(r[3]) for r in got)
+    for a, b in ((0, 10), (95, 4_321), (5_000, 10**9)):
+        parts = sorted(map(tuple, bitplanes.read_range(segments, a, b).collect()))
+        assert b"".join(bytes(p[1]) for p in parts) == stream[4 * a : 4 * b] and parts[0][0] == a
     for (doc_id, start, n, ids), (want_id, text, _) in zip(got, want, strict=True):
         expected = enc.whole([text or ""])[0] + np.uint32(tokens.END_ID).tobytes()
         assert (doc_id, start, n, bytes(ids)) == (want_id, at, len(expected) // 4, expected)

@@ -9,8 +9,11 @@ the shard), first (ids of the shard before it), doc_ids, lens and the blob. Segm
 document, so that each can be read alone; one holds SEGMENT ids or a little more, or one long document.
 The shards' sizes, one row per partition, give each document's start.
 
+The chunk index serves partial reads: decode_range() unpacks only the blocks that a range of ids touches.
+
 Defined cases: null text is empty, and holds the end id alone; null doc_ids come first; rows of equal
-doc_id are ordered by text and each kept; an empty table gives an empty corpus.
+doc_id are ordered by the XXH64 of their text, so that they need not meet in one task, then by text, and each
+kept; an empty table gives an empty corpus.
 """
 
 from __future__ import annotations
@@ -73,31 +76,55 @@ def encode(ids, unit: int = 1, block: int = BLOCK, level: int = 1) -> bytes:
     return b"".join([head, *index, *body])
 
 
-def decode(blob: bytes, check: bool = True):
-    """uint32 array of a blob; ValueError if it is damaged."""
-    import numpy as np
-    import zstandard
-
-    magic, version, unit, n_planes, _, n, n_blocks, crc = HEADER.unpack_from(blob)
+def _blocks(blob: bytes):
+    """Header fields that readers need, and for each block: number of ids, place of its planes and their sizes."""
+    magic, version, unit, _n_planes, block, n, n_blocks, crc = HEADER.unpack_from(blob)
     if magic != MAGIC or version != 1:
         raise ValueError("not a bit-plane blob")
-    row = struct.Struct(f"<{1 + n_planes}I")
-    at = HEADER.size + n_blocks * row.size
-    unpack = zstandard.ZstdDecompressor().decompress
-    parts = []
+    row = struct.Struct(f"<{1 + _n_planes}I")
+    at, blocks = HEADER.size + n_blocks * row.size, []
     for k in range(n_blocks):
         count, *sizes = row.unpack_from(blob, HEADER.size + k * row.size)
-        planes = []
-        for s in sizes:
-            planes.append(unpack(blob[at : at + s]))
-            at += s
-        parts.append(_from_planes(planes, count, unit))
+        blocks.append((count, at, sizes))
+        at += sum(sizes)
+    return unit, block, n, crc, blocks
+
+
+def _read_block(blob: bytes, count: int, at: int, sizes, unit: int):
+    import zstandard
+
+    unpack, planes = zstandard.ZstdDecompressor().decompress, []
+    for s in sizes:
+        planes.append(unpack(blob[at : at + s]))
+        at += s
+    return _from_planes(planes, count, unit)
+
+
+def decode(blob: bytes, check: bool = True):
+    """uint32 array of a blob; ValueError if it is damaged."""
+    import numpy as np
+
+    unit, _, n, crc, blocks = _blocks(blob)
+    parts = [_read_block(blob, *b, unit) for b in blocks]
     ids = np.concatenate(parts) if parts else np.zeros(0, "<u4")
     if len(ids) != n or check and zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("damaged bit-plane blob")
     return ids
 
 
+def decode_range(blob: bytes, start: int, stop: int):
+    """ids[start:stop] of a blob, from the blocks that hold them alone; the blob's checksum isn't tested."""
+    import numpy as np
+
+    unit, block, n, _, blocks = _blocks(blob)
+    start, stop = max(0, start), min(stop, n)
+    if start >= stop:
+        return np.zeros(0, "<u4")
+    first = start // block
+    parts = [_read_block(blob, *b, unit) for b in blocks[first : (stop - 1) // block + 1]]
+    return np.concatenate(parts)[start - first * block : stop - first * block]
+
+
 SEGMENTS = "shard int, seg int, first long, n_ids long, doc_ids array<long>, lens array<long>, blob binary"
 
 
@@ -134,15 +161,22 @@ def write_corpus(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
         if doc_ids:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # null or equal doc_ids are parted by a hash of the text
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_by"))
+    ordered = rows.repartitionByRange("doc_id", "_by").sortWithinPartitions("doc_id", "_by", "text").drop("_by")
     return write_table(ordered.mapInArrow(released(make), SEGMENTS), "tokens")
 
 
-def read_corpus(segments: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian uint32 bytes)."""
+def _placed(segments: DataFrame) -> DataFrame:
+    """segments with _at, the number of ids before them."""
     # one row per shard, so at most one per partition of the writer
     shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
     shards = shards.select("shard", (F.sum("_n").over(Window.orderBy("shard")) - F.col("_n")).alias("_before"))
+    return segments.join(F.broadcast(shards), "shard").withColumn("_at", F.col("first") + F.col("_before"))
+
+
+def read_corpus(segments: DataFrame) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian uint32 bytes)."""
 
     def take(batches):
         import pyarrow as pa
@@ -157,10 +191,26 @@ def read_corpus(segments: DataFrame) -> DataFrame:
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["lens"], pa.int64()), pa.array(ids, pa.binary())], names)
 
-    rows = segments.join(F.broadcast(shards), "shard").select((F.col("first") + F.col("_before")).alias("_at"), "doc_ids", "lens", "blob")
+    rows = _placed(segments).select("_at", "doc_ids", "lens", "blob")
     return rows.mapInArrow(released(take), "doc_id long, start long, n_tokens long, ids binary")
 
 
+def read_range(segments: DataFrame, start: int, stop: int) -> DataFrame:
+    """start and ids: the parts of the corpus's ids start to stop; other segments are skipped and other blocks left packed."""
+
+    def take(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                first = max(start - row["_at"], 0)
+                ids = decode_range(row["blob"], first, stop - row["_at"]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([row["_at"] + first], pa.int64()), pa.array([ids], pa.binary())], ["start", "ids"])
+
+    rows = _placed(segments).where((F.col("_at") < stop) & (F.col("_at") + F.col("n_ids") > start)).select("_at", "blob")
+    return rows.mapInArrow(released(take), "start long, ids binary")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """Write the corpus, read it back and give each document's place and checksum."""
     return read_corpus(write_corpus(docs)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
