@@ -50,6 +50,42 @@ def test_dicom(spark, tmp_path):
     assert files.read_info(spark, str(tmp_path / "*"), load_origin=False).first().OriginZ == 0.0
 
 
+def test_dicom_sequences_of_undefined_length(spark, tmp_path):
+    """They are walked through, nested ones too; their elements don't count."""
+    folder = tmp_path / "scan1"
+    folder.mkdir()
+    plane = np.arange(6).reshape(2, 3)
+    write_slice(folder / "s.dcm", 1, plane)
+    raw = (folder / "s.dcm").read_bytes()
+    at = raw.index(struct.pack("<HH", 0x0020, 0x0032))
+    element = lambda tag, vr, value: struct.pack("<HH", *tag) + vr + struct.pack("<H", len(value)) + value
+    item, end_item, end = struct.pack("<HHI", 0xFFFE, 0xE000, 0xFFFFFFFF), struct.pack("<HHI", 0xFFFE, 0xE00D, 0), struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
+    start = lambda tag: struct.pack("<HH", *tag) + b"SQ\0\0" + struct.pack("<I", 0xFFFFFFFF)
+    inner = start((0x0008, 0x1199)) + item + element((0x0020, 0x0032), b"DS", b"7\\7\\7 ") + end_item + end
+    sized = struct.pack("<HHI", 0xFFFE, 0xE000, 12) + element((0x0010, 0x0020), b"LO", b"else")
+    sequence = start((0x0008, 0x1140)) + item + inner + element((0x0010, 0x0020), b"LO", b"else") + end_item + sized + end
+    (folder / "s.dcm").write_bytes(raw[:at] + sequence + raw[at:])
+    row = files.load(spark, str(tmp_path / "*"), "dicom").first()
+    assert (tuple(row.origin), row.images) == ((1.0, -20.0, -10.0), (plane - 1024).ravel().astype(float).tolist())
+    assert files.read_info(spark, str(tmp_path / "*")).first().PatientID != "else"
+
+
+def test_dicom_info_reads_no_pixels(tmp_path):
+    write_slice(tmp_path / "s.dcm", 1, np.zeros((50, 60)))
+    raw = (tmp_path / "s.dcm").read_bytes()
+    (tmp_path / "s.dcm").write_bytes(raw[: raw.index(struct.pack("<HH", 0x7FE0, 0x0010)) + 8])  # the pixels are cut off
+    assert files.parse_dicom(str(tmp_path / "s.dcm"), pixels=False)["rows"] == 50
+
+
+def test_files_index(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.txt").write_text("x")
+    assert [r.scan_id for r in files.files_index(spark, str(tmp_path / "*"), dirs=True, sort=True).collect()] == ["a", "b"]
+    assert {r.scan_id for r in files.files_index(spark, str(tmp_path / "*" / "*.txt")).collect()} == {"a", "b"}
+    assert [tuple(r) for r in files.files_index(spark, paths={"k": "/x"}).collect()] == [("k", "/x")]
+
+
 def test_metaimage(spark, tmp_path):
     voxels = np.arange(24, dtype="<i2").reshape(2, 3, 4)
     (tmp_path / "a.raw").write_bytes(voxels.tobytes())

@@ -95,13 +95,18 @@ def to_pixels(nodules: DataFrame, info: DataFrame, prefix: str = "coord") -> Dat
     return joined.withColumns({f"{prefix}{a}": (F.col(f"{prefix}{a}") - F.col(f"Origin{a}")) / F.col(f"Spacing{a}") for a in "XYZ"})
 
 
-def transform_annotation(spark: SparkSession, paths, info: DataFrame, include_annotators: bool = True) -> DataFrame:
-    """All annotation files -> nodules in mm, with the best-spaced series of each scan."""
+def transform_annotation(spark: SparkSession, paths, info: DataFrame, include_annotators: bool = True, drop: bool = True) -> DataFrame:
+    """All annotation files -> nodules in mm, with the best-spaced series of each scan.
+
+    drop False keeps nodules without scan information, in their own coordinates and with null Spacing and Origin.
+    """
     annotation = read_annotation(spark, paths)
     nodules = to_nodules(annotation)
     if include_annotators:
         nodules = with_annotators(nodules, annotators(annotation))
-    return to_millimetres(nodules, best_spacing(info))
+    best = best_spacing(info)
+    done = to_millimetres(nodules, best)
+    return done if drop else done.unionByName(nodules.join(best.select("seriesuid"), "seriesuid", "left_anti"), allowMissingColumns=True)
 
 
 def verification_counts(grouped: DataFrame) -> DataFrame:

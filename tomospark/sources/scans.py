@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.geometry import AXES, zyx
-from ..operators.volumes import to_hu
 
 TRIPLE = "struct<z:double,y:double,x:double>"
 SCAN = f"scan_id string, shape struct<z:int,y:int,x:int>, spacing {TRIPLE}, origin {TRIPLE}, images array<double>"
@@ -77,11 +76,27 @@ def subset(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("scan_id"), "scan_id", "left_semi")
 
 
-def files_index(spark: SparkSession, path: str, no_ext: bool = True) -> DataFrame:
-    """scan_id (base name) and path of the files that match a glob; contents aren't read."""
+def files_index(spark: SparkSession, path: str | None = None, no_ext: bool = True, dirs: bool = False, sort: bool = False, paths: dict | None = None) -> DataFrame:
+    """scan_id (base name) and path of the files, or directories, that a glob names; contents aren't read.
+
+    paths, an own mapping of ids to paths, takes the place of a glob. Names are listed by the driver's file system client
+    alone where directories are asked for.
+    """
+    if (path is None) == (paths is None):
+        raise ValueError("give exactly one of path and paths")
     name = F.element_at(F.split("path", "/"), -1)
-    files = spark.read.format("binaryFile").load(path).select("path")
-    return files.select((F.regexp_replace(name, r"\.[^.]*$", "") if no_ext else name).alias("scan_id"), "path")
+    if paths is not None:
+        rows = spark.createDataFrame([(str(k), str(v)) for k, v in paths.items()], "scan_id string, path string")
+    elif dirs:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+        listed = [(str(x.getPath()),) for x in found if x.isDirectory()]
+        rows = spark.createDataFrame(listed, "path string").select(name.alias("scan_id"), "path")
+    else:
+        files = spark.read.format("binaryFile").load(path).select("path")
+        rows = files.select((F.regexp_replace(name, r"\.[^.]*$", "") if no_ext else name).alias("scan_id"), "path")
+    return rows.orderBy("scan_id") if sort else rows
 
 
 # --- file formats ---------------------------------------------------------------------------------------------------
@@ -187,36 +202,60 @@ TAGS = {
 }
 
 
-def parse_dicom(path: str, pixels: bool = True) -> dict:
-    """The tags above of an uncompressed little-endian DICOM slice, explicit or implicit."""
-    with open(path, "rb") as f:
-        raw = f.read()
-    at = 132 if raw[128:132] == b"DICM" else 0
-    found, explicit, meta = {}, True, True
-    while at + 8 <= len(raw):
-        group, element = struct.unpack_from("<HH", raw, at)
+PIXELS = (0x7FE0, 0x0010)
+UNDEFINED = 0xFFFFFFFF
+
+
+def _elements(f, explicit: bool, meta: bool, until: tuple[int, int] | None, found: dict) -> None:
+    """Read data elements of f into found up to tag until, an end of the file, or the end of an item.
+
+    Values of other tags are skipped; sequences and items of undefined length are walked through to their end marks.
+    """
+    while True:
+        head = f.read(8)
+        if len(head) < 8:
+            return
+        group, element = struct.unpack_from("<HH", head)
+        if (group, element) in ((0xFFFE, 0xE00D), (0xFFFE, 0xE0DD), until):  # end of an item, of a sequence
+            return
         if meta and group != 2:
             meta = False
-            explicit = found.pop("syntax", "1.2.840.10008.1.2.1") != "1.2.840.10008.1.2"
-        kind = raw[at + 4 : at + 6]
-        if not explicit and not meta:
-            kind, size, body = b"", struct.unpack_from("<I", raw, at + 4)[0], at + 8
+            explicit = found.get("syntax", "1.2.840.10008.1.2.1") != "1.2.840.10008.1.2"
+        kind = head[4:6]
+        if group == 0xFFFE or not explicit and not meta:
+            kind, size = b"", struct.unpack_from("<I", head, 4)[0]
         elif kind in LONG_VR:
-            size, body = struct.unpack_from("<I", raw, at + 8)[0], at + 12
+            size = struct.unpack("<I", f.read(4))[0]
+        else:
+            size = struct.unpack_from("<H", head, 6)[0]
+        if size == UNDEFINED:
+            if (group, element) == PIXELS:
+                raise ValueError("compressed pixels aren't read")
+            if (group, element) == (0xFFFE, 0xE000):  # an item: elements up to its end mark
+                _elements(f, explicit, False, None, {})
+            else:  # a sequence: items up to its end mark
+                _elements(f, explicit if kind != b"UN" else False, False, None, {})
+            continue
+        name = "syntax" if (group, element) == (2, 0x10) else TAGS.get((group, element))
+        if name is None:
+            f.seek(size, 1)
+            continue
+        value = f.read(size)
+        if name in ("rows", "columns", "bits", "signed"):
+            found[name] = struct.unpack("<H", value)[0]
+        elif name == "pixels":
+            found[name] = value
         else:
-            size, body = struct.unpack_from("<H", raw, at + 6)[0], at + 8
-        if size == 0xFFFFFFFF:
-            raise ValueError("sequences of undefined length and compressed pixels aren't read")
-        value, at = raw[body : body + size], body + size
-        if (group, element) == (2, 0x10):
-            found["syntax"] = value.rstrip(b"\0 ").decode()
-        if name := TAGS.get((group, element)):
-            if name in ("rows", "columns", "bits", "signed"):
-                found[name] = struct.unpack("<H", value)[0]
-            elif name == "pixels":
-                found[name] = value
-            else:
-                found[name] = value.rstrip(b"\0 ").decode("latin-1")
+            found[name] = value.rstrip(b"\0 ").decode("latin-1")
+
+
+def parse_dicom(path: str, pixels: bool = True) -> dict:
+    """The tags above of an uncompressed little-endian DICOM slice, explicit or implicit. Without pixels, reading stops before them."""
+    found: dict = {}
+    with open(path, "rb") as f:
+        if f.read(132)[128:] != b"DICM":
+            f.seek(0)
+        _elements(f, True, True, None if pixels else PIXELS, found)
     numbers = lambda k, default: [float(v) for v in found.get(k, default).split("\\")]
     out = {"scan_id": os.path.basename(os.path.dirname(path)), "file": os.path.basename(path), "study": found.get("study"), "series": found.get("series"), "patient": found.get("patient")}
     out |= {"position": numbers("position", "0\\0\\0"), "thickness": numbers("thickness", "1")[0], "pixel_spacing": numbers("pixel_spacing", "1\\1")}
@@ -225,7 +264,7 @@ def parse_dicom(path: str, pixels: bool = True) -> dict:
         import numpy as np
 
         kind = {8: "u1", 16: "<i2" if found.get("signed", 0) else "<u2"}[found.get("bits", 16)]
-        out["pixels"] = np.frombuffer(found["pixels"], kind).astype(np.int64).tolist()
+        out["pixels"] = np.frombuffer(found["pixels"], kind)
     return out
 
 
@@ -270,18 +309,49 @@ class NiftiSource(DataSource):
 SLICE = "scan_id string, file string, study string, series string, patient string, position array<double>, thickness double, pixel_spacing array<double>, rows int, columns int, slope double, intercept double, pixels array<int>"
 
 
+def _folders(path: str) -> list[str]:
+    """The directories that a glob names, or those within the one directory that it names."""
+    folders = sorted(p for p in glob.glob(path) if os.path.isdir(p))
+    if len(folders) == 1 and any(os.path.isdir(os.path.join(folders[0], x)) for x in os.listdir(folders[0])):
+        folders = sorted(p for x in os.listdir(folders[0]) if os.path.isdir(p := os.path.join(folders[0], x)))
+    return folders
+
+
 class DicomReader(_Reader):
     """One partition per slice; path is a glob of directories (one scan each) or a directory of such."""
 
     def partitions(self):
-        path = self.options["path"]
-        folders = sorted(p for p in glob.glob(path) if os.path.isdir(p))
-        if len(folders) == 1 and any(os.path.isdir(os.path.join(folders[0], x)) for x in os.listdir(folders[0])):
-            folders = sorted(os.path.join(folders[0], x) for x in os.listdir(folders[0]))
-        return [Item(os.path.join(folder, x)) for folder in folders for x in sorted(os.listdir(folder))]
+        return [Item(os.path.join(folder, x)) for folder in _folders(self.options["path"]) for x in sorted(os.listdir(folder))]
 
-    def parse(self, path, pixels):
-        return parse_dicom(path, "pixels" in self.names)
+    def read(self, partition):
+        row = parse_dicom(partition.path, "pixels" in self.names)
+        if row["pixels"] is not None:
+            row["pixels"] = row["pixels"].astype("int64").tolist()
+        yield tuple(row.get(n) for n in self.names)
+
+
+class DicomScanReader(_Reader):
+    """One partition per directory, so that a scan is put together where its slices are read."""
+
+    def partitions(self):
+        return [Item(folder) for folder in _folders(self.options["path"])]
+
+    def read(self, partition):
+        legacy = str(self.options.get("legacyorigin", self.options.get("legacyOrigin", "false"))).lower() == "true"
+        row = parse_dicom_folder(partition.path, "images" in self.names, legacy)
+        yield tuple(row.get(n) for n in self.names)
+
+
+class DicomScanSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "dicom_scans"
+
+    def schema(self):
+        return SCAN
+
+    def reader(self, schema):
+        return DicomScanReader(schema, self.options)
 
 
 class DicomSource(DataSource):
@@ -300,7 +370,7 @@ def register(spark: SparkSession) -> None:
     from ..shipping import ship
 
     ship(spark)
-    for source in (MetaImageSource, NiftiSource, DicomSource):
+    for source in (MetaImageSource, NiftiSource, DicomSource, DicomScanSource):
         spark.dataSource.register(source)
 
 
@@ -317,18 +387,36 @@ def _origin(position: Column, legacy: bool) -> Column:
     return zyx(position[2], position[0], position[1]) if legacy else zyx(position[2], position[1], position[0])
 
 
+def parse_dicom_folder(folder: str, pixels: bool = True, legacy_origin: bool = False) -> dict:
+    """A scan from the slices of a directory: slices by falling whole z (then name), in Hounsfield units.
+
+    -2000 is air; the product with slope and the intercept truncate to whole numbers.
+    """
+    import numpy as np
+
+    slices = [parse_dicom(os.path.join(folder, x), pixels) for x in sorted(os.listdir(folder))]
+    slices.sort(key=lambda s: (-int(s["position"][2]), s["file"]))
+    first, images = slices[0], None
+    if pixels:
+        planes = []
+        for s in slices:
+            plane = s["pixels"].astype(np.int64)
+            plane[plane == -2000] = 0
+            if s["slope"] != 1:
+                plane = np.trunc(plane * s["slope"]).astype(np.int64)
+            planes.append((plane + int(s["intercept"])).astype(np.int16))
+        images = np.concatenate(planes).astype(float).tolist()
+    x, y, z = first["position"]
+    return {
+        "scan_id": os.path.basename(folder), "shape": (len(slices), first["rows"], first["columns"]), "spacing": (first["thickness"], *first["pixel_spacing"]),
+        "origin": (z, x, y) if legacy_origin else (z, y, x), "images": images,
+    }
+
+
 def read_dicom(spark: SparkSession, path: str, legacy_origin: bool = False) -> DataFrame:
-    """A row per directory: slices by falling whole z, in Hounsfield units."""
-    slices = dicom_slices(spark, path)
-    hu = to_hu(F.col("pixels"), F.col("slope"), F.col("intercept"))
-    rows = slices.select("scan_id", (-F.col("position")[2].cast("int")).alias("order"), "file", F.transform(hu, lambda v: v.cast("double")).alias("pixels"), "rows", "columns", "thickness", "pixel_spacing", "position")
-    packed = F.sort_array(F.collect_list(F.struct("order", "file", "pixels", "rows", "columns", "thickness", "pixel_spacing", "position")))
-    whole = rows.groupBy("scan_id").agg(packed.alias("s"))
-    first = F.col("s")[0]
-    return whole.select(
-        "scan_id", zyx(F.size("s"), first["rows"], first["columns"]).alias("shape"), zyx(first["thickness"], first["pixel_spacing"][0], first["pixel_spacing"][1]).alias("spacing"),
-        _origin(first["position"], legacy_origin).alias("origin"), F.flatten(F.transform("s", lambda x: x["pixels"])).alias("images"),
-    )
+    """A row per directory; nothing is shuffled."""
+    register(spark)
+    return spark.read.format("dicom_scans").option("legacyOrigin", str(legacy_origin).lower()).load(path)
 
 
 def dicom_info(spark: SparkSession, path: str, load_origin: bool = True, legacy_origin: bool = False) -> DataFrame:
