@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -58,10 +59,10 @@ def sphere_overlap(d1: Column, d2: Column, dist: Column) -> Column:
     """
     r1, r2 = d1 / 2, d2 / 2
     lens = (
-        F.lit(3.141592653589793) * (r1 + r2 - dist) * (r1 + r2 - dist)
+        F.lit(math.pi) * (r1 + r2 - dist) * (r1 + r2 - dist)
         * (dist * dist + r1 * (2 * dist - 3 * r1) + r2 * (2 * dist - 3 * r2) + 6 * r1 * r2) / (12 * dist + 1e-6)
     )
-    volume = lambda r: F.lit(4.1887902047863905) * r * r * r
+    volume = lambda r: F.lit(4 / 3 * math.pi) * r * r * r
     return (
         F.when(dist >= r1 + r2, 0.0)
         .when(r1 >= dist + r2, F.when(r1 > 5 * r2, 0.0).otherwise(1.0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import squared_distance
+from ..functions.grouped import numbered, whole_groups
 
 
 def finding_confidence(nodules: DataFrame, r: float = 20.0, alpha: float | None = None, weight_by_doctor: bool = True) -> DataFrame:
@@ -55,18 +56,23 @@ def consiliums(pairs: DataFrame) -> DataFrame:
     return three.select(F.col("a.seriesuid").alias("seriesuid"), F.col("a.DoctorID").alias("DoctorID"), F.col("b.DoctorID").alias("doc_i"), F.col("c.DoctorID").alias("doc_j"))
 
 
-def ball_voxels(nodules: DataFrame, factor: float = 0.3) -> DataFrame:
-    """Distinct voxels (seriesuid, DoctorID, x, y, z) of doctors' findings, scaled and shifted per scan.
-
-    A finding's ball has its scaled diameter, truncated, as radius; centres are truncated too.
-    """
+def _placed(nodules: DataFrame, factor: float) -> DataFrame:
+    """seriesuid, DoctorID, r, X, Y, Z, nX, nY, nZ: findings scaled and shifted per scan, in whole voxels of a grid of the scan's own."""
     scan = Window.partitionBy("seriesuid")
     d = F.col("diameter_mm") * factor
     placed = nodules.select("seriesuid", "DoctorID", d.alias("d"), *[(F.col(f"coord{a}") * factor).alias(a) for a in "XYZ"])
     largest = F.max("d").over(scan)
     shifted = placed.withColumns({a: F.col(a) - (F.min(a).over(scan) - largest) for a in "XYZ"})
     sized = shifted.withColumns({f"n{a}": F.ceil(F.max(F.col(a) + F.col("d") + 10).over(scan)).cast("int") for a in "XYZ"})
-    whole = sized.select("seriesuid", "DoctorID", F.col("d").cast("int").alias("r"), *[F.col(a).cast("int").alias(a) for a in "XYZ"], "nX", "nY", "nZ").where("r > 0")
+    return sized.select("seriesuid", "DoctorID", F.col("d").cast("int").alias("r"), *[F.col(a).cast("int").alias(a) for a in "XYZ"], "nX", "nY", "nZ")
+
+
+def ball_voxels(nodules: DataFrame, factor: float = 0.3) -> DataFrame:
+    """Distinct voxels (seriesuid, DoctorID, x, y, z) of doctors' findings, scaled and shifted per scan.
+
+    A finding's ball has its scaled diameter, truncated, as radius; centres are truncated too.
+    """
+    whole = _placed(nodules, factor).where("r > 0")
     span = lambda a: F.sequence(F.greatest(F.lit(0), F.col(a) - F.col("r")), F.least(F.col(f"n{a}"), F.col(a) + F.col("r") + 1) - 1)
     for a in "XYZ":
         whole = whole.withColumn(f"v{a}", F.explode(span(a)))
@@ -76,48 +82,126 @@ def ball_voxels(nodules: DataFrame, factor: float = 0.3) -> DataFrame:
     return whole.select("seriesuid", "DoctorID", F.col("vX").alias("x"), F.col("vY").alias("y"), F.col("vZ").alias("z")).distinct()
 
 
+#: Voxels of balls that a task holds at once, unless one finding has more.
+VOXELS = 2_000_000
+
+
+def _voxel_codes(at, radius, size):
+    """Owner (row) and code of every voxel of balls at whole centres, inside a grid: arrays, for balls of any radii."""
+    import numpy as np
+
+    owners, codes = [], []
+    for r in np.unique(radius[radius > 0]):
+        grid = np.mgrid[-r : r + 1, -r : r + 1, -r : r + 1].reshape(3, -1).T
+        ball = grid[(grid * grid).sum(axis=1) < r * r]
+        rows = np.flatnonzero(radius == r)
+        cells = at[rows][:, None, :] + ball[None]
+        inside = ((cells >= 0) & (cells < size[rows][:, None, :])).all(axis=2)
+        ny, nz = size[rows][:, 1:2], size[rows][:, 2:3]
+        owners.append(np.broadcast_to(rows[:, None], inside.shape)[inside])
+        codes.append(((cells[..., 0] * ny + cells[..., 1]) * nz + cells[..., 2])[inside])
+    return (np.concatenate(owners), np.concatenate(codes)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _common(scan, doctor, n_doctors, at, radius, size):
+    """Voxels that doctors of a scan have in common, as counts (scan, doctor, doctor), the diagonal being their masks' sizes."""
+    import numpy as np
+
+    out = np.zeros((int(scan.max()) + 1 if len(scan) else 0, n_doctors, n_doctors), np.int64)
+    volume = (2 * np.maximum(radius, 0) + 1) ** 3
+    step, begin = np.cumsum(volume), 0
+    while begin < len(scan):
+        end = max(begin + 1, int(np.searchsorted(step, (step[begin - 1] if begin else 0) + VOXELS, "right")))
+        while end < len(scan) and scan[end] == scan[end - 1]:  # a scan's masks meet
+            end += 1
+        own, code = _voxel_codes(at[begin:end], radius[begin:end], size[begin:end])
+        s, d = scan[begin:end][own], doctor[begin:end][own]
+        order = np.lexsort((d, code, s))
+        s, code, d = s[order], code[order], d[order]
+        new = np.append(True, (s[1:] != s[:-1]) | (code[1:] != code[:-1]) | (d[1:] != d[:-1]))[: len(s)]
+        s, code, d = s[new], code[new], d[new]
+        np.add.at(out, (s, d, d), 1)
+        for k in range(1, n_doctors):  # voxels of k + 1 doctors or more
+            same = (s[k:] == s[:-k]) & (code[k:] == code[:-k]) if len(s) > k else np.zeros(0, bool)
+            if not same.any():
+                break
+            i, j = d[:-k][same], d[k:][same]
+            np.add.at(out, (s[:-k][same], i, j), 1)
+            np.add.at(out, (s[:-k][same], j, i), 1)
+        begin = end
+    return out
+
+
+def scan_masks(nodules: DataFrame, factor: float = 0.3) -> DataFrame:
+    """A row per scan: seriesuid, doctors (sorted) and common, the voxels that each two of
+    their masks share (row by row; the diagonal holds the sizes).
+
+    Findings are dealt by scan once; balls are painted where they meet, and no voxel leaves its task.
+    """
+    doctor = nodules.schema["DoctorID"].dataType.simpleString()
+    scan = nodules.schema["seriesuid"].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for table in whole_groups(batches, "seriesuid"):
+            of, begin = numbered(table.column("seriesuid"))
+            held = table.column("DoctorID").combine_chunks().dictionary_encode()
+            names = np.array(held.dictionary.to_pylist(), dtype=object)
+            rank = np.empty(len(names), np.int64)
+            rank[sorted(range(len(names)), key=lambda k: names[k])] = np.arange(len(names))
+            who = rank[held.indices.to_numpy()]
+            # a scan's own doctors, numbered from 0
+            key = np.unique(np.stack([of, who], axis=1), axis=0)
+            first = np.searchsorted(key[:, 0], np.arange(len(begin)))
+            number = np.diff(np.append(first, len(key)))
+            mine = np.searchsorted(key[:, 0] * len(names) + key[:, 1], of * len(names) + who) - first[of]
+            whole = lambda *c: np.stack([table.column(x).fill_null(0).to_numpy() for x in c], axis=1).astype(np.int64)
+            known = np.ones(table.num_rows, bool)
+            for c in "XYZ":
+                known &= table.column(c).is_valid().to_numpy()
+            radius = np.where(known, table.column("r").fill_null(0).to_numpy(), 0).astype(np.int64)
+            counts = _common(of, mine, int(number.max()), whole("X", "Y", "Z"), radius, whole("nX", "nY", "nZ"))
+            by_rank = names[np.argsort(rank)]
+            doctors = [by_rank[key[a : a + n, 1]].tolist() for a, n in zip(first, number, strict=True)]
+            common = [counts[k, :n, :n].ravel() for k, n in enumerate(number)]
+            yield pa.RecordBatch.from_arrays([table.column("seriesuid").take(pa.array(begin)).combine_chunks(), pa.array(doctors, pa.list_(table.schema.field("DoctorID").type)), pa.array(common, pa.list_(pa.int64()))], ["seriesuid", "doctors", "common"])
+
+    dealt = _placed(nodules, factor).where("seriesuid IS NOT NULL AND DoctorID IS NOT NULL").sortWithinPartitions("seriesuid")
+    return dealt.mapInArrow(run, f"seriesuid {scan}, doctors array<{doctor}>, common array<bigint>")
+
+
 def dice(common: Column, total: Column) -> Column:
     return (2 * common + 1e-6) / (total + 1e-6)
 
 
+def _numbers(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def consilium_scores(nodules: DataFrame, factor: float = 0.3) -> DataFrame:
     """seriesuid, DoctorID, doc_i, doc_j and the dice of the doctor's mask and the mean of the pair's.
 
     Only sizes and pairwise intersections of masks are needed: sum(a * (b + c) / 2) = (|ab| + |ac|) / 2.
     """
-    voxels = ball_voxels(nodules, factor)
-    sizes = voxels.groupBy("seriesuid", "DoctorID").agg(F.count("*").alias("size"))
-    a, b = voxels.alias("a"), voxels.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("seriesuid", "x", "y", "z")]
-    both = a.join(b, on + [F.col("a.DoctorID") < F.col("b.DoctorID")]).groupBy(F.col("a.seriesuid").alias("seriesuid"), F.col("a.DoctorID").alias("p"), F.col("b.DoctorID").alias("q")).agg(F.count("*").alias("common"))
-    sides = both.unionAll(both.select("seriesuid", F.col("q").alias("p"), F.col("p").alias("q"), "common"))
-    found = consiliums(nodules.select("seriesuid", "DoctorID"))
-    size = lambda who, name: sizes.select("seriesuid", F.col("DoctorID").alias(who), F.coalesce("size", F.lit(0)).alias(name))
-    common = lambda who, name: sides.select("seriesuid", F.col("p").alias("DoctorID"), F.col("q").alias(who), F.col("common").alias(name))
-    for who, name in (("DoctorID", "n0"), ("doc_i", "n1"), ("doc_j", "n2")):
-        found = found.join(size(who, name), ["seriesuid", who], "left")
-    for who, name in (("doc_i", "c1"), ("doc_j", "c2")):
-        found = found.join(common(who, name), ["seriesuid", "DoctorID", who], "left")
-    n = lambda k: F.coalesce(k, F.lit(0)).cast("double")
-    score = dice((n("c1") + n("c2")) / 2, n("n0") + (n("n1") + n("n2")) / 2)
-    return found.select("seriesuid", "DoctorID", "doc_i", "doc_j", score.alias("score"))
+    n = F.size("doctors")
+    at = lambda i, j: F.get("common", i * n + j).cast("double")
+    score = lambda a, i, j: dice((at(a, i) + at(a, j)) / 2, at(a, a) + (at(i, i) + at(j, j)) / 2)
+    one = lambda a, i, j: F.struct(F.get("doctors", a).alias("DoctorID"), F.get("doctors", i).alias("doc_i"), F.get("doctors", j).alias("doc_j"), score(a, i, j).alias("score"))
+    others = lambda a: F.filter(_numbers(n), lambda k: k != a)
+    later = lambda a, i: F.filter(others(a), lambda k: k > i)
+    every = F.flatten(F.transform(_numbers(n), lambda a: F.flatten(F.transform(others(a), lambda i: F.transform(later(a, i), lambda j: one(a, i, j))))))
+    return scan_masks(nodules, factor).select("seriesuid", F.inline(every))
 
 
 def pair_table(nodules: DataFrame, factor: float = 0.3) -> DataFrame:
     """doc_i, doc_j, mean dice of their masks over common scans, and the number of these."""
-    voxels = ball_voxels(nodules, factor)
-    sizes = voxels.groupBy("seriesuid", "DoctorID").agg(F.count("*").alias("size"))
-    a, b = voxels.alias("a"), voxels.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("seriesuid", "x", "y", "z")]
-    both = a.join(b, on + [F.col("a.DoctorID") < F.col("b.DoctorID")]).groupBy(F.col("a.seriesuid").alias("seriesuid"), F.col("a.DoctorID").alias("doc_i"), F.col("b.DoctorID").alias("doc_j")).agg(F.count("*").alias("common"))
-    d = nodules.select("seriesuid", "DoctorID").distinct()
-    pairs = d.alias("a").join(d.alias("b"), (F.col("a.seriesuid") == F.col("b.seriesuid")) & (F.col("a.DoctorID") < F.col("b.DoctorID")))
-    pairs = pairs.select(F.col("a.seriesuid").alias("seriesuid"), F.col("a.DoctorID").alias("doc_i"), F.col("b.DoctorID").alias("doc_j"))
-    for who, name in (("doc_i", "n1"), ("doc_j", "n2")):
-        pairs = pairs.join(sizes.select("seriesuid", F.col("DoctorID").alias(who), F.col("size").alias(name)), ["seriesuid", who], "left")
-    pairs = pairs.join(both, ["seriesuid", "doc_i", "doc_j"], "left")
-    n = lambda k: F.coalesce(k, F.lit(0)).cast("double")
-    return pairs.groupBy("doc_i", "doc_j").agg(F.avg(dice(n("common"), n("n1") + n("n2"))).alias("mean_dice"), F.count("*").alias("meetings"))
+    n = F.size("doctors")
+    at = lambda i, j: F.get("common", i * n + j).cast("double")
+    one = lambda i, j: F.struct(F.get("doctors", i).alias("doc_i"), F.get("doctors", j).alias("doc_j"), dice(at(i, j), at(i, i) + at(j, j)).alias("dice"))
+    every = F.flatten(F.transform(_numbers(n), lambda i: F.transform(F.filter(_numbers(n), lambda k: k > i), lambda j: one(i, j))))
+    return scan_masks(nodules, factor).select(F.inline(every)).groupBy("doc_i", "doc_j").agg(F.avg("dice").alias("mean_dice"), F.count("*").alias("meetings"))
 
 
 def doctor_confidences(nodules: DataFrame, n_iters: int = 25, alpha: float = 0.7, factor: float = 0.3, start: float = 0.5, n_consiliums: int | None = None, seed: int = 42) -> DataFrame:

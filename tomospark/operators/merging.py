@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import diameter_of_sigma, sigma_of_diameter, sphere_overlap, squared_distance
+from ..functions.grouped import numbered, pairs_within, whole_groups
 
 
 def overlaps(nodules: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -19,33 +22,66 @@ def overlaps(nodules: DataFrame, threshold: float = 0.1) -> DataFrame:
     return found.where(F.col("overlap") > threshold)
 
 
-def groups(nodules: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """NoduleID and GroupNoduleID, the least NoduleID that a chain of overlaps of either direction reaches.
+def _linked(of, at, diameter, threshold: float, begin):
+    """Pairs (i, j) of rows of one scan of which one overlaps the other by more than threshold."""
+    import numpy as np
 
-    A scan's graph is tiny: its edges alone go to a task, by scan, for a union-find.
-    """
+    found = []
+    for i, j in pairs_within(of, begin):
+        dist, r, q = np.sqrt(((at[i] - at[j]) ** 2).sum(axis=1)), diameter[i] / 2, diameter[j] / 2
+        large, small = np.maximum(r, q), np.minimum(r, q)
+        lens = math.pi * (large + small - dist) ** 2 * (dist * dist + 2 * dist * (large + small) - 3 * (large - small) ** 2) / (12 * dist + 1e-6)
+        share = 2 * lens / (4 / 3 * math.pi * (large**3 + small**3) + 1e-6)
+        # one ball within the other: the smaller one is wholly covered, however small
+        met = np.where(dist >= large + small, 0.0, np.where(large >= dist + small, 1.0, share)) > threshold
+        found.append((i[met], j[met]))
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
 
-    def union(table):
-        import pyarrow as pa
 
-        root: dict = {}
+def with_groups(nodules: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """nodules with GroupNoduleID, the least NoduleID that a chain of overlaps of either direction reaches in the scan.
 
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+    Findings are dealt by scan once; pairs are made and joined where they meet, in the square of a scan's findings. Rows
+    of one NoduleID in a scan are one finding; rows without coordinates or diameter overlap nothing.
+    """
+    names = [*nodules.columns, "GroupNoduleID"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for table in whole_groups(batches, "seriesuid"):
+            of, begin = numbered(table.column("seriesuid"))
+            ids = table.column("NoduleID").combine_chunks().dictionary_encode()
+            order = pc.sort_indices(ids.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            who = rank[ids.indices.to_numpy()]
+            column = lambda c: table.column(c).fill_null(float("nan")).to_numpy()
+            i, j = _linked(of, np.stack([column(f"coord{a}") for a in "XYZ"], axis=1), column("diameter_mm"), threshold, begin)
+            # nodes are a scan's ids in order, so that the least number is the least id
+            key, node = np.unique(of * len(order) + who, return_inverse=True)
+            root = np.arange(len(key))
+            a, b = node[i], node[j]
+            while True:
+                x, y = root[a], root[b]
+                if (x == y).all():
+                    break
+                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+                while (root != root[root]).any():
+                    root = root[root]
+            least = ids.dictionary.take(pa.array(order[key[root[node]] % len(order)]))
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.columns), least], names)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in nodules.schema.fields), f"GroupNoduleID {nodules.schema['NoduleID'].dataType.simpleString()}"])
+    return nodules.repartition("seriesuid").sortWithinPartitions("seriesuid").mapInArrow(run, schema)
 
-        for a, b in zip(table.column("id_1").to_pylist(), table.column("id_2").to_pylist(), strict=True):
-            a, b = sorted((find(a), find(b)))
-            root[b] = a
-        ids = list(root)
-        return pa.table({"NoduleID": pa.array(ids, pa.string()), "GroupNoduleID": pa.array([find(x) for x in ids], pa.string())})
 
-    edges = overlaps(nodules, threshold).select("seriesuid", "id_1", "id_2")
-    linked = edges.groupBy("seriesuid").applyInArrow(union, "NoduleID string, GroupNoduleID string")
-    joined = nodules.select("NoduleID").distinct().join(linked, "NoduleID", "left")
-    return joined.select("NoduleID", F.coalesce("GroupNoduleID", "NoduleID").alias("GroupNoduleID"))
+def groups(nodules: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """NoduleID and GroupNoduleID of each finding."""
+    wide = [f"coord{a}" for a in "XYZ"] + ["diameter_mm"]
+    return with_groups(nodules.select("seriesuid", "NoduleID", *[F.col(c).cast("double").alias(c) for c in wide]), threshold).select("NoduleID", "GroupNoduleID").distinct()
 
 
 def merge_groups(nodules: DataFrame, proba: float = 0.8) -> DataFrame:
@@ -66,7 +102,7 @@ def merge_groups(nodules: DataFrame, proba: float = 0.8) -> DataFrame:
 
 
 def nodule_groups(nodules: DataFrame, proba: float = 0.8, threshold: float = 0.1) -> DataFrame:
-    return merge_groups(nodules.join(groups(nodules, threshold), "NoduleID"), proba)
+    return merge_groups(with_groups(nodules, threshold), proba)
 
 
 def match(true: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -170,7 +170,7 @@ def group_merge(spark, d):
 @query(f"""{GROUPS}, c AS (SELECT "DoctorID", count(*) OVER (PARTITION BY "GroupNoduleID") AS verifications FROM grouped JOIN nodules USING ("NoduleID"))
 SELECT "DoctorID", verifications, count(*) AS n FROM c WHERE verifications <= 3 GROUP BY 1, 2""")
 def verification_counts(spark, d):
-    rows = nodules(spark, d).select("NoduleID", "DoctorID").join(merging.groups(nodules(spark, d)), "NoduleID")
+    rows = merging.with_groups(nodules(spark, d))
     return ann.verification_counts(rows).where("verifications <= 3")
 
 
@@ -275,6 +275,6 @@ def nodules_of_scans(spark, d):
     return nodules(spark, d).join(ids, "seriesuid", "left_semi").select("seriesuid", "NoduleID")
 
 
-@query(f"""WITH {NODULES} SELECT DISTINCT seriesuid FROM nodules INTERSECT SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0""")
+@query(f"""WITH {NODULES} SELECT DISTINCT seriesuid FROM nodules INTERSECT SELECT o_orderkey FROM orders""")
 def common_ids(spark, d):
-    return nodules(spark, d).select("seriesuid").intersect(scan_info(spark, d).where("seriesuid % 3 = 0").select("seriesuid"))
+    return nodules(spark, d).select("seriesuid").intersect(scan_info(spark, d).select("seriesuid"))
