@@ -130,9 +130,10 @@ def weights(n: int, m: int, kind: str = "linear"):
     return w / w.sum(axis=1, keepdims=True)
 
 
-def resize(image, shape, kind: str = "linear"):
+def resize(image, shape, kind: str = "linear", order=(0, 1, 2)):
     """Separable resampling, one axis after the other."""
-    for axis, m in enumerate(shape):
+    for axis in order:
+        m = shape[axis]
         image = np.moveaxis(np.tensordot(weights(image.shape[axis], int(m), kind), image, axes=(1, axis)), 0, axis)
     return image
 
@@ -229,30 +230,53 @@ def rotate(image, angle: float, axes=(1, 2), order: int = 3):
 def label(image, connectivity: int = 26):
     """Components of equal nonzero values: numbers from 1 in order of first voxel. Neighbours touch at a corner (26) or a face (6).
 
-    For planes, 8 neighbours are those of 26 within the plane.
+    For planes, 8 neighbours are those of 26 within the plane. Runs along the last axis are joined, so memory follows
+    the number of runs, not of voxels.
     """
-    image = np.asarray(image).astype(int)
-    flat = np.arange(image.size).reshape(image.shape)
-    steps = [s for s in np.ndindex(*(3,) * image.ndim) if any(x != 1 for x in s)]
-    steps = [tuple(x - 1 for x in s) for s in steps]
-    steps = [s for s in steps if s > (0,) * image.ndim and (connectivity > 6 or sum(map(abs, s)) == 1)]
+    image = np.asarray(image)
+    if image.ndim == 2:
+        return label(image[None], connectivity)[0]
+    nz, ny, nx = image.shape
+    if not image.size:
+        return np.zeros(image.shape, int)
+    flat = image.reshape(nz * ny, nx).astype(np.int64, copy=False)
+    edge = np.ones((nz * ny, nx), bool)
+    edge[:, 1:] = flat[:, 1:] != flat[:, :-1]
+    begin = np.flatnonzero(edge)
+    value, line, low = flat.ravel()[begin], begin // nx, begin % nx
+    high = np.append(begin[1:], flat.size) - line * nx  # one past the run's last
+    on = value != 0
+    begin, value, line, low, high = begin[on], value[on], line[on], low[on], high[on]
+    root = np.arange(len(begin))
+    reach = 0 if connectivity == 6 else 1  # runs that touch at a corner are one apart
+    z, y = line // ny, line % ny
+    lines = [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if connectivity != 6 else [])
+    place = line * (nx + 2) + 1  # runs in order of line and column, lines apart
+    firsts, lasts = place + low, place + high - 1
     pairs = []
-    for s in steps:
-        a = tuple(slice(max(0, -d), image.shape[k] - max(0, d)) for k, d in enumerate(s))
-        b = tuple(slice(max(0, d), image.shape[k] - max(0, -d)) for k, d in enumerate(s))
-        same = (image[a] == image[b]) & (image[a] != 0)
-        pairs.append(np.stack([flat[a][same], flat[b][same]]))
-    root = np.arange(image.size)
-    edges = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), int)
-    while True:  # min-label hooking and pointer jumping
+    for dz, dy in lines:
+        inside = np.flatnonzero((z + dz < nz) & (y + dy >= 0) & (y + dy < ny))
+        move = (dz * ny + dy) * (nx + 2)
+        # the runs of the neighbouring line that overlap [low - reach, high - 1 + reach]
+        a = np.searchsorted(lasts, firsts[inside] + move - reach)
+        b = np.searchsorted(firsts, lasts[inside] + move + reach, "right")
+        times = np.maximum(b - a, 0)
+        i = np.repeat(inside, times)
+        j = np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        same = value[i] == value[j]
+        pairs.append(np.stack([i[same], j[same]]))
+    edges = np.concatenate(pairs, axis=1)
+    while edges.size:  # min-label hooking and pointer jumping
         a, b = root[edges[0]], root[edges[1]]
         if (a == b).all():
             break
         np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
         while (root != root[root]).any():
             root = root[root]
-    out = np.where(image.ravel() != 0, root + 1, 0)
-    return np.unique(np.append(0, out), return_inverse=True)[1][1:].reshape(image.shape)
+    number = np.unique(root, return_inverse=True)[1] + 1 if len(root) else root
+    out = np.zeros(flat.size, np.int64)
+    out[np.repeat(begin, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)] = np.repeat(number, high - low)
+    return out.reshape(image.shape)
 
 
 def largest_label(labels, background=None) -> int:
@@ -303,28 +327,61 @@ def pad_for_patches(shape, patch, stride):
     return out if any(map(any, out)) else None
 
 
-def patches(image, patch, stride, padding: str = "edge"):
-    """(number, z, y, x) of all boxes in z-major order."""
+def box_view(image, patch, stride, padding: str = "edge"):
+    """Boxes (grid z, y, x, then box z, y, x) as a view of the padded image."""
     pad = pad_for_patches(image.shape, patch, stride)
     if pad:
         image = np.pad(image, pad, mode=padding)
-    view = np.lib.stride_tricks.sliding_window_view(image, tuple(patch))[tuple(slice(None, None, t) for t in stride)]
-    return view.reshape(-1, *patch)
+    return np.lib.stride_tricks.sliding_window_view(image, tuple(patch))[tuple(slice(None, None, t) for t in stride)]
+
+
+def patches(image, patch, stride, padding: str = "edge"):
+    """(number, z, y, x) of all boxes in z-major order."""
+    return box_view(image, patch, stride, padding).reshape(-1, *patch)
+
+
+class Assembly:
+    """A volume made of boxes by number: overlaps are averaged and the padding is cut off."""
+
+    def __init__(self, shape, patch, stride):
+        self.shape, self.patch, self.stride = tuple(shape), tuple(patch), tuple(stride)
+        self.pad = pad_for_patches(shape, patch, stride) or [(0, 0)] * 3
+        full = [n + a + b for n, (a, b) in zip(self.shape, self.pad, strict=True)]
+        self.grid = [(n - p) // t + 1 for n, p, t in zip(full, self.patch, self.stride, strict=True)]
+        self.total = np.zeros(full)
+        # a box covers a range on each axis, so the times are a product of three
+        self.seen = np.zeros(self.grid, bool)
+
+    def add(self, number: int, pixels) -> None:
+        cell = np.unravel_index(number, self.grid)
+        self.total[tuple(slice(c * t, c * t + p) for c, t, p in zip(cell, self.stride, self.patch, strict=True))] += pixels.reshape(self.patch)
+        self.seen[cell] = True
+
+    def image(self):
+        if self.seen.all():
+            times = []
+            for n, g, p, t in zip(self.total.shape, self.grid, self.patch, self.stride, strict=True):
+                one = np.zeros(n)
+                for k in range(g):
+                    one[k * t : k * t + p] += 1
+                times.append(np.maximum(one, 1))
+            self.total /= times[0][:, None, None]
+            self.total /= times[1][:, None]
+            self.total /= times[2]
+        else:
+            held = np.zeros(self.total.shape, np.int32)
+            for cell in np.argwhere(self.seen):
+                held[tuple(slice(c * t, c * t + p) for c, t, p in zip(cell, self.stride, self.patch, strict=True))] += 1
+            self.total /= np.maximum(held, 1)
+        return self.total[tuple(slice(a, a + n) for n, (a, _) in zip(self.shape, self.pad, strict=True))]
 
 
 def assemble(boxes, stride, shape):
-    """The inverse of patches: overlaps are averaged and the padding is cut off."""
-    patch = boxes.shape[1:]
-    pad = pad_for_patches(shape, patch, stride) or [(0, 0)] * 3
-    full = [n + a + b for n, (a, b) in zip(shape, pad, strict=True)]
-    grid = [(n - p) // t + 1 for n, p, t in zip(full, patch, stride, strict=True)]
-    total, times = np.zeros(full), np.zeros(full)
-    for k, cell in enumerate(np.ndindex(*grid)):
-        box = tuple(slice(c * t, c * t + p) for c, t, p in zip(cell, stride, patch, strict=True))
-        total[box] += boxes[k]
-        times[box] += 1
-    inner = tuple(slice(a, a + n) for n, (a, _) in zip(shape, pad, strict=True))
-    return (total / np.maximum(times, 1))[inner]
+    """The inverse of patches."""
+    whole = Assembly(shape, boxes.shape[1:], stride)
+    for k, box in enumerate(boxes):
+        whole.add(k, box)
+    return whole.image()
 
 
 def paint_boxes(shape, starts, sizes):

@@ -128,12 +128,12 @@ def nodules_from_mask(scans: DataFrame, src: str = "masks") -> DataFrame:
     def regions(mask):
         import numpy as np
 
-        labels = kernels.label(mask)
-        out = []
-        for k in range(1, labels.max(initial=0) + 1):
-            at = np.argwhere(labels == k)
-            out.append([float(k), *at.mean(axis=0).tolist(), float(len(at))])
-        return out
+        labels = kernels.label(mask).ravel()
+        at = np.flatnonzero(labels)
+        of, n = labels[at], int(labels.max(initial=0)) + 1
+        times = np.bincount(of, minlength=n)[1:]
+        means = [np.bincount(of, c, n)[1:] / np.maximum(times, 1) for c in np.unravel_index(at, mask.shape)]
+        return [[float(k + 1), *map(float, row)] for k, row in enumerate(zip(*means, times, strict=True))]
 
     held = scans.select("scan_id", "spacing", "origin", kernels.per_row(regions, "array<array<double>>")(F.col(src), F.col("shape")).alias("_r"))
     found = held.select("scan_id", "spacing", "origin", F.explode("_r").alias("r"))
