@@ -231,7 +231,7 @@ def test_canned_flows(spark, scans, tmp_path):
     table = annotation_of(spark, scans)
     crops = flows.get_crops(scans, table, 10, 0.5, settings=SMALL)
     rows = crops.collect()
-    assert len(rows) == 10 and all(len(r.images) == 8 and len(r.masks) == 8 and 0 <= min(r.images) and max(r.images) <= 255 for r in rows)
+    assert len(rows) == 20 and all(len(r.images) == 8 and len(r.masks) == 8 and 0 <= min(r.images) and max(r.images) <= 255 for r in rows)
     flows.split_dump(scans, table, str(tmp_path / "c"), str(tmp_path / "n"), settings=SMALL)
     cancer, other = (files.load(spark, str(tmp_path / x), components=["images", "masks", "spacing", "origin"]) for x in "cn")
     assert (cancer.count(), other.count()) == (10, 6)
@@ -264,6 +264,108 @@ def test_flow(scans):
     assert (scans >> flow.Flow()).merge(scans >> flow.Flow(), (2, 2)).count() == 12
 
 
+def test_flow_values_and_batches(scans):
+    """B, C and Fn are found when a step gets its batch; run goes by batches, some of them ahead; models see each batch."""
+    class Model:
+        seen = 0
+
+        def train(self, df):
+            self.seen += df.count()
+
+    model, parts = Model(), []
+    chain = flow.Flow().set_config(noise={"sigma": 2.0}).init_model("m", model).apply_noise(flow.B("images"), "-")
+    chain = chain.then(lambda df, s, n, other: df.withColumn("sigma", F.lit(s)).withColumn("n", F.lit(n)).withColumn("other", F.lit(other)), flow.C("noise.sigma"), flow.Fn(lambda df: len(df.columns)), flow.C("absent", 7)).train_model("m")
+    for prefetch in (0, 2):
+        parts.clear()
+        assert (chain << scans).run(sink=lambda part: parts.append(part.select("scan_id", "sigma", "n", "other", F.array_max("images").alias("m")).collect()), batch_size=4, prefetch=prefetch) is None
+        assert [len(p) for p in parts] == [4, 2] and {(r.sigma, r.n, r.other, r.m) for p in parts for r in p} == {(2.0, 6, 7, 0.0)}
+    assert model.seen == 12
+
+
+def test_axes_pairs(scans):
+    """All pairs agree, as resampling is separable; a pair needs two axes."""
+    plain, pairs = (volumes.resize(scans, (3, 5, 4), "lanczos", axes_pairs=p).orderBy("scan_id").collect() for p in (None, ((0, 1), (1, 2), (2, 0))))
+    assert all(np.allclose(a.images, b.images) for a, b in zip(plain, pairs, strict=True))
+    with pytest.raises(ValueError, match="pair"):
+        volumes.resize(scans, (3, 5, 4), axes_pairs=((1, 1),))
+
+
+def test_masked_slice(scans):
+    row = volumes.axial_slice(scans, 0.5, mask="masks").first()
+    assert len(row.pixels) == len(row.mask) == 36 and volumes.axial_slice(scans.drop("masks"), 0.5, mask="masks").first().mask is None
+
+
+def test_large_grid_of_patches(spark):
+    """Overlapping boxes of many times the scan's size pass in rows, and a part of them can be assembled."""
+    scan = files.load(spark, fmt=None, src={"a": np.arange(20 * 40 * 40).reshape(20, 40, 40) % 97, "b": np.ones((20, 40, 40))})
+    boxes = volumes.get_patches(scan, (8, 16, 16), (2, 4, 4), "reflect")
+    assert boxes.count() == 2 * 7 * 7 * 7
+    whole = {r.scan_id: r.images for r in volumes.load_from_patches(boxes, (8, 16, 16), (2, 4, 4)).collect()}
+    assert np.allclose(whole["a"], (np.arange(20 * 40 * 40) % 97).tolist()) and set(whole["b"]) == {1.0}
+    some = volumes.load_from_patches(boxes.where("patch_no = 0 AND scan_id = 'b'"), (8, 16, 16), (2, 4, 4)).first()
+    assert sum(some.images) == 8 * 16 * 16
+
+
+def plain_components(image):
+    """Flood fill over 26 neighbours of equal value, numbered by first voxel."""
+    out, n = np.zeros(image.shape, int), 0
+    for p in np.ndindex(image.shape):
+        if image[p] and not out[p]:
+            n, todo = n + 1, [p]
+            out[p] = n
+            while todo:
+                q = todo.pop()
+                for d in np.ndindex(3, 3, 3):
+                    r = tuple(a + b - 1 for a, b in zip(q, d, strict=True))
+                    if all(0 <= a < b for a, b in zip(r, image.shape, strict=True)) and image[r] == image[p] and not out[r]:
+                        out[r] = n
+                        todo.append(r)
+    return out
+
+
+def test_lungs_against_flood_fill(scans):
+    """segment on small random scans, by plain loops."""
+    got = {r.scan_id: np.array(r.images).reshape(4, 6, 6) for r in volumes.segment(scans, 1).collect()}
+    for r in scans.collect():
+        image = np.array(r.images).reshape(4, 6, 6)
+        tissue = (image > -320).astype(int) + 1
+        parts = plain_components(tissue)
+        tissue[np.isin(parts, [parts[z, y, x] for z in range(4) for y in (0, -1) for x in (0, -1)])] = 2
+        for z in range(4):
+            inside = plain_components(np.stack([tissue[z] - 1]))[0]
+            sizes = np.bincount(inside.ravel())[1:]
+            tissue[z][(inside != sizes.argmax() + 1) if len(sizes) else True] = 1
+        lungs = plain_components(2 - tissue)
+        sizes = np.bincount(lungs.ravel())[1:]
+        mask = (lungs == sizes.argmax() + 1) if len(sizes) else np.zeros(image.shape, bool)
+        kept = mask.copy()
+        for z, y, x in np.ndindex(mask.shape):
+            kept[z, y, x] = all(mask[z, y + i, x + j] for i, j in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) if 0 <= y + i < 6 and 0 <= x + j < 6)
+        assert (got[r.scan_id] == np.where(kept, image, -2000)).all()
+
+
+def test_quantized_against_plain_means(scans):
+    """Decoded values are the centres of a plain one-dimensional k-means, nearest to each value."""
+    coded = volumes.encode_quantized(scans.select("scan_id", "shape", "images"), clusters=5)
+    got = {r.scan_id: r.images for r in volumes.decode_quantized(coded).collect()}
+    for r in scans.collect():
+        centers = [min(r.images) + k * (max(r.images) - min(r.images)) / 4 for k in range(5)]
+        for _ in range(5):
+            near = [min(range(5), key=lambda k: (abs(v - centers[k]), k)) for v in r.images]
+            centers = sorted(np.mean([v for v, n in zip(r.images, near, strict=True) if n == k]) if k in near else c for k, c in enumerate(centers))
+        want = [min(centers, key=lambda c: abs(v - c)) for v in r.images]
+        assert np.allclose(got[r.scan_id], want)
+
+
+def test_crops_per_run(scans, nodules):
+    """Each run of scans gives a batch of its own."""
+    made = sampling.sample_per_run(scans, nodules, (2, 2, 2), 5, 0.6, 2, seed=1).collect()
+    own = {f"s{k}": k // 2 for k in range(6)}
+    assert len(made) == 15 and all(own[r.scan_id] == r.run for r in made)
+    starts = {r.crop_id for r in made}
+    assert len(starts) == 15
+
+
 def test_training_data(scans, nodules):
     plain = flow.training_data(scans, "segmentation", is_training=False)
     assert plain.columns == ["scan_id", "features"]

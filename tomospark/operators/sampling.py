@@ -13,13 +13,13 @@ from . import volumes
 
 
 def uniform(seed: int, *keys) -> Column:
-    """In [0, 1), from a hash of seed and keys (columns or constants)."""
-    cols = [k if isinstance(k, Column) else F.lit(k) for k in keys]
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 30)) / float(1 << 30)
+    """In [0, 1), from the first 32 bits of the MD5 of seed and keys (columns or constants), joined by bars."""
+    cols = [(k if isinstance(k, Column) else F.lit(k)).cast("string") for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *cols)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def normal(seed: int, *keys) -> Column:
-    u = (uniform(seed, "u", *keys) * float(1 << 30) + 1) / float((1 << 30) + 1)
+    u = 1 - uniform(seed, "u", *keys)
     return F.sqrt(-2 * F.ln(u)) * F.cos(6.283185307179586 * uniform(seed, "v", *keys))
 
 
@@ -154,8 +154,7 @@ def nodule_starts(nodules: DataFrame, scans: DataFrame, size, variance=None, see
 def _shifted(a: str, size: int, variance: float, seed: int) -> Column:
     at = F.rint(F.abs(F.col(f"center.{a}") - F.col(f"origin.{a}")) / F.col(f"spacing.{a}")) - float(round(size / 2))
     at = at + normal(seed, a, F.col("scan_id"), F.col("nodule_id")) * math.sqrt(int(variance))
-    at = at - F.greatest(at + size - dim(a), F.lit(0.0))
-    at = at + F.greatest(-at, F.lit(0.0))
+    at = F.greatest(F.least(at, (dim(a) - size).cast("double")), F.lit(0.0))
     return F.when(dim(a) < size, F.lit(-1)).otherwise(at.cast("int"))
 
 
@@ -170,14 +169,19 @@ def random_starts(scans: DataFrame, n: int, size, seed: int = 42, histo=None) ->
     ids = scans.select("scan_id", "shape").withColumn("_rank", F.row_number().over(Window.orderBy("scan_id")) - 1)
     total = F.broadcast(scans.agg(F.count("*").alias("_total")))
     draws = spark.range(n).crossJoin(total).where("_total > 0").withColumn("_rank", F.floor(uniform(seed, "scan", F.col("id")) * F.col("_total")).cast("int"))
-    rows = draws.join(ids, "_rank")
+    rows = _random_places(draws.join(ids, "_rank"), size, seed, histo)
+    return rows.select("scan_id", F.lit(None).cast("string").alias("nodule_id"), "start", "id")
+
+
+def _random_places(rows: DataFrame, size, seed: int, histo=None) -> DataFrame:
+    """rows (with id and shape) and start."""
     if histo is None:
         start = [F.floor(uniform(seed, a, F.col("id")) * (dim(a) - size[k] + 1)).cast("int") for k, a in enumerate(AXES)]
     else:
         rows, edges = sample_histogram(rows, histo, seed), histo[1]
         top = [float(e[-1]) for e in edges]
         start = [F.floor(F.col(f"h_{a}") * (dim(a) - size[k]) / top[k]).cast("int") for k, a in enumerate(AXES)]
-    return rows.select("scan_id", F.lit(None).cast("string").alias("nodule_id"), zyx(*start).alias("start"), "id")
+    return rows.withColumn("start", zyx(*start))
 
 
 def sample_histogram(rows: DataFrame, histo, seed: int = 42) -> DataFrame:
@@ -212,10 +216,11 @@ def triples(a, b, c, spark: SparkSession) -> DataFrame:
 
 
 def ellipsoid_region(rows: DataFrame, center, axes, mult_range=(0.8, 1.2), seed: int = 42) -> DataFrame:
-    """rows (with id) and z, y, x: points of an ellipsoidal shell."""
-    theta, phi = 6.283185307179586 * uniform(seed, "theta", F.col("id")), 3.141592653589793 * uniform(seed, "phi", F.col("id"))
+    """rows (with id) and z, y, x: points of an ellipsoidal shell; the pole is the last axis, latitudes are uniform in -90..90 degrees."""
+    longitude = 6.283185307179586 * uniform(seed, "longitude", F.col("id"))
+    latitude = 3.141592653589793 * (uniform(seed, "latitude", F.col("id")) - 0.5)
     r = mult_range[0] + (mult_range[1] - mult_range[0]) * uniform(seed, "r", F.col("id"))
-    unit = (F.cos(phi), F.sin(phi) * F.sin(theta), F.sin(phi) * F.cos(theta))
+    unit = (F.cos(latitude) * F.cos(longitude), F.cos(latitude) * F.sin(longitude), F.sin(latitude))
     return rows.withColumns({a: float(c) + float(x) * r * u for a, c, x, u in zip(AXES, center, axes, unit, strict=True)})
 
 
@@ -228,6 +233,31 @@ def sample_nodules(scans: DataFrame, nodules: DataFrame, size=(32, 64, 64), batc
     return volumes.crops(scans, starts, size, columns)
 
 
+def sample_per_run(scans: DataFrame, nodules: DataFrame, size, batch_size: int, share: float, run_size: int, variance=None, histo=None, seed: int = 42, columns=("images",)) -> DataFrame:
+    """sample_nodules within each run of run_size scans, in the order of their ids; crops carry run.
+
+    Scans are numbered by ids alone, as are the findings of a run; pixels meet the starts by scan_id.
+    """
+    if not 0 <= share <= 1:
+        raise ValueError("share lies in 0..1")
+    runs = batch_numbers(scans.select("scan_id"), run_size, "scan_id").withColumnsRenamed({"batch_no": "run", "place": "_place"})
+    most = int(share * batch_size)
+    placed = nodule_starts(nodules.join(scans.select("scan_id"), "scan_id", "left_semi"), scans, size, variance, seed).join(runs.select("scan_id", "run"), "scan_id")
+    order = Window.partitionBy("run").orderBy(uniform(seed, "pick", F.col("scan_id"), F.col("nodule_id")), "nodule_id")
+    placed = placed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+    placed = placed.withColumn("crop_id", F.concat_ws("_", F.col("scan_id").cast("string"), hex_name(8, seed, F.col("nodule_id"))))
+    # as many random places as a run's findings leave, each in a scan of the run
+    per_run = runs.groupBy("run").agg(F.count("*").alias("_scans")).join(placed.groupBy("run").agg(F.count("*").alias("_own")), "run", "left")
+    free = per_run.where(F.coalesce("_own", F.lit(0)) < batch_size).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(batch_size) - F.coalesce("_own", F.lit(0)) - 1)))
+    draws = free.withColumn("id", F.concat_ws("_", "run", "_k")).withColumn("_place", F.floor(uniform(seed, "scan", F.col("id")) * F.col("_scans")).cast("int"))
+    rows = draws.join(runs, ["run", "_place"]).join(scans.select("scan_id", "shape"), "scan_id")
+    others = _random_places(rows, size, seed, histo)
+    others = others.withColumn("crop_id", F.concat_ws("_", F.col("scan_id").cast("string"), hex_name(8, seed, F.lit("random"), F.col("id"))))
+    cols = ["scan_id", "nodule_id", "start", "crop_id", "run"]
+    starts = placed.withColumn("nodule_id", F.col("nodule_id").cast("string")).select(*cols).unionByName(others.withColumn("nodule_id", F.lit(None).cast("string")).select(*cols))
+    return volumes.crops(scans, starts, size, columns).join(starts.select("crop_id", "run"), "crop_id")
+
+
 def sample_starts(scans: DataFrame, nodules: DataFrame, size, batch_size, share, variance=None, histo=None, seed: int = 42) -> DataFrame:
     if not 0 <= share <= 1:
         raise ValueError("share lies in 0..1")
@@ -239,7 +269,7 @@ def sample_starts(scans: DataFrame, nodules: DataFrame, size, batch_size, share,
     cancer = min(int(share * whole) if batch_size is not None else n, n)
     placed = nodule_starts(own, scans, size, variance, seed)
     if cancer < n:
-        order = Window.orderBy(F.xxhash64(F.lit(seed), "scan_id", "nodule_id"), "nodule_id")
+        order = Window.orderBy(uniform(seed, "pick", F.col("scan_id"), F.col("nodule_id")), "nodule_id")
         placed = placed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cancer).drop("_n")
     placed = placed.withColumn("crop_id", F.concat_ws("_", F.col("scan_id").cast("string"), hex_name(8, seed, F.col("nodule_id"))))
     if whole <= cancer:
@@ -273,7 +303,7 @@ def sample_xip(scans: DataFrame, depth: int, stride: int, batch_size: int = 20,
     b = masks.where(dim("z") > 0).select("scan_id", F.posexplode(cut("images")).alias("slice_no", "mask"))
     rows = a.join(b, ["scan_id", "slice_no"]).withColumn("cancer", F.exists("mask", lambda v: v > 0))
     n = int(batch_size * share)
-    order = lambda salt: (F.xxhash64(F.lit(seed), F.lit(salt), "scan_id", "slice_no"), "scan_id", "slice_no")
+    order = lambda salt: (uniform(seed, salt, F.col("scan_id"), F.col("slice_no")), "scan_id", "slice_no")
     true = rows.where("cancer").orderBy(*order(1)).limit(n)
     others = rows.orderBy(*order(2)).limit(batch_size - n)
     return true.unionByName(others).orderBy(*order(3))

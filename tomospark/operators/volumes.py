@@ -79,11 +79,13 @@ def crops(scans: DataFrame, starts: DataFrame, size, columns=("images",)) -> Dat
     return gather(moved, *index, _dims(size), columns)
 
 
-def axial_slice(scans: DataFrame, height: float, column: str = "images") -> DataFrame:
-    """scan_id, number and pixels of the slice int(height * nz)."""
+def axial_slice(scans: DataFrame, height: float, column: str = "images", mask: str | None = None) -> DataFrame:
+    """scan_id, number and pixels of the slice int(height * nz); with mask (a column's name) also mask, null where the scan has none."""
     number = (F.lit(float(height)) * dim("z")).cast("int")
     area = dim("y") * dim("x")
-    return scans.select("scan_id", number.alias("number"), F.slice(column, number * area + 1, area).alias("pixels"))
+    cut = lambda c: F.slice(c, number * area + 1, area)
+    more = [] if mask is None else [(cut(mask) if mask in scans.columns else F.lit(None).cast("array<double>")).alias("mask")]
+    return scans.select("scan_id", number.alias("number"), cut(column).alias("pixels"), *more)
 
 
 def truncate_mask(scans: DataFrame, threshold: float = 0.2, min_val: float = 0, max_val: float = 255) -> DataFrame:
@@ -175,31 +177,40 @@ def rescale(scans: DataFrame, new_shape) -> DataFrame:
 METHODS = ("linear", "lanczos", "nearest", "spline")
 
 
-def _resampler(method: str, order: int):
+def _resampler(method: str, order: int, axes_pairs=None):
     if method not in METHODS:
         raise ValueError(f"unknown method {method}; one of {METHODS}")
+    for a, b in axes_pairs or ():
+        if a == b or not {a, b} <= {0, 1, 2}:
+            raise ValueError(f"a pair has two of the axes 0, 1 and 2, not {(a, b)}")
     if method == "spline":
         return lambda image, shape: kernels.zoom(image, shape, order)
-    return lambda image, shape: kernels.resize(image, shape, method)
+    if axes_pairs is None:
+        return lambda image, shape: kernels.resize(image, shape, method)
+    orders = [[*(k for k in range(3) if k != a), a] for a, _ in axes_pairs]
+    return lambda image, shape: sum(kernels.resize(image, shape, method, o) for o in orders) / len(orders)
 
 
-def resize(scans: DataFrame, shape=(128, 256, 256), method: str = "linear", order: int = 3, columns=("images",)) -> DataFrame:
+def resize(scans: DataFrame, shape=(128, 256, 256), method: str = "linear", order: int = 3, columns=("images",), axes_pairs=None) -> DataFrame:
     """Resample to shape; spacing follows, the origin stays.
 
+    axes_pairs, for all methods but spline: the mean over pairs of axes; of each pair, planes across its first and then
+    across its second axis are resampled. Without it axes are resampled in order.
+
     linear and lanczos are separable filters with pixel centres at half and rows of weights that sum to 1; spline maps first to
     first and last to last sample.
     """
-    sample = kernels.per_row(_resampler(method, order))
+    sample = kernels.per_row(_resampler(method, order, axes_pairs))
     target = F.array(*[F.lit(int(n)) for n in shape])
     done = scans.withColumns({c: sample(F.col(c), F.col("shape"), target) for c in columns})
     return rescale(done, shape).withColumn("shape", _dims(shape))
 
 
-def unify_spacing(scans: DataFrame, spacing=(1.0, 1.0, 1.0), shape=(128, 256, 256), method: str = "linear", order: int = 3, padding: str = "edge", columns=("images",)) -> DataFrame:
+def unify_spacing(scans: DataFrame, spacing=(1.0, 1.0, 1.0), shape=(128, 256, 256), method: str = "linear", order: int = 3, padding: str = "edge", columns=("images",), axes_pairs=None) -> DataFrame:
     """Resample to nearly the spacing asked for, then crop or pad to shape; spacing and origin are the actual ones."""
     want, out = dict(zip(AXES, spacing, strict=True)), dict(zip(AXES, shape, strict=True))
     scans = scans.withColumn("_m", each(lambda a: F.rint(dim(a) * F.col(f"spacing.{a}") / float(want[a])).cast("int")))
-    sample = _resampler(method, order)
+    sample = _resampler(method, order, axes_pairs)
     kernel = kernels.per_row(lambda image, m: kernels.to_shape(sample(image, m), shape, padding))
     done = scans.withColumns({c: kernel(F.col(c), F.col("shape"), _array(F.col("_m"))) for c in columns})
     done = done.withColumn("spacing", each(lambda a: F.col(f"spacing.{a}") * dim(a) / F.col(f"_m.{a}")))
@@ -209,7 +220,9 @@ def unify_spacing(scans: DataFrame, spacing=(1.0, 1.0, 1.0), shape=(128, 256, 25
 
 def rotate(scans: DataFrame, angle: float, columns=("images",), axes=(1, 2), random: bool = True, seed: int = 42) -> DataFrame:
     """Rotate by angle degrees, or by a share of it drawn per scan by a hash; all columns of a scan turn alike."""
-    draw = (F.pmod(F.xxhash64(F.lit(seed), "scan_id"), F.lit(1 << 30)) / float(1 << 30)) if random else F.lit(1.0)
+    from .sampling import uniform
+
+    draw = uniform(seed, "angle", F.col("scan_id")) if random else F.lit(1.0)
     kernel = kernels.per_row(lambda image, a: kernels.rotate(image, a, axes))
     return scans.withColumns({c: kernel(F.col(c), F.col("shape"), draw * float(angle)) for c in columns})
 
@@ -260,26 +273,76 @@ def unxip(scans: DataFrame, stack: str, depth: int, stride: int, start: int = 0,
     return scans.withColumn(dst, kernels.per_row(kernel)(F.col("images"), F.col("shape"), F.col(stack)))
 
 
+#: Bytes of boxes that leave a task in one Arrow batch.
+BATCH_BYTES = 32 << 20
+
+
 def get_patches(scans: DataFrame, patch, stride, padding: str = "edge", column: str = "images") -> DataFrame:
-    """A row (scan_id, scan_shape, patch_no, pixels) per sliding box, in z-major order, after padding so that strides fit."""
+    """A row (scan_id, scan_shape, patch_no, pixels) per sliding box, in z-major order, after padding so that strides fit.
+
+    Boxes are views of one padded scan and leave it some at a time, so a scan's boxes need never fit a value or memory together.
+    """
+    patch, stride = tuple(int(n) for n in patch), tuple(int(n) for n in stride)
     n = patch[0] * patch[1] * patch[2]
-    boxes = kernels.per_row(lambda image: kernels.patches(image, patch, stride, padding))(F.col(column), F.col("shape"))
-    flat = scans.select("scan_id", F.col("shape").alias("scan_shape"), boxes.alias("_boxes"))
-    numbers = span((F.size("_boxes") / n).cast("int"))
-    cut = F.transform(numbers, lambda k: F.slice("_boxes", k * n + 1, n))
-    return flat.select("scan_id", "scan_shape", F.posexplode(cut).alias("patch_no", "pixels"))
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        step = max(1, BATCH_BYTES // (8 * n))
+        for batch in batches:
+            ids, shapes, volumes = (batch.column(k) for k in range(3))
+            for k in range(batch.num_rows):
+                if not volumes[k].is_valid:
+                    continue
+                dims = tuple(shapes[k].as_py()[a] for a in AXES)
+                boxes = kernels.box_view(np.asarray(volumes[k].values, float).reshape(dims), patch, stride, padding)
+                total = boxes.shape[0] * boxes.shape[1] * boxes.shape[2]
+                for at in range(0, total, step):
+                    number = np.arange(at, min(total, at + step))
+                    part = boxes[np.unravel_index(number, boxes.shape[:3])]
+                    pixels = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, n), pa.int32()), pa.array(part.ravel()))
+                    same = pa.array(np.full(len(number), k))
+                    yield pa.RecordBatch.from_arrays([ids.take(same), shapes.take(same), pa.array(number.astype(np.int32)), pixels], ["scan_id", "scan_shape", "patch_no", "pixels"])
+
+    held = scans.select("scan_id", F.col("shape").alias("scan_shape"), F.col(column).cast("array<double>"))
+    kind = scans.schema["scan_id"].dataType.simpleString()
+    return held.mapInArrow(cut, f"scan_id {kind}, scan_shape struct<z:int,y:int,x:int>, patch_no int, pixels array<double>")
 
 
 def load_from_patches(patches: DataFrame, patch, stride, name: str = "images") -> DataFrame:
     """scan_id, shape and volume of patches' rows: overlaps are averaged and the padding is cut off.
 
-    A scan's patches meet once, by scan_id; the average is taken within the row.
+    A scan's patches meet once, by scan_id, and are added to its volume one after another.
     """
-    rows = patches.groupBy("scan_id").agg(F.first("scan_shape").alias("shape"), F.sort_array(F.collect_list(F.struct("patch_no", "pixels"))).alias("_p"))
-    flat = F.flatten(F.transform("_p", lambda s: s["pixels"]))
-    kernel = kernels.per_row(lambda boxes, shape: kernels.assemble(boxes.reshape(-1, *patch), stride, tuple(shape)))
-    as_column = zyx(F.size("_flat"), F.lit(1), F.lit(1))
-    return rows.withColumn("_flat", flat).select("scan_id", "shape", kernel(F.col("_flat"), as_column, _array(F.col("shape"))).alias(name))
+    patch, stride = tuple(int(n) for n in patch), tuple(int(n) for n in stride)
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        here, whole = None, None
+
+        def done():
+            image = whole.image()
+            values = pa.ListArray.from_arrays(pa.array([0, image.size], pa.int32()), pa.array(image.ravel()))
+            return pa.RecordBatch.from_arrays([here[0], here[1], values], ["scan_id", "shape", name])
+
+        for batch in batches:
+            ids, shapes, numbers, pixels = (batch.column(k) for k in range(4))
+            for k in range(batch.num_rows):
+                if whole is None or ids[k] != here[0][0]:
+                    if whole is not None:
+                        yield done()
+                    here = ids.slice(k, 1), shapes.slice(k, 1)
+                    whole = kernels.Assembly(tuple(shapes[k].as_py()[a] for a in AXES), patch, stride)
+                whole.add(numbers[k].as_py(), np.asarray(pixels[k].values, float))
+        if whole is not None:
+            yield done()
+
+    kind = patches.schema["scan_id"].dataType.simpleString()
+    held = patches.select("scan_id", "scan_shape", "patch_no", F.col("pixels").cast("array<double>")).repartition("scan_id").sortWithinPartitions("scan_id", "patch_no")
+    return held.mapInArrow(add, f"scan_id {kind}, shape struct<z:int,y:int,x:int>, {name} array<double>")
 
 
 def lung_mask(scans: DataFrame, erosion_radius: int = 2, dst: str = "masks") -> DataFrame:

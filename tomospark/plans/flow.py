@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
@@ -37,12 +39,13 @@ class Flow:
     source: DataFrame | None = None
     variables: dict = field(default_factory=dict)
     models: dict = field(default_factory=dict)
+    config: dict = field(default_factory=dict)
 
     def then(self, step: Callable, *args, **options) -> Flow:
         """Add step(df, *args, **options); arguments that are Lazy are resolved when the plan is built."""
-        def run(df, flow=None):
-            solved = [a.resolve(self) if isinstance(a, Lazy) else a for a in args]
-            named = {k: v.resolve(self) if isinstance(v, Lazy) else v for k, v in options.items()}
+        def run(df):
+            solved = [a.resolve(self, df) if isinstance(a, Lazy) else a for a in args]
+            named = {k: v.resolve(self, df) if isinstance(v, Lazy) else v for k, v in options.items()}
             return step(df, *solved, **named)
 
         return replace(self, steps=(*self.steps, run))
@@ -55,7 +58,7 @@ class Flow:
         raise AttributeError(name)
 
     def __add__(self, other: Flow) -> Flow:
-        return Flow((*self.steps, *other.steps), self.source if self.source is not None else other.source, {**self.variables, **other.variables}, {**self.models, **other.models})
+        return Flow((*self.steps, *other.steps), self.source if self.source is not None else other.source, {**self.variables, **other.variables}, {**self.models, **other.models}, {**self.config, **other.config})
 
     def __lshift__(self, df: DataFrame) -> Flow:
         return replace(self, source=df)
@@ -72,12 +75,41 @@ class Flow:
             df = step(df)
         return df
 
-    def run(self, df: DataFrame | None = None, sink: Callable[[DataFrame], None] | None = None) -> DataFrame:
-        """Bind, and hand the result to a sink, if one is given."""
-        out = self.bind(df)
-        if sink is not None:
-            sink(out)
-        return out
+    def run(self, df: DataFrame | None = None, sink: Callable[[DataFrame], None] | None = None, batch_size: int | None = None, prefetch: int = 0, **options) -> DataFrame | None:
+        """Bind, and hand the result to a sink, if one is given.
+
+        With batch_size, each batch of batches(batch_size, **options) is handed to the sink (without one it is computed
+        and let go), in order; prefetch of them are computed ahead, as jobs of their own. Nothing is returned then.
+        """
+        if batch_size is None:
+            out = self.bind(df)
+            if sink is not None:
+                sink(out)
+            return out
+        flow = self if df is None else replace(self, source=df)
+        sink = sink or (lambda part: part.write.format("noop").mode("overwrite").save())
+        waiting: deque = deque()
+
+        def done(part, ahead):
+            ahead.result()
+            sink(part)
+            part.unpersist()
+
+        def compute(part):
+            part.persist().count()
+
+        if prefetch <= 0:
+            for part in flow.batches(batch_size, **options):
+                sink(part)
+            return None
+        with ThreadPoolExecutor(prefetch) as pool:
+            for part in flow.batches(batch_size, **options):
+                waiting.append((part, pool.submit(compute, part)))
+                if len(waiting) > prefetch:
+                    done(*waiting.popleft())
+            while waiting:
+                done(*waiting.popleft())
+        return None
 
     def batches(self, batch_size: int, order="scan_id", shuffle: int | None = None, n_epochs: int = 1, drop_last: bool = False) -> Iterator[DataFrame]:
         """DataFrames of batch_size rows; ids alone are numbered, and only a batch's scans pass the steps."""
@@ -118,23 +150,60 @@ class Flow:
     def get_model(self, name: str):
         return self.models[name]
 
+    def set_config(self, **values) -> Flow:
+        """A flow with more configuration values, for C."""
+        return replace(self, config={**self.config, **values})
+
+    def train_model(self, name: str, *args, **options) -> Flow:
+        """A step that calls the model's train(df, *args, **options) with each batch that passes and hands the batch on."""
+        def train(df, *args, **options):
+            self.models[name].train(df, *args, **options)
+            return df
+
+        return self.then(train, *args, **options)
+
 
 @dataclass(frozen=True)
 class Lazy:
-    """A value that is found when the plan is built: V(name) a variable, L(fn) a call."""
+    """A value that is found when the plan is built, from the flow and the DataFrame that the step gets."""
 
     find: Callable
 
-    def resolve(self, flow: Flow):
-        return self.find(flow)
+    def resolve(self, flow: Flow, df: DataFrame | None = None):
+        return self.find(flow, df)
 
 
 def V(name: str) -> Lazy:  # noqa: N802
-    return Lazy(lambda flow: flow.variables[name])
+    """A variable of the flow."""
+    return Lazy(lambda flow, df: flow.variables[name])
 
 
 def L(fn: Callable) -> Lazy:  # noqa: N802
-    return Lazy(lambda flow: fn())
+    """A call without arguments."""
+    return Lazy(lambda flow, df: fn())
+
+
+def B(name: str) -> Lazy:  # noqa: N802
+    """A column of the batch."""
+    return Lazy(lambda flow, df: df[name])
+
+
+def C(name: str, default=None) -> Lazy:  # noqa: N802
+    """A configuration value; dots lead into nested ones."""
+    def find(flow, df):
+        held = flow.config
+        for part in name.split("."):
+            if not isinstance(held, dict) or part not in held:
+                return default
+            held = held[part]
+        return held
+
+    return Lazy(find)
+
+
+def Fn(fn: Callable) -> Lazy:  # noqa: N802
+    """A call with the batch, a DataFrame."""
+    return Lazy(lambda flow, df: fn(df))
 
 
 TARGETS = ("segmentation", "classification", "regression")

@@ -46,10 +46,10 @@ def prepared(scans: DataFrame, annotation: DataFrame, settings: Settings = LUNA)
 
 
 def get_crops(scans: DataFrame, annotation: DataFrame, batch_size: int = 20, share: float = 0.5, histo=None, settings: Settings = LUNA, seed: int = 42) -> DataFrame:
-    """Crops with masks for training: around findings and elsewhere, per run of settings.run_size scans."""
+    """Crops with masks for training: around findings and elsewhere, batch_size for each run of settings.run_size scans."""
     even, nodules = prepared(scans, annotation, settings)
     even = volumes.normalize_hu(even, *settings.hu)
-    return sampling.sample_nodules(even, nodules, settings.crop, batch_size, share, settings.variance, histo, seed, ("images", "masks"))
+    return sampling.sample_per_run(even, nodules, settings.crop, batch_size, share, settings.run_size, settings.variance, histo, seed, ("images", "masks"))
 
 
 def split_dump(scans: DataFrame, annotation: DataFrame, cancer_path: str, non_cancer_path: str, histo=None, settings: Settings = LUNA, seed: int = 42) -> None:

@@ -91,11 +91,12 @@ SCANS = """scans AS (
 
 
 def findings(spark: SparkSession, folder: str) -> DataFrame:
-    """Findings of the volumes, in mm."""
-    t = table(spark, folder, "lineitem").where("l_linenumber = 1")
-    label = scans(spark, folder, True).select("scan_id", "spacing", "origin")
+    """Findings of the volumes, in mm: every row of lineitem, dealt to the scans by the order's number."""
+    t = table(spark, folder, "lineitem")
+    held = scans(spark, folder, True).select("scan_id", "spacing", "origin")
+    number = held.agg(F.count("*").alias("_scans"))  # one row
     at = {"z": F.col("l_quantity").cast("long") % 4, "y": F.col("l_partkey") % 4, "x": F.col("l_suppkey") % 4}
-    rows = t.withColumn("scan_id", F.col("l_orderkey") % 500).join(F.broadcast(label), "scan_id")
+    rows = t.crossJoin(F.broadcast(number)).withColumn("scan_id", F.col("l_orderkey") % F.col("_scans")).join(held, "scan_id")
     size = (1 + F.col("l_partkey") % 3).cast("double")
     return rows.select(
         "scan_id", F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("nodule_id"),
@@ -105,7 +106,12 @@ def findings(spark: SparkSession, folder: str) -> DataFrame:
 
 FINDINGS = SCANS + """, found AS (
   SELECT s.*, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS nodule_id, oz + sz * (l_quantity::BIGINT % 4) AS cz, oy + sy * (l_partkey % 4) AS cy,
-    ox + sx * (l_suppkey % 4) AS cx, (1 + l_partkey % 3)::DOUBLE AS g FROM lineitem JOIN scans s ON s.scan_id = l_orderkey % 500 WHERE l_linenumber = 1)"""
+    ox + sx * (l_suppkey % 4) AS cx, (1 + l_partkey % 3)::DOUBLE AS g FROM (SELECT *, l_orderkey % (SELECT count(*) FROM embeddings) AS of_scan FROM lineitem) JOIN scans s ON s.scan_id = of_scan)"""
+
+
+def u_sql(*keys: str, seed: int = 42) -> str:
+    """SQL of operators.sampling.uniform; keys are SQL expressions."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
 def boxes(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import fit_start, linear, zyx
-from ..functions.kernels import weights
+from ..functions.kernels import spline_axis, spline_coefficients, weights
 from ..functions.voxels import to_voxels
 from ..operators import losses, masks, sampling, volumes
 from . import flow
-from .surrogates import BOXES, FINDINGS, SCANS, VOXELS, boxes, findings, nodules, q6, r6, scans, table
+from .surrogates import BOXES, FINDINGS, SCANS, VOXELS, boxes, findings, nodules, q6, r6, scans, table, u_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -155,7 +156,8 @@ def _partners(df):
 
 
 def _mix_sql(rule: str, value: str = "v") -> str:
-    return f"WITH {VOXELS} SELECT a.scan_id, a.z, a.y, a.x, {q6(rule)} AS v FROM vox a JOIN vox b ON b.scan_id = CASE WHEN a.scan_id % 2 = 0 THEN a.scan_id + 1 ELSE a.scan_id - 1 END AND a.p = b.p"
+    own = "SELECT *, scan_id * 64 + p AS k, (scan_id + 1 - 2 * (scan_id % 2)) * 64 + p AS other FROM vox"
+    return f"WITH {VOXELS}, held AS MATERIALIZED ({own}) SELECT a.scan_id, a.z, a.y, a.x, {q6(rule)} AS v FROM held a JOIN held b ON b.k = a.other"
 
 
 @query(_mix_sql("0.8::DOUBLE * a.v + (1 - 0.8::DOUBLE) * b.v"))
@@ -294,7 +296,8 @@ def predict_on_scan_mean(spark, d):
 def _resize_sql(sizes, kind="linear") -> str:
     steps, current = f"WITH {VOXELS}, r0 AS (SELECT scan_id, z, y, x, v FROM vox)", "r0"
     for k, (axis, m) in enumerate(zip("zyx", sizes, strict=True)):
-        rows = ", ".join(f"({i}, {o}, {float(w)!r}::DOUBLE)" for o, line in enumerate(weights(4, m, kind)) for i, w in enumerate(line) if w)
+        made = spline_axis(np.eye(4), np.arange(m) * 3 / (m - 1), 0) if kind == "spline" else weights(4, m, kind)
+        rows = ", ".join(f"({i}, {o}, {float(w)!r}::DOUBLE)" for o, line in enumerate(made) for i, w in enumerate(line) if w)
         keep = ", ".join(f"{a}" if a != axis else f"w.o AS {a}" for a in "zyx")
         group = ", ".join(a if a != axis else "w.o" for a in "zyx")
         steps += f", w{k}(i, o, w) AS (VALUES {rows}), r{k + 1} AS (SELECT scan_id, {keep}, sum(w.w * v) AS v FROM {current} JOIN w{k} w ON {current}.{axis} = w.i GROUP BY scan_id, {group})"
@@ -348,12 +351,27 @@ def rotate_90(spark, d):
     return voxels(volumes.rotate(scans(spark, d), 90, random=False))
 
 
-@query()
+def _rotate_sql(angle: float) -> str:
+    """A cubic B-spline over 4 x 4 planes: prefiltered coefficients as two sums of weights, then 16 taps with mirrored ends."""
+    rows = ", ".join(f"({i}, {o}, {float(w)!r}::DOUBLE)" for o, line in enumerate(spline_coefficients(np.eye(4), 0)) for i, w in enumerate(line))
+    cubic = lambda t: f"CASE WHEN abs({t}) < 1 THEN 2.0::DOUBLE / 3 - ({t}) * ({t}) * (1 - abs({t}) / 2) WHEN abs({t}) < 2 THEN (2 - abs({t})) ** 3 / 6 ELSE 0 END"
+    mirror = lambda t: f"CASE WHEN (({t}) % 6 + 6) % 6 < 4 THEN (({t}) % 6 + 6) % 6 ELSE 6 - (({t}) % 6 + 6) % 6 END"
+    return f"""WITH {VOXELS}, w(i, o, w) AS (VALUES {rows}), c1 AS (SELECT scan_id, z, o AS y, x, sum(w * v) AS v FROM vox JOIN w ON y = i GROUP BY 1, 2, 3, 4),
+c AS (SELECT scan_id, z, y, o AS x, sum(w * v) AS c FROM c1 JOIN w ON x = i GROUP BY 1, 2, 3, 4),
+t AS (SELECT vec_id AS scan_id, radians({u_sql("'angle'", 'vec_id')} * {angle}::DOUBLE) AS t FROM embeddings),
+spot AS (SELECT scan_id, y, x, cos(t) * (y - 1.5::DOUBLE) + sin(t) * (x - 1.5::DOUBLE) + 1.5::DOUBLE AS si, -sin(t) * (y - 1.5::DOUBLE) + cos(t) * (x - 1.5::DOUBLE) + 1.5::DOUBLE AS sj FROM t, range(4) a(y), range(4) b(x)),
+tap AS (SELECT scan_id, y, x, si, sj, floor(si)::INT + p AS ti, floor(sj)::INT + q AS tj FROM spot, range(-1, 3) a(p), range(-1, 3) b(q)),
+taps AS (SELECT scan_id, y, x, si BETWEEN -1e-9 AND 3 + 1e-9 AND sj BETWEEN -1e-9 AND 3 + 1e-9 AS inside, {mirror('ti')} AS cy, {mirror('tj')} AS cx, ({cubic('si - ti')}) * ({cubic('sj - tj')}) AS k FROM tap)
+SELECT t.scan_id, c.z::INT AS z, t.y::INT AS y, t.x::INT AS x, {q6('CASE WHEN any_value(inside) THEN sum(k * c) ELSE 0 END')} AS v
+FROM taps t JOIN c ON c.scan_id = t.scan_id AND c.y = t.cy AND c.x = t.cx GROUP BY 1, 2, 3, 4"""
+
+
+@query(_rotate_sql(30))
 def rotate_random(spark, d):
     return voxels(volumes.rotate(scans(spark, d), 30))
 
 
-@query()
+@query(f"{_resize_sql((3, 5, 6), 'spline')} SELECT scan_id, z::INT AS z, y::INT AS y, x::INT AS x, {q6('v')} AS v FROM r3")
 def resize_spline(spark, d):
     return voxels(volumes.resize(scans(spark, d), (3, 5, 6), "spline"))
 
@@ -488,26 +506,48 @@ def all_cancer_crops(spark, d):
     return to_voxels(made, keys=("nodule_id",)).withColumn("v", r6(F.col("v")))
 
 
-@query()
+def _normal(a: str) -> str:
+    """SQL of a normal draw of a finding on an axis."""
+    u = lambda salt: u_sql(f"'{salt}'", f"'{a}'", "scan_id", "nodule_id")
+    return f"sqrt(-2 * ln(1 - {u('u')})) * cos(6.283185307179586::DOUBLE * {u('v')})"
+
+
+NUMBERED = "n AS (SELECT vec_id AS scan_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings)"
+
+
+@query(f"""WITH {FINDINGS}, {NUMBERED}, chosen AS (SELECT *, row_number() OVER (ORDER BY {u_sql("'pick'", 'scan_id', 'nodule_id')}, nodule_id) AS n FROM found),
+a AS (SELECT scan_id, nodule_id, {', '.join(f"round_even(abs(c{a} - o{a}) / s{a}, 0) - 1 + {_normal(a)} AS a{a}" for a in 'zyx')} FROM chosen WHERE n <= 16),
+starts AS (SELECT concat_ws('_', scan_id, substr(sha256('42|' || nodule_id), 1, 8)) AS crop_id, scan_id, {', '.join(f"trunc(greatest(least(a{a}, 2), 0))::INT AS {a}" for a in 'zyx')} FROM a
+  UNION ALL SELECT concat_ws('_', scan_id, substr(sha256('42|random|' || id), 1, 8)), scan_id, {', '.join(f"floor({u_sql(f"'{a}'", 'id')} * 3)::INT" for a in 'zyx')}
+  FROM (SELECT i AS id, floor({u_sql("'scan'", 'i')} * (SELECT count(*) FROM embeddings))::BIGINT AS k FROM range(4) t(i)) JOIN n USING (k))
+SELECT crop_id, st.scan_id, {', '.join(f'{q6(f"o{a} + s{a} * {a}")} AS o{a}' for a in 'zyx')} FROM starts st JOIN scans s USING (scan_id)""")
 def sample_nodules(spark, d):
-    rows = scans(spark, d)
-    return sampling.sample_nodules(rows, findings(spark, d), (2, 2, 2), 20, 0.8, (1, 1, 1)).select("crop_id", "scan_id", "shape", "origin")
+    made = sampling.sample_nodules(scans(spark, d), findings(spark, d), (2, 2, 2), 20, 0.8, (1, 1, 1))
+    return made.select("crop_id", "scan_id", *[r6(F.col(f"origin.{a}")).alias(f"o{a}") for a in "zyx"])
 
 
-@query()
+def _first_ten(salt: int, where: str = "TRUE") -> str:
+    return f"(SELECT scan_id, cancer FROM s WHERE {where} ORDER BY {u_sql(str(salt), 'scan_id', '0')}, scan_id LIMIT 10)"
+
+
+@query(f"WITH {VOXELS}, s AS (SELECT scan_id, max(m) > 0 AS cancer FROM vox WHERE z <= 2 GROUP BY 1) SELECT scan_id, 0 AS slice_no, cancer FROM ({_first_ten(1, 'cancer')} UNION ALL {_first_ten(2)})")
 def sample_xip(spark, d):
+    """Windows of two slices, in groups of two: one slice per scan, of the first three."""
     return sampling.sample_xip(scans(spark, d), 2, 1, channels=2).select("scan_id", "slice_no", "cancer")
 
 
-@query()
+@query(f"""WITH {NUMBERED}, drawn AS (SELECT floor({u_sql("'scan'", 'i')} * (SELECT count(*) FROM embeddings))::BIGINT AS k, {u_sql("'bin'", 'i')} AS u, {', '.join(f"{u_sql(f"'in{a}'", 'i')} AS {a}" for a in 'zyx')} FROM range(500) t(i)),
+b AS (SELECT *, CASE WHEN u < 0.1::DOUBLE THEN 0 WHEN u < 0.3::DOUBLE THEN 3 WHEN u < 0.6::DOUBLE THEN 6 ELSE 7 END AS bin FROM drawn)
+SELECT scan_id, floor((bin // 4 * 2 + z * 2) * 2 / 4)::INT AS z, floor((bin // 2 % 2 * 2 + y * 2) * 2 / 4)::INT AS y, floor((bin % 2 * 2 + x * 2) * 2 / 4)::INT AS x FROM b JOIN n USING (k)""")
 def sample_histogram(spark, d):
     histo = ([[[1, 0], [0, 2]], [[0, 0], [3, 4]]], ((0, 2, 4), (0, 2, 4), (0, 2, 4)))
-    return sampling.random_starts(scans(spark, d), 500, (2, 2, 2), histo=histo).select("scan_id", "start")
+    return sampling.random_starts(scans(spark, d), 500, (2, 2, 2), histo=histo).select("scan_id", "start.z", "start.y", "start.x")
 
 
-@query()
+@query(f"""WITH d AS (SELECT i AS id, 6.283185307179586::DOUBLE * {u_sql("'longitude'", 'i')} AS lon, 3.141592653589793::DOUBLE * ({u_sql("'latitude'", 'i')} - 0.5::DOUBLE) AS lat, 0.8::DOUBLE + (1.2::DOUBLE - 0.8::DOUBLE) * {u_sql("'r'", 'i')} AS r FROM range(1000) t(i))
+SELECT id, {q6('10 + 2 * r * cos(lat) * cos(lon)')} AS z, {q6('20 + 3 * r * cos(lat) * sin(lon)')} AS y, {q6('30 + 4 * r * sin(lat)')} AS x FROM d""")
 def ellipsoid_region(spark, d):
-    return sampling.ellipsoid_region(spark.range(1000), (10, 20, 30), (2, 3, 4))
+    return sampling.ellipsoid_region(spark.range(1000), (10, 20, 30), (2, 3, 4)).select("id", *[r6(F.col(a)).alias(a) for a in "zyx"])
 
 
 SPLIT = "('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT % 10"
