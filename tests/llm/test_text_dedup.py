@@ -248,6 +248,21 @@ def brute_components(prints, threshold=4):
     return [find(i) for i in ids]
 
 
+def test_forest_of_bits():
+    """Components at an anchor equal those of all pairs, dense clusters and chains among them."""
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 300):
+        fp = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for k in range(max(1, n // 2), n):
+            fp[k] = fp[rng.integers(0, k)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 7)).astype(np.uint64))
+        want = brute_components([int(x) for x in fp])
+        root = list(range(n))
+        for i, j in simhash.forest(fp):
+            assert root[j] == j
+            root[j] = i
+        assert len({(a, b) for a, b in zip(root, want, strict=True)}) == len(set(root)) == len(set(want))
+
+
 @pytest.mark.parametrize("cell", [8_192, 40])
 def test_near_dups(spark, documents, cell):
     rng = random.Random(7)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import settled, write_table
 
 SCOPE = 256
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -134,7 +134,7 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, base and all: arrays of (start, kind, end), kind an index into KINDS."""
     scanned = scan(docs)
-    found = scanned.join(linked(scanned, scope), "_row", "left")
+    found = scanned.join(settled(lambda: linked(scanned, scope), "linked"), "_row", "left")
     return found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN)))).alias("all"))
 
 

@@ -6,8 +6,10 @@ have two and the 18-bit block has none. So the anchors are
 - the 4,096 words of the binary Golay code for each 23-bit block: its covering radius is 3, so
   a fingerprint goes to every anchor within 3 + 1 bits (5.3 on average), and
 - all words of the 18-bit block (covering radius 0, threshold 0).
-Two linked fingerprints meet at an anchor in one of the three; there all pairs are compared on 64 bits.
-Equal fingerprints are one node. An anchor with more than CELL fingerprints is split into parts and each
+Two linked fingerprints meet at an anchor in one of the three; there they are compared on 64 bits.
+Equal fingerprints are one node. At an anchor only those fingerprints are compared that agree in one of five chunks
+of their 64 bits, as any two that link do: a small share of all pairs, so the work of an anchor grows with its fingerprints
+times some thousandths of them. An anchor with more than CELL fingerprints is split into parts and each
 pair of parts is compared in a task of its own; the table of such anchors has at most 2 * 4,096 + 2^18 rows.
 Each task returns a spanning forest of its links, never all pairs.
 
@@ -23,13 +25,14 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, shingles, whole_groups, write_table
+from ..functions.grouped import pairs_within
+from .common import released, settled, shingles, whole_groups, write_table
 from .components import components
 
 THRESHOLD = 4
 SHINGLE = 4
 SEED = 42
-CELL = 8_192
+CELL = 16_384
 #: Bits of the blocks, and of the Golay code's generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 BLOCKS = (23, 23, 18)
 GOLAY = 0b110001110101
@@ -107,28 +110,39 @@ def anchors(fp):
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
+def _join(root, a, b) -> None:
+    """Unite the sets of a and b in root, an array that names each index's set by its least index."""
+    import numpy as np
+
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root != root[root]).any():
+            root[:] = root[root]
+
+
 def forest(fp, threshold: int = THRESHOLD):
     """Pairs (i, j) of indices that connect exactly what links of at most threshold bits connect."""
     import numpy as np
 
-    step = max(1, (1 << 24) // len(fp))
-    near = np.zeros(len(fp), bool)
-    for k in range(0, len(fp), step):
-        near[k : k + step] = (np.bitwise_count(fp[k : k + step, None] ^ fp[None, :]) <= threshold).sum(axis=1) > 1
-    at = np.flatnonzero(near)
-    sub, left, pairs = fp[at], np.ones(len(at), bool), []
-    for root in range(len(at)):
-        if not left[root]:
-            continue
-        left[root], queue = False, [root]
-        while queue:
-            x = queue.pop()
-            rest = np.flatnonzero(left)
-            new = rest[np.bitwise_count(sub[rest] ^ sub[x]) <= threshold]
-            left[new] = False
-            pairs += [(at[root], at[y]) for y in new]
-            queue += new.tolist()
-    return pairs
+    root, shift = np.arange(len(fp)), 0
+    for k in range(threshold + 1):
+        bits = (64 - shift) // (threshold + 1 - k)
+        key = (fp >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        shift += bits
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order[1:]] != key[order[:-1]])[: len(fp)]
+        for i, j in pairs_within(np.cumsum(new) - 1, np.flatnonzero(new)):
+            a, b = order[i], order[j]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            near = np.bitwise_count(fp[a] ^ fp[b]) <= threshold
+            _join(root, a[near], b[near])
+    at = np.flatnonzero(root != np.arange(len(fp)))
+    return list(zip(root[at].tolist(), at.tolist(), strict=True))
 
 
 def links(nodes: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
@@ -178,6 +192,13 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> Dat
 def near_dups(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
     """doc_id, fp (signed long) and component_id for each row of docs."""
     prints = write_table(fingerprints(docs, shingle), "prints")
+    # written, so that the join below deals both sides itself and a hot fingerprint can be split
+    named = settled(lambda: _named(prints, threshold, cell), "named")
+    return prints.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
+
+
+def _named(prints: DataFrame, threshold: int, cell: int) -> DataFrame:
+    """_fp and component_id of each fingerprint."""
     nodes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     # fingerprints of one doc_id are tied to the least of them
     several = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("_most")).where("u < _most").select(F.col("doc_id").alias("_doc"), "u")
@@ -188,10 +209,7 @@ def near_dups(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
     least = joined.join(nodes, F.col("_fp") == F.col("fp")).groupBy("component").agg(F.min("rep").alias("_least"))
     least = write_table(least.withColumnRenamed("component", "_component"), "least")
     member = joined.join(least, F.col("component") == F.col("_component")).select("_fp", "_least")
-    named = nodes.join(member, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("_least", "rep").alias("component_id"))
-    # written, so that the join below deals both sides itself and a hot fingerprint can be split
-    named = write_table(named, "named")
-    return prints.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
+    return nodes.join(member, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("_least", "rep").alias("component_id"))
 
 
 def classes(docs: DataFrame) -> DataFrame:

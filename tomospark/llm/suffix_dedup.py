@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, whole_groups, write_table
+from .common import released, settled, whole_groups, write_table
 
 LENGTH = 200
 STRETCH = 160
@@ -462,7 +462,8 @@ def spans(rows: DataFrame, cell: int = CELL) -> DataFrame:
 def cut(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """doc_id, kept (the remaining bytes), n_bytes, n_removed and n_spans of each row of docs."""
     rows = write_table(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "rows")
-    gone = spans(rows, cell).groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    merged = lambda: spans(rows, cell).groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    gone = settled(merged, "gone")
 
     def remove(batches):
         import pyarrow as pa
