@@ -50,6 +50,20 @@ def test_dicom(spark, tmp_path):
     assert files.read_info(spark, str(tmp_path / "*"), load_origin=False).first().OriginZ == 0.0
 
 
+def test_formats_by_uri(spark, tmp_path):
+    """Paths with a scheme go through pyarrow's file systems."""
+    for name in ("s1", "s2"):
+        (tmp_path / name).mkdir()
+        write_slice(tmp_path / name / "a.dcm", 1, np.zeros((2, 2)))
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "v.raw").write_bytes(np.arange(8, dtype="<i2").tobytes())
+    (tmp_path / "m" / "v.mhd").write_text("DimSize = 2 2 2\nElementType = MET_SHORT\nElementDataFile = v.raw\n")
+    assert {r.scan_id for r in files.load(spark, f"file://{tmp_path}/s*", "dicom").collect()} == {"s1", "s2"}
+    assert files.read_info(spark, f"file://{tmp_path}/s?").count() == 2
+    for path in (f"file://{tmp_path}/m", f"file://{tmp_path}/m/*.mhd", f"file://{tmp_path}/m/v.mhd"):
+        assert files.load(spark, path, "raw").first().images == list(map(float, range(8)))
+
+
 def test_dicom_sequences_of_undefined_length(spark, tmp_path):
     """They are walked through, nested ones too; their elements don't count."""
     folder = tmp_path / "scan1"

@@ -2,11 +2,11 @@
 
 Stored scans are Parquet with zstd, a row per scan; only the columns asked for are read. The file formats are
 Python data sources (pyspark.sql.datasource): one partition per item, and no pixels are read when metadata is asked for.
+Paths may be URIs of other file systems (files.py).
 """
 
 from __future__ import annotations
 
-import glob
 import os
 import re
 import struct
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.geometry import AXES, zyx
+from . import files
 
 TRIPLE = "struct<z:double,y:double,x:double>"
 SCAN = f"scan_id string, shape struct<z:int,y:int,x:int>, spacing {TRIPLE}, origin {TRIPLE}, images array<double>"
@@ -94,8 +95,8 @@ def files_index(spark: SparkSession, path: str | None = None, no_ext: bool = Tru
         listed = [(str(x.getPath()),) for x in found if x.isDirectory()]
         rows = spark.createDataFrame(listed, "path string").select(name.alias("scan_id"), "path")
     else:
-        files = spark.read.format("binaryFile").load(path).select("path")
-        rows = files.select((F.regexp_replace(name, r"\.[^.]*$", "") if no_ext else name).alias("scan_id"), "path")
+        listed = spark.read.format("binaryFile").load(path).select("path")
+        rows = listed.select((F.regexp_replace(name, r"\.[^.]*$", "") if no_ext else name).alias("scan_id"), "path")
     return rows.orderBy("scan_id") if sort else rows
 
 
@@ -109,8 +110,8 @@ class Item(InputPartition):
 
 def _items(options: dict, suffix: str) -> list[Item]:
     path = options["path"]
-    found = glob.glob(os.path.join(path, f"*{suffix}")) if os.path.isdir(path) else glob.glob(path)
-    return [Item(p) for p in sorted(found)]
+    found = files.matched(f"{path.rstrip('/')}/*{suffix}") if files.is_dir(path) else files.matched(path)
+    return [Item(p) for p in found]
 
 
 class _Reader(DataSourceReader):
@@ -137,8 +138,8 @@ def parse_metaimage(path: str, pixels: bool = True) -> dict:
     """A MetaImage header and, if asked for, its raw voxels; header order x, y, z is turned."""
     import numpy as np
 
-    with open(path, encoding="latin-1") as f:
-        head = dict(line.rstrip("\n").split(" = ", 1) for line in f if " = " in line)
+    with files.opened(path) as f:
+        head = dict(line.split(" = ", 1) for line in f.read().decode("latin-1").splitlines() if " = " in line)
     triple = lambda k, default, kind=float: tuple(kind(v) for v in head.get(k, default).split())[::-1]
     shape = triple("DimSize", "0 0 0", int)
     images = None
@@ -146,7 +147,7 @@ def parse_metaimage(path: str, pixels: bool = True) -> dict:
         kind = np.dtype(META_TYPES[head["ElementType"]])
         if head.get("BinaryDataByteOrderMSB", head.get("ElementByteOrderMSB", "False")).strip() == "True":
             kind = kind.newbyteorder(">")
-        with open(os.path.join(os.path.dirname(path), head["ElementDataFile"].strip()), "rb") as f:
+        with files.opened(os.path.join(os.path.dirname(path), head["ElementDataFile"].strip())) as f:
             raw = f.read()
         if head.get("CompressedData", "False").strip() == "True":
             import zlib
@@ -167,8 +168,7 @@ def parse_nifti(path: str, pixels: bool = True) -> dict:
 
     import numpy as np
 
-    opener = gzip.open if path.endswith(".gz") else open
-    with opener(path, "rb") as f:
+    with files.opened(path) as held, gzip.GzipFile(fileobj=held) if path.endswith(".gz") else held as f:
         head = f.read(348)
         end = "<" if struct.unpack("<i", head[:4])[0] == 348 else ">"
         dims = struct.unpack(f"{end}8h", head[40:56])
@@ -252,7 +252,7 @@ def _elements(f, explicit: bool, meta: bool, until: tuple[int, int] | None, foun
 def parse_dicom(path: str, pixels: bool = True) -> dict:
     """The tags above of an uncompressed little-endian DICOM slice, explicit or implicit. Without pixels, reading stops before them."""
     found: dict = {}
-    with open(path, "rb") as f:
+    with files.opened(path) as f:
         if f.read(132)[128:] != b"DICM":
             f.seek(0)
         _elements(f, True, True, None if pixels else PIXELS, found)
@@ -311,17 +311,16 @@ SLICE = "scan_id string, file string, study string, series string, patient strin
 
 def _folders(path: str) -> list[str]:
     """The directories that a glob names, or those within the one directory that it names."""
-    folders = sorted(p for p in glob.glob(path) if os.path.isdir(p))
-    if len(folders) == 1 and any(os.path.isdir(os.path.join(folders[0], x)) for x in os.listdir(folders[0])):
-        folders = sorted(p for x in os.listdir(folders[0]) if os.path.isdir(p := os.path.join(folders[0], x)))
-    return folders
+    folders = [p for p in files.matched(path) if files.is_dir(p)]
+    within = [p for p, is_folder in files.entries(folders[0]) if is_folder] if len(folders) == 1 else []
+    return within or folders
 
 
 class DicomReader(_Reader):
     """One partition per slice; path is a glob of directories (one scan each) or a directory of such."""
 
     def partitions(self):
-        return [Item(os.path.join(folder, x)) for folder in _folders(self.options["path"]) for x in sorted(os.listdir(folder))]
+        return [Item(p) for folder in _folders(self.options["path"]) for p, is_folder in files.entries(folder) if not is_folder]
 
     def read(self, partition):
         row = parse_dicom(partition.path, "pixels" in self.names)
@@ -394,7 +393,7 @@ def parse_dicom_folder(folder: str, pixels: bool = True, legacy_origin: bool = F
     """
     import numpy as np
 
-    slices = [parse_dicom(os.path.join(folder, x), pixels) for x in sorted(os.listdir(folder))]
+    slices = [parse_dicom(p, pixels) for p, is_folder in files.entries(folder) if not is_folder]
     slices.sort(key=lambda s: (-int(s["position"][2]), s["file"]))
     first, images = slices[0], None
     if pixels:
