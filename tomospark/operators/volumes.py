@@ -409,6 +409,8 @@ def permutation(scans: DataFrame, seed: int = 42) -> DataFrame:
     """scan_id and partner_id: a cyclic shift along a hashed order, over rows of ids only."""
     from pyspark.sql import Window
 
-    order = Window.orderBy(F.xxhash64(F.lit(seed), "scan_id"), "scan_id")
+    from .sampling import uniform
+
+    order = Window.orderBy(uniform(seed, "partner", F.col("scan_id")), "scan_id")
     ids = scans.select("scan_id").withColumn("_next", F.lead("scan_id").over(order)).withColumn("_first", F.first("scan_id").over(order))
     return ids.select("scan_id", F.coalesce("_next", "_first").alias("partner_id"))

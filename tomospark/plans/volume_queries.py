@@ -10,8 +10,9 @@ from ..functions.geometry import fit_start, linear, zyx
 from ..functions.kernels import spline_axis, spline_coefficients, weights
 from ..functions.voxels import to_voxels
 from ..operators import losses, masks, sampling, volumes
+from ..sources import scans as files
 from . import flow
-from .surrogates import BOXES, FINDINGS, SCANS, VOXELS, boxes, findings, nodules, q6, r6, scans, table, u_sql
+from .surrogates import BOXES, FINDINGS, SCANS, VOXELS, boxes, findings, nodules, q6, r6, scans, scratch, table, u_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -602,6 +603,64 @@ def flow_chain(spark, d):
     return voxels((chain << scans(spark, d)).run())
 
 
+# scans at rest
+
+
+@query(vox("v"))
+def dump_and_load(spark, d):
+    path = scratch(spark, "scans")
+    files.dump(scans(spark, d), path)
+    return voxels(files.load(spark, path))
+
+
+@query(vox("m"))
+def dump_and_load_masks(spark, d):
+    """Components under other names."""
+    path = scratch(spark, "scans")
+    files.dump(scans(spark, d), path, components=["masks", "spacing"])
+    return voxels(files.load(spark, path, components=["masks"], dst=["images"]))
+
+
+@query(f"WITH {SCANS} SELECT vec_id AS \"ScanID\", {', '.join(f'{q6(f"s{a}")} AS \"Spacing{a.upper()}\", {q6(f"o{a}")} AS \"Origin{a.upper()}\"' for a in 'zyx')} FROM (SELECT *, scan_id AS vec_id FROM scans)")
+def stored_scan_info(spark, d):
+    path = scratch(spark, "scans")
+    files.dump(scans(spark, d), path)
+    info = files.read_info(spark, path, fmt="parquet")
+    return info.select("ScanID", *[r6(F.col(f"{part}{a}")).alias(f"{part}{a}") for a in "ZYX" for part in ("Spacing", "Origin")])
+
+
+@query("SELECT vec_id AS scan_id, label FROM embeddings WHERE label = (SELECT max(label) FROM embeddings)")
+def subset_of_scans(spark, d):
+    rows = scans(spark, d, True)
+    ids = rows.join(F.broadcast(rows.agg(F.max("label").alias("_top"))), F.col("label") == F.col("_top"), "left_semi")
+    return files.subset(rows, ids).select("scan_id", "label")
+
+
+@query(f"WITH o AS (SELECT vec_id AS scan_id, {u_sql("'partner'", 'vec_id')} AS u FROM embeddings) SELECT scan_id, coalesce(lead(scan_id) OVER w, first_value(scan_id) OVER w) AS partner_id FROM o WINDOW w AS (ORDER BY u, scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def mixing_partners(spark, d):
+    return volumes.permutation(scans(spark, d).select("scan_id"))
+
+
+@query("SELECT vec_id AS scan_id, row_number() OVER (ORDER BY CASE WHEN label < 5 THEN 0 ELSE 1 END, vec_id) <= 30 AS first FROM embeddings")
+def merge_batches(spark, d):
+    ids = table(spark, d, "embeddings").select(F.col("vec_id").alias("scan_id"), "label")
+    first, rest = sampling.merge(ids.where("label < 5"), None, ids.where("label >= 5"), batch_size=30, order="scan_id")
+    return first.select("scan_id", F.lit(True).alias("first")).unionByName(rest.select("scan_id", F.lit(False).alias("first")))
+
+
+@query(f"WITH {VOXELS} SELECT scan_id, {q6('sum(v)')} AS features, (sum(m) > 10)::INT::DOUBLE AS label FROM vox GROUP BY 1")
+def training_classes(spark, d):
+    made = flow.training_data(scans(spark, d), "classification")
+    return made.select("scan_id", r6(F.aggregate("features", F.lit(0.0), lambda a, v: a + v)).alias("features"), F.col("label")[0].alias("label"))
+
+
+@query(f"WITH {VOXELS} SELECT scan_id, p, {q6('v')} AS image, m AS mask FROM vox WHERE z = 2")
+def masked_slice(spark, d):
+    cut = volumes.axial_slice(scans(spark, d), 0.5, mask="masks")
+    rows = cut.select("scan_id", F.posexplode(F.arrays_zip("pixels", "mask")).alias("p", "r"))
+    return rows.select("scan_id", (F.col("p") + 32).alias("p"), r6(F.col("r.pixels")).alias("image"), F.col("r.mask").alias("mask"))
+
+
 # losses
 
 
