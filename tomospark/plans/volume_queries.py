@@ -11,7 +11,7 @@ from ..functions.kernels import spline_axis, spline_coefficients, weights
 from ..functions.voxels import to_voxels
 from ..operators import losses, masks, sampling, volumes
 from ..sources import scans as files
-from . import flow
+from . import flow, flows
 from .surrogates import BOXES, FINDINGS, SCANS, VOXELS, boxes, findings, nodules, q6, r6, scans, scratch, table, u_sql
 
 QUERIES: dict = {}
@@ -661,6 +661,62 @@ def masked_slice(spark, d):
     return rows.select("scan_id", (F.col("p") + 32).alias("p"), r6(F.col("r.pixels")).alias("image"), F.col("r.mask").alias("mask"))
 
 
+# canned flows on small scans
+
+SMALL = flows.Settings(spacing=(1.0, 1.0, 1.0), shape=(4, 4, 4), method="linear", padding="edge", crop=(2, 2, 2), variance=(1, 1, 1), rounds=1, random_per_run=6)
+
+
+def _annotation(spark, d):
+    rows = findings(spark, d)
+    return rows.select(F.col("scan_id").alias("seriesuid"), F.col("nodule_id").alias("NoduleID"), *[F.col(f"center.{a}").alias(f"coord{a.upper()}") for a in "zyx"], F.col("size.z").alias("diameter_mm"))
+
+
+UNIFIED = "even AS (SELECT scan_id, " + ", ".join(f"s{a} * 4 / round_even(4 * s{a}, 0) AS t{a}, o{a} + s{a} * 4 / round_even(4 * s{a}, 0) * floor((round_even(4 * s{a}, 0) - 4) / 2) AS p{a}" for a in "zyx") + " FROM scans)"
+
+
+@query(f"""WITH {FINDINGS}, {UNIFIED}, c AS (SELECT {', '.join(f"CASE WHEN v{a} < 1 THEN 0 WHEN v{a} < 2 THEN 1 WHEN v{a} <= 3 THEN 2 END AS \"b{a}\"" for a in 'zyx')}
+  FROM (SELECT {', '.join(f'abs(c{a} - p{a}) / t{a} AS v{a}' for a in 'zyx')} FROM found JOIN even USING (scan_id)))
+SELECT bz, "by", bx, 2 * count(*) AS n FROM c WHERE bz IS NOT NULL AND "by" IS NOT NULL AND bx IS NOT NULL GROUP BY 1, 2, 3""")
+def histogram_flow(spark, d):
+    """Two passes over the same findings."""
+    rows, table_ = scans(spark, d), _annotation(spark, d)
+    once = flows.update_histo(rows, table_, None, (EDGES, EDGES, EDGES), SMALL)
+    return flows.update_histo(rows, table_, once, (EDGES, EDGES, EDGES), SMALL)
+
+
+@query(f"""WITH {FINDINGS}, runs AS (SELECT vec_id AS scan_id, (row_number() OVER (ORDER BY vec_id) - 1) // 8 AS run FROM embeddings),
+n AS (SELECT run, count(nodule_id) AS n FROM runs LEFT JOIN found USING (scan_id) GROUP BY 1)
+SELECT run::INT AS run, least(10, n) AS cancer, 20 - least(10, n) AS others FROM n""")
+def crops_flow(spark, d):
+    """A batch for each run of eight scans, half of it around findings."""
+    made = flows.get_crops(scans(spark, d).drop("masks"), _annotation(spark, d), 20, 0.5, settings=SMALL)
+    starts = made.select("run", F.size(F.split("crop_id", "_")).alias("n"), "crop_id", "scan_id")
+    own = _annotation(spark, d).select(F.concat_ws("_", F.col("seriesuid").cast("string"), sampling.hex_name(8, 42, F.col("NoduleID"))).alias("crop_id"), F.lit(1).alias("own"))
+    held = starts.join(own.distinct(), "crop_id", "left")
+    return held.groupBy("run").agg(F.count("own").alias("cancer"), F.sum(F.when(F.col("own").isNull(), 1).otherwise(0)).alias("others"))
+
+
+@query("SELECT (SELECT count(*) FROM lineitem) AS cancer, 6 * ceil((SELECT count(*) FROM embeddings) / 8)::BIGINT AS others")
+def split_dump_flow(spark, d):
+    """Crops around all findings and random ones, written as two tables and read back."""
+    paths = [scratch(spark, name) for name in ("cancer", "others")]
+    flows.split_dump(scans(spark, d).drop("masks"), _annotation(spark, d), *paths, settings=SMALL)
+    cancer, others = (files.load(spark, path, components=["images", "masks"]).agg(F.count("*").alias("n")) for path in paths)
+    return cancer.select(F.col("n").alias("cancer")).crossJoin(others.select(F.col("n").alias("others")))
+
+
+@query(f"""WITH {VOXELS}, s AS (SELECT scan_id, sum({NORMALIZED}) AS v FROM vox GROUP BY 1),
+u AS (SELECT vec_id AS scan_id, CASE WHEN label < 5 THEN 0 ELSE 1 END AS part, row_number() OVER (PARTITION BY label < 5 ORDER BY vec_id) - 1 AS k FROM embeddings),
+b AS (SELECT *, k // CASE WHEN part = 0 THEN 5 ELSE 3 END AS batch_no FROM u), c AS (SELECT *, count(*) OVER (PARTITION BY part, batch_no) AS n FROM b),
+f AS (SELECT * FROM c WHERE n = CASE WHEN part = 0 THEN 5 ELSE 3 END)
+SELECT scan_id, part, batch_no::INT AS batch_no, {q6('v')} AS v FROM f JOIN s USING (scan_id) WHERE batch_no IN (SELECT batch_no FROM f GROUP BY 1 HAVING count(DISTINCT part) = 2)""")
+def combine_crops_flow(spark, d):
+    rows = scans(spark, d, True)
+    sides = [rows.where(where).drop("label", "raw") for where in ("label < 5", "label >= 5")]
+    made = flows.combine_crops(*sides, batch_sizes=(5, 3), shuffle=None)
+    return made.select("scan_id", "part", "batch_no", r6(F.aggregate("images", F.lit(0.0), lambda a, v: a + v)).alias("v"))
+
+
 # losses
 
 
