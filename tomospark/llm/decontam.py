@@ -347,10 +347,13 @@ def leaking(shared) -> Column:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that leak an item."""
+    """docs without those that leak an item. Rows that a block leaves are written before the next block comes; the last one is lazy."""
     (name,) = fresh(docs, "_leaks")
+    shared = None
     for index in blocks(benchmark, **options):
+        if shared is not None:
+            docs = write_table(docs, "clean")
+            shared.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by BLOCK_WORDS
-        docs = write_table(docs.withColumn(name, leaking(shared)).where(~F.col(name)).drop(name), "clean")
-        shared.destroy()
+        docs = docs.withColumn(name, leaking(shared)).where(~F.col(name)).drop(name)
     return docs
