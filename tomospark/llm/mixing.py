@@ -65,41 +65,53 @@ def draw(doc_id, tag, number, seed: int):
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def twins(rows: DataFrame) -> DataFrame:
-    """_of (a _row) and number (from 1) of the rows that agree with another in doc_id, tag and source.
+KEY = ("doc_id", "tag", "source")
+
+
+def _same(a: str, b: str) -> list:
+    return [F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in KEY]
+
+
+def twins(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """_of (a _row) and number (from 1) of the rows that agree with another in KEY; again: the keys (with underscores) of several rows.
 
     Rows are numbered within the partitions that wrote them (the upper bits of _row) and moved by the counts of the
     partitions before, so a group of any size is dealt to as many tasks as wrote it.
     """
-    key = ["doc_id", "tag", "source"]
-    same = lambda a, b: [F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in key]
-    again = rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in key])
-    again = write_table(again, "again")
-    mine = rows.join(again, same("", "_"), "left_semi").select("_row", F.shiftright("_row", 33).alias("_part"), *key)
-    parts = mine.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
-    by = Window.partitionBy(*key).orderBy("_part")  # one row per writing partition
-    before = write_table(parts.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_part").alias("_p"), (F.sum("_n").over(by) - F.col("_n")).alias("_before")), "before")
-    within = mine.withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "_part").orderBy("_row")))
-    met = within.join(before, [*same("", "_"), F.col("_part") == F.col("_p")])
+    mine = rows.join(again, _same("", "_"), "left_semi").select("_row", F.shiftright("_row", 33).alias("_part"), *KEY)
+    parts = mine.groupBy(*KEY, "_part").agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(*KEY).orderBy("_part")  # one row per writing partition
+    before = write_table(parts.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("_part").alias("_p"), (F.sum("_n").over(by) - F.col("_n")).alias("_before")), "before")
+    within = mine.withColumn("_nth", F.row_number().over(Window.partitionBy(*KEY, "_part").orderBy("_row")))
+    met = within.join(before, [*_same("", "_"), F.col("_part") == F.col("_p")])
     return met.select(F.col("_row").alias("_of"), (F.col("_before") + F.col("_nth")).alias("number"))
 
 
 def copies(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED) -> DataFrame:
     """row (a struct of docs' columns, or those of keep), size, source_size, target and copies, per row of docs.
 
-    Rows are numbered in a written table, so texts are read once.
+    Words are counted once, into a written table of sizes. With keep, which leaves the text out, that table is the result's
+    source too; otherwise docs are, or, if some rows need numbers, a written table of numbered rows.
     """
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id"), F.col("source"),
-        F.coalesce(F.md5("text"), F.lit("")).alias("tag"), word_count(F.col("text")).alias("size"),
-    )
-    rows = write_table(rows, "mix")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row")
+    base = [F.col("doc_id"), F.coalesce(F.md5("text"), F.lit("")).alias("tag"), F.col("source"), word_count(F.col("text")).alias("size")]
+    number = F.monotonically_increasing_id().alias("_row")
+    sized = write_table(docs.select(number, *([] if keep is None else [row]), *base), "sizes")
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap).select(F.col("source").alias("_source"), "source_size", "target")
+    again = sized.groupBy(*KEY).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in KEY])
+    again = write_table(again, "again")
+    alone = again.isEmpty()
+    rows = sized
+    if keep is None:
+        rows = docs.select(number, row, *base)
+        rows = rows if alone else write_table(rows, "mix")
+    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
+    if alone:
+        joined = joined.withColumn("number", F.lit(1))
+    else:
+        joined = joined.join(write_table(twins(rows.select("_row", *KEY), again), "twins"), F.col("_row") == F.col("_of"), "left")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(float(cap)))).otherwise(0.0)
-    numbers = write_table(twins(rows.select("_row", "doc_id", "tag", "source")), "twins")
-    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").join(numbers, F.col("_row") == F.col("_of"), "left")
     extra = (draw(F.col("doc_id"), F.col("tag"), F.coalesce("number", F.lit(1)), seed) < rate - F.floor(rate)).cast("long")
     return joined.select("row", "size", "source_size", "target", (F.floor(rate) + extra).alias("copies"))
 
