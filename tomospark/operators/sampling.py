@@ -255,7 +255,7 @@ def sample_per_run(scans: DataFrame, nodules: DataFrame, size, batch_size: int,
     others = others.withColumn("crop_id", F.concat_ws("_", F.col("scan_id").cast("string"), hex_name(8, seed, F.lit("random"), F.col("id"))))
     cols = ["scan_id", "nodule_id", "start", "crop_id", "run"]
     starts = placed.withColumn("nodule_id", F.col("nodule_id").cast("string")).select(*cols).unionByName(others.withColumn("nodule_id", F.lit(None).cast("string")).select(*cols))
-    return volumes.crops(scans, starts, size, columns).join(starts.select("crop_id", "run"), "crop_id")
+    return volumes.crops(scans, starts, size, columns, ("run",))
 
 
 def sample_starts(scans: DataFrame, nodules: DataFrame, size, batch_size, share, variance=None, histo=None, seed: int = 42) -> DataFrame:
@@ -288,8 +288,7 @@ def sample_rounds(scans: DataFrame, nodules: DataFrame, rounds: int, seed: int =
         part = sample_starts(scans, nodules, size, rest.get("batch_size", 20), rest.get("share", 0.8), rest.get("variance"), rest.get("histo"), seed + k)
         part = part.withColumn("round", F.lit(k)).withColumn("crop_id", F.concat_ws("_", "crop_id", F.lit(str(k))))
         starts = part if starts is None else starts.unionByName(part)
-    made = volumes.crops(scans, starts, size, options.get("columns", ("images",)))
-    return made.join(starts.select("crop_id", "round"), "crop_id")
+    return volumes.crops(scans, starts, size, options.get("columns", ("images",)), ("round",))
 
 
 def sample_xip(scans: DataFrame, depth: int, stride: int, batch_size: int = 20, share: float = 0.5, seed: int = 42, **options) -> DataFrame:

@@ -68,12 +68,12 @@ def to_shape(scans: DataFrame, shape, padding: str = "edge", columns=("images",)
     return gather(scans, *index, _dims(shape), columns, fill if padding == "constant" else None)
 
 
-def crops(scans: DataFrame, starts: DataFrame, size, columns=("images",)) -> DataFrame:
+def crops(scans: DataFrame, starts: DataFrame, size, columns=("images",), keep=()) -> DataFrame:
     """A row per row of starts (scan_id, crop_id, start: struct): boxes of fixed size at integer starts.
 
-    Starts join their scan by scan_id; origin + spacing * start is a crop's origin.
+    Starts join their scan by scan_id; origin + spacing * start is a crop's origin. keep names further columns of starts.
     """
-    joined = scans.join(starts.select("scan_id", "crop_id", "start"), "scan_id")
+    joined = scans.join(starts.select("scan_id", "crop_id", "start", *keep), "scan_id")
     moved = joined.withColumn("origin", each(lambda a: F.col(f"origin.{a}") + F.col(f"spacing.{a}") * F.col(f"start.{a}")))
     index = [_shifted(int(k), F.col(f"start.{a}")) for a, k in zip(AXES, size, strict=True)]
     return gather(moved, *index, _dims(size), columns)

@@ -503,7 +503,7 @@ SELECT nodule_id, (z - b_z)::INT AS z, (y - b_y)::INT AS y, (x - b_x)::INT AS x,
 def all_cancer_crops(spark, d):
     rows = scans(spark, d)
     starts = sampling.sample_starts(rows, findings(spark, d), (2, 2, 2), None, 1.0)
-    made = volumes.crops(rows, starts, (2, 2, 2)).join(starts.select("crop_id", "nodule_id"), "crop_id")
+    made = volumes.crops(rows, starts, (2, 2, 2), keep=("nodule_id",))
     return to_voxels(made, keys=("nodule_id",)).withColumn("v", r6(F.col("v")))
 
 
