@@ -41,7 +41,7 @@ SIMILARITY = 0.8
 MIN_WORDS = 1
 REPEATS = 8
 TABLES = 128
-SAMPLES = 3
+SAMPLES = 2
 #: Steps are sampled from the first STEPS * n of the walk's 3n. A walk leaves n words after 2n steps on average;
 #: from there on all walks emit the same, so samples of such steps would agree for any two windows.
 STEPS = 1.7
