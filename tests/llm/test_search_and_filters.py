@@ -217,6 +217,76 @@ def test_counts_against_exact_sets(spark):
     assert tied.predict("漢字")[0] == "aa"
 
 
+def test_all_labelled_rows_are_learned(spark):
+    """Which n-grams are kept follows from all rows, not from some thousands of them."""
+    import zlib
+
+    rng = random.Random(31)
+    words = set()
+    while len(words) < 3500:
+        words.add("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)))
+    words = sorted(words)
+    often, seldom = words[:1500], words[1500:]
+    texts = often * 4 + seldom * 3
+    rng.shuffle(texts)
+    ids = [k for k in range(20_000) if zlib.crc32(str(k).encode()) % 5][: len(texts)]
+    # 12,000 texts of three 4-grams: 4 are the share of 1e-4, 3 are not
+    model = langid.fit(spark.createDataFrame([(k, text, "aa") for k, text in zip(ids, texts, strict=True)], "doc_id long, text string, lang string"))
+
+    def holds(word):
+        h = next(h for n, h in langid.grams(word) if n == 4)[1:2]
+        return all(model.table[0][langid._slots(h, k, model.bits)][0] & 1 for k in range(langid.HASHES))
+
+    assert all(holds(w) for w in often)
+    assert sum(holds(w) for w in seldom) < 0.1 * len(seldom)  # the filter's false positives
+
+
+def test_counts_are_held_up_to_a_bound(monkeypatch):
+    from collections import Counter
+
+    rng = random.Random(32)
+    texts = [("aa" if k % 2 else "bb", "".join(rng.choices("abc ", k=rng.randint(0, 400)))) for k in range(60)]
+    want = Counter((lang, n, x) for lang, text in texts for n, h in langid.grams(text) for x in h.view(np.int64).tolist())
+    for held in (langid.HELD, 1000, 50):
+        monkeypatch.setattr(langid, "HELD", held)
+        counts, got = langid.Counts(), Counter()
+        batches = [b for lang, text in texts for b in counts.add(lang, text)]
+        for b in [*batches, *counts.taken()]:
+            for r in b.to_pylist():
+                got[r["lang"], r["n"], r["gram"]] += r["times"]
+        assert got == want and bool(batches) == (held == 50)
+
+
+def test_threshold_from_all_held_out_rows(spark):
+    """Over 4,000 held-out rows: the threshold is the quantile of all of them."""
+    rng = random.Random(33)
+    parts = {"aa": ["thion", "ing", "erth", "was"], "bb": ["eaux", "ouè", "ment", "èl"]}
+    rows = []
+    for k in range(26_000):
+        lang = "aa" if k % 2 else "bb"
+        words = ["".join(rng.choices(parts[lang], k=2)) if rng.random() < 0.8 else "".join(rng.choices("jkqvxyz", k=5)) for _ in range(rng.randint(2, 12))]
+        rows.append((k, " ".join(words), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.where("doc_id < 400"))
+    import zlib
+
+    held = [text for k, text, _ in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert len(held) > 5000
+    want = langid.LEEWAY * float(np.quantile([model.predict(t)[2] for t in held], langid.QUANTILE))
+    assert langid.least_evidence(df, model) == want
+    assert langid.least_evidence(df.where("false"), model) == 0
+
+
+def test_quantile(spark, monkeypatch):
+    rng = np.random.default_rng(34)
+    for bins, x in ((3, rng.random(200).tolist()), (3, (rng.integers(0, 5, 200) / 7).tolist()), (4096, [0.0, 5e-324, 1e-300, 1e-300, 0.5, 0.5 + 2**-53, 1.0]), (4096, [0.25])):
+        monkeypatch.setattr(langid, "BINS", bins)
+        df = spark.createDataFrame([(v,) for v in x], "x double")
+        for at in (0.02, 0.5, 1.0):
+            assert langid.quantile(df, at) == float(np.quantile(x, at)), (x, at)
+    assert langid.quantile(df.where("false"), 0.5) is None
+
+
 def test_long_text_in_chunks(monkeypatch):
     text = "Thë Quick, brown fox  " * 40
     whole = {n: [] for n in langid.ORDERS}

@@ -8,7 +8,8 @@ A text's n-grams are looked up, each language's bits are counted, and the counts
 filter's false positives: (hits - n * fp) / (1 - fp), with fp = fill ** HASHES. The largest count decides;
 the score is its share of the sum of counts, and evidence is its share of the text's n-grams.
 
-The training sample is bounded: about SAMPLE documents per language, chosen by a hash of doc_id.
+Every labelled row that isn't held out is learned from, and keep_known's threshold is a quantile of every
+labelled row that is: neither is sampled.
 
 Defined cases: null text, or text without a letter, is "und" with score 0, as is everything when there
 is no labelled row; a text that hits no filter gets the language with most training documents and
@@ -24,17 +25,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, release, released
+from .common import drop_table, fresh, release, released, write_table
 
 ORDERS = (2, 3, 4)
 SHARE = 1e-4
-SAMPLE = 4_000
 HASHES = 3
 SLOTS_PER_GRAM = 8
-#: A text is rejected below this evidence, or below LEEWAY of the QUANTILE of about CALIBRATION labelled texts' evidence.
+#: A text is rejected below this evidence, or below LEEWAY of the QUANTILE of the held-out labelled texts' evidence.
 EVIDENCE = 0.1
-LEEWAY, QUANTILE, CALIBRATION = 0.5, 0.02, 4_000
+LEEWAY, QUANTILE = 0.5, 0.02
 CHUNK = 1 << 19
+#: A task that counts n-grams holds at most about this many hashes, and as many counted ones.
+HELD = 1 << 20
+#: Ranges that a round of quantile() counts.
+BINS = 4_096
 
 _fold = None
 
@@ -130,8 +134,51 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Model:
-    """Learn from the rows that are not held out; one row per language and the kept n-grams come to the driver."""
+class Counts:
+    """The n-grams of a task's texts, counted by language and order."""
+
+    def __init__(self):
+        self.new: dict = {}  # hashes not counted yet
+        self.old: dict = {}  # ascending hashes and their counts
+        self.n_new = 0
+
+    def add(self, lang: str, text: str):
+        """Count a text; taken(), if too many would be held."""
+        for n, h in grams(text):
+            self.new.setdefault((lang, n), []).append(h)
+            self.n_new += len(h)
+            if self.n_new >= HELD:
+                self.merge()
+                if sum(len(h) for h, _ in self.old.values()) >= HELD:
+                    yield from self.taken()
+
+    def merge(self) -> None:
+        import numpy as np
+
+        for key, parts in self.new.items():
+            h, times = np.unique(np.concatenate(parts), return_counts=True)
+            if key in self.old:
+                before, n_before = self.old[key]
+                both, at = np.unique(np.concatenate([before, h]), return_inverse=True)
+                sums = np.zeros(len(both), np.int64)
+                np.add.at(sums, at, np.concatenate([n_before, times]))
+                h, times = both, sums
+            self.old[key] = h, times
+        self.new, self.n_new = {}, 0
+
+    def taken(self):
+        """The counts as Arrow batches; they are forgotten."""
+        import numpy as np
+        import pyarrow as pa
+
+        self.merge()
+        for (lang, n), (h, times) in self.old.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(times)], ["lang", "n", "gram", "times"])
+        self.old = {}
+
+
+def fit(docs: DataFrame, share: float = SHARE) -> Model:
+    """Learn from all rows that are not held out; one row per language and the kept n-grams come to the driver."""
     import numpy as np
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
@@ -139,23 +186,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Model:
     langs = sorted(n_docs)
     if not langs:
         return Model([], 0, 1, np.zeros((1, 2), np.uint8), np.zeros(0))
-    part = F.coalesce(*[F.when(F.col("lang") == x, F.lit(sample / n)) for x, n in n_docs.items()])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def count(batches):
-        import pyarrow as pa
-
+        counts = Counts()
         for batch in batches:
-            seen: dict = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n, h in grams(text):
-                    seen.setdefault((lang, n), []).append(h)
-            for (lang, n), parts in seen.items():
-                keys, times = np.unique(np.concatenate(parts), return_counts=True)
-                size = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array([n] * size, pa.int32()), pa.array(keys.view(np.int64)), pa.array(times)], ["lang", "n", "gram", "times"])
-
-    counted = rows.where(draw < part).select("lang", "text").mapInArrow(released(count), "lang string, n int, gram long, times long")
+                yield from counts.add(lang, text)
+        yield from counts.taken()
+
+    counted = rows.select("lang", "text").mapInArrow(released(count), "lang string, n int, gram long, times long")
     counted = counted.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     totals = counted.groupBy("lang", "n").agg(F.sum("times").alias("total"))
     # totals: one row per language and order
@@ -194,16 +233,42 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
 
 
-def least_evidence(docs: DataFrame, model: Model) -> float:
-    """The evidence below which a text is of none of the learned languages, from labelled texts that weren't learned from."""
+def quantile(numbers: DataFrame, at: float) -> float | None:
+    """As np.quantile of the one column of finite numbers, exactly; None if there are none.
+
+    Each round counts the rows of BINS ranges between the two neighbours' bounds; a row per range comes to the driver.
+    """
     import numpy as np
 
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out(F.col("doc_id"))).select("doc_id", "text")
-    part = min(1.0, CALIBRATION / max(1, rows.count()))
-    draw = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # about CALIBRATION numbers
-    found = rows.where(draw < part).select(predicted(rows, model).alias("found")).where("found.lang <> 'und'").select("found.evidence").collect()
-    return LEEWAY * float(np.quantile([r[0] for r in found], QUANTILE)) if found else 0.0
+    x = F.col(numbers.columns[0])
+    stats = [F.min(x), F.max(x), F.count(x)]
+    low, high, n = numbers.agg(*stats).first()
+    if not n:
+        return None
+    first = int(at * (n - 1))
+    second, rest = min(first + 1, n - 1), at * (n - 1) - first
+    while low < high:
+        # rises with x, whatever is rounded; low and high fall apart
+        place = F.floor((x - low) / (high - low) * BINS)
+        ranges = numbers.where(x.between(low, high)).groupBy(place.alias("place")).agg(*stats).orderBy("place").collect()
+        ends = np.cumsum([r[3] for r in ranges])
+        one, two = (int(np.searchsorted(ends, k, side="right")) for k in (first, second))
+        if one != two:
+            return float(np.quantile([ranges[one][2], ranges[two][1]], rest))
+        before = int(ends[one]) - ranges[one][3]
+        low, high, first, second = ranges[one][1], ranges[one][2], first - before, second - before
+    return low
+
+
+def least_evidence(docs: DataFrame, model: Model) -> float:
+    """The evidence below which a text is of none of the learned languages, from all labelled texts that weren't learned from."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out(F.col("doc_id"))).select("text")
+    found = rows.select(predicted(rows, model).alias("found")).where("found.lang <> 'und'").select("found.evidence")
+    # one number per row
+    numbers = write_table(found, "evidence")
+    least = quantile(numbers, QUANTILE)
+    drop_table(numbers)
+    return LEEWAY * least if least is not None else 0.0
 
 
 def keep_known(docs: DataFrame, evidence: float = EVIDENCE) -> DataFrame:
