@@ -410,3 +410,16 @@ def test_plans_stay_native(spark):
     assert "NestedLoop" not in text and "Python" not in text and "Arrow" not in text
     text = plan(volumes.normalize_hu(volumes.flip(surrogates.scans(spark, folder))))
     assert "Exchange" not in text and "Python" not in text
+
+
+@pytest.mark.parametrize("mode", ["rectangle", "ellipse", "fetch"])
+def test_equal_boxes_meet_before_they_are_collected(spark, scans, monkeypatch, mode):
+    """A kernel gets each box of a scan once, however many findings share it."""
+    triple = "struct<z:double,y:double,x:double>"
+    rows = [("s0", f"n{k}", (1.0 + k % 2, 2.0, 3.0), (2.0, 2.0, 2.0)) for k in range(1000)] + [("s0", "far", (90.0, 2.0, 3.0), (2.0, 2.0, 2.0))]
+    many = spark.createDataFrame(rows, f"scan_id string, nodule_id string, center {triple}, size {triple}")
+    make = lambda found: masks.fetch_mask(scans, found, (8, 8, 8)) if mode == "fetch" else masks.create_mask(scans, found, mode)
+    want = {k: v.tolist() for k, v in arrays(make(many.where("nodule_id IN ('n0', 'n1')")), "masks").items()}
+    assert {k: v.tolist() for k, v in arrays(make(many), "masks").items()} == want
+    monkeypatch.setattr(masks.kernels, "per_row", lambda kernel: lambda image, shape, held: F.length(F.to_json(held)))
+    assert make(many).where("scan_id = 's0'").first().masks < 100
