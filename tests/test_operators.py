@@ -423,3 +423,32 @@ def test_equal_boxes_meet_before_they_are_collected(spark, scans, monkeypatch, m
     assert {k: v.tolist() for k, v in arrays(make(many), "masks").items()} == want
     monkeypatch.setattr(masks.kernels, "per_row", lambda kernel: lambda image, shape, held: F.length(F.to_json(held)))
     assert make(many).where("scan_id = 's0'").first().masks < 100
+
+
+def plan(df) -> str:
+    return df.select("*")._jdf.queryExecution().executedPlan().toString()  # not the one that has run
+
+
+def test_masks_of_doctors_in_one_pass(spark):
+    """Sizes equal the count of different voxels, unknown doctors, scans and places included; no voxel or scan is shuffled twice."""
+    rng = np.random.default_rng(5)
+    rows = [(int(s) if s else None, int(d) if d < 6 else None, *map(float, rng.integers(0, 60, 3)), float(g) if g else None)
+            for s, d, g in zip(rng.integers(0, 40, 400), rng.integers(0, 7, 400), rng.integers(0, 30, 400), strict=True)]
+    found = spark.createDataFrame(rows, "seriesuid long, DoctorID int, coordX double, coordY double, coordZ double, diameter_mm double")
+    want = confidence.ball_voxels(found, 0.1).groupBy("seriesuid", "DoctorID").count()
+    made = confidence.mask_sizes(found, 0.1)
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert plan(made).count("Exchange hashpartitioning") == 1 and "Generate" not in plan(made)
+    last = confidence.doctor_confidences(found, 3, factor=0.1)
+    assert plan(last).count("MapInArrow") == 1 and "collect_set" not in plan(last)
+    assert {r.DoctorID: r.confidence for r in last.where("iteration = 3").collect()}[None] == 0.5
+    assert "flatten" not in plan(confidence.consilium_scores(found, 0.1))
+
+
+def test_pivot_in_bits(spark):
+    """A column for each of many doctors; unknown and unlisted ones give none."""
+    rows = [("a", 0), ("a", 62), ("a", 63), ("a", 0), ("b", 99), ("b", None), ("c", None), (None, 64)]
+    pairs = spark.createDataFrame(rows, "seriesuid string, DoctorID long")
+    wide = annotations.annotators_pivot(pairs, range(70))
+    assert {r.seriesuid: [k for k in range(70) if r[f"doctor_{k:03d}"]] for r in wide.collect()} == {"a": [0, 62, 63], "b": [], "c": [], None: [64]}
+    assert plan(wide).count("Exchange hashpartitioning") == 1 and "pivotfirst" not in plan(wide)

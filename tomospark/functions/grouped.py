@@ -2,6 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
+#: Bytes of the files read (packed, all columns) for each task of dealt().
+BYTES = 8_000_000
+
+
+def dealt(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """df dealt by keys over as many tasks as the size of the tables that it reads asks for, so that a task's share doesn't grow with them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()) if leaves.apply(k).getClass().getSimpleName() != "LogicalRDD")
+    spark = df.sparkSession
+    tasks = max(least, min(size // BYTES + 1, 20_000), min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(tasks, *keys)
+
 
 def whole_groups(batches, key: str, least: int = 20_000):
     """Tables of whole groups of batches that are sorted by key, of least rows or more each."""
@@ -25,15 +39,19 @@ def whole_groups(batches, key: str, least: int = 20_000):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def numbered(column):
-    """Numbers from 0 of the groups of a sorted Arrow column, and the row where each begins."""
+def numbered(column, nulls_meet: bool = False):
+    """Numbers from 0 of the groups of a sorted Arrow column, and the row where each begins. Nulls are groups of one row, or of all if nulls_meet."""
     import numpy as np
     import pyarrow.compute as pc
 
     values = column.combine_chunks() if hasattr(column, "combine_chunks") else column
     if not len(values):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.append(True, pc.fill_null(pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)), True).to_numpy(zero_copy_only=False))
+    after, before = values.slice(1), values.slice(0, len(values) - 1)
+    new = pc.fill_null(pc.not_equal(after, before), True)
+    if nulls_meet and values.null_count:
+        new = pc.and_not(new, pc.and_(pc.is_null(after), pc.is_null(before)))
+    new = np.append(True, new.to_numpy(zero_copy_only=False))
     return np.cumsum(new) - 1, np.flatnonzero(new)
 
 

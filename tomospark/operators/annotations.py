@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.grouped import dealt
+
 #: The type codes' ordered rules (look-alike Latin and Cyrillic letters) and the header phrase of annotation files.
 TYPE_RULES = (
     ("каверна", "c"),
@@ -64,10 +66,21 @@ def annotators(annotation: DataFrame) -> DataFrame:
 
 
 def annotators_pivot(pairs: DataFrame, doctors, prefix: str = "doctor_") -> DataFrame:
-    """A row per scan with a 0/1 column per doctor."""
-    wide = pairs.select("seriesuid", "DoctorID").groupBy("seriesuid").pivot("DoctorID", list(doctors)).agg(F.lit(1))
+    """A row per scan with a 0/1 column per doctor.
+
+    Rows are dealt by scan once, over as many tasks as the tables' size asks for; a scan's doctors are bits of one number for each 63.
+    """
+    doctors = list(doctors)
+    kind = pairs.schema["DoctorID"].dataType
+    rows = dealt(pairs.select("seriesuid", "DoctorID"), "seriesuid")
+    bits = []
+    for low in range(0, len(doctors), 63):
+        # 0 for doctors of other numbers and for null
+        place = F.coalesce(F.array_position(F.array(*[F.lit(x).cast(kind) for x in doctors[low : low + 63]]), F.col("DoctorID")), F.lit(0))
+        bits.append(F.bit_or(F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (place - 1).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"_{low // 63}"))
+    wide = rows.groupBy("seriesuid").agg(*bits) if bits else rows.select("seriesuid").distinct()
     name = lambda d: f"{prefix}{int(d):03d}" if str(d).isdigit() else f"{prefix}{d}"
-    return wide.select("seriesuid", *[F.coalesce(F.col(f"`{d}`"), F.lit(0)).alias(name(d)) for d in doctors])
+    return wide.select("seriesuid", *[F.getbit(f"_{k // 63}", F.lit(k % 63)).cast("int").alias(name(d)) for k, d in enumerate(doctors)])
 
 
 def with_annotators(nodules: DataFrame, pairs: DataFrame) -> DataFrame:
