@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import squared_distance
-from ..functions.grouped import numbered, whole_groups
+from ..functions.grouped import dealt, numbered, whole_groups
 
 
 def finding_confidence(nodules: DataFrame, r: float = 20.0, alpha: float | None = None, weight_by_doctor: bool = True) -> DataFrame:
@@ -82,8 +82,33 @@ def ball_voxels(nodules: DataFrame, factor: float = 0.3) -> DataFrame:
     return whole.select("seriesuid", "DoctorID", F.col("vX").alias("x"), F.col("vY").alias("y"), F.col("vZ").alias("z")).distinct()
 
 
-#: Voxels of balls that a task holds at once, unless one finding has more.
+#: Voxels of balls that a task holds at once, unless one scan has more.
 VOXELS = 2_000_000
+#: Rows of consiliums or pairs in a batch that leaves a task, unless one scan has more.
+ROWS = 200_000
+
+
+def _fitted(of, begin, at, d):
+    """Whole centres, radii and grid sizes of findings, scaled and shifted per scan (_placed in numpy); unknown ones get radius 0."""
+    import numpy as np
+
+    largest = np.fmax.reduceat(d, begin)[of]
+    known = np.isfinite(d)
+    place, size = np.zeros(at.shape, np.int64), np.zeros(at.shape, np.int64)
+    for k in range(at.shape[1]):
+        x = at[:, k] - (np.fmin.reduceat(at[:, k], begin)[of] - largest)
+        n = np.ceil(np.fmax.reduceat(x + d + 10, begin))[of]
+        known &= np.isfinite(x) & np.isfinite(n)
+        place[:, k], size[:, k] = np.where(np.isfinite(x), x, 0), np.where(np.isfinite(n), n, 0)
+    return place, np.where(known & (d > 0), d, 0).astype(np.int64), size
+
+
+def _ball(r: int):
+    """Voxels strictly inside a ball around 0."""
+    import numpy as np
+
+    grid = np.mgrid[-r : r + 1, -r : r + 1, -r : r + 1].reshape(3, -1).T
+    return grid[(grid * grid).sum(axis=1) < r * r]
 
 
 def _voxel_codes(at, radius, size):
@@ -92,92 +117,199 @@ def _voxel_codes(at, radius, size):
 
     owners, codes = [], []
     for r in np.unique(radius[radius > 0]):
-        grid = np.mgrid[-r : r + 1, -r : r + 1, -r : r + 1].reshape(3, -1).T
-        ball = grid[(grid * grid).sum(axis=1) < r * r]
-        rows = np.flatnonzero(radius == r)
-        cells = at[rows][:, None, :] + ball[None]
-        inside = ((cells >= 0) & (cells < size[rows][:, None, :])).all(axis=2)
-        ny, nz = size[rows][:, 1:2], size[rows][:, 2:3]
-        owners.append(np.broadcast_to(rows[:, None], inside.shape)[inside])
-        codes.append(((cells[..., 0] * ny + cells[..., 1]) * nz + cells[..., 2])[inside])
+        ball, rows = _ball(int(r)), np.flatnonzero(radius == r)
+        ny, nz = size[rows, 1:2], size[rows, 2:3]
+        code = ((at[rows, 0:1] + ball[:, 0]) * ny + at[rows, 1:2] + ball[:, 1]) * nz + at[rows, 2:3] + ball[:, 2]
+        owner = np.broadcast_to(rows[:, None], code.shape)
+        if ((at[rows] >= r) & (at[rows] + r < size[rows])).all():
+            owners.append(owner.ravel())
+            codes.append(code.ravel())
+            continue
+        inside = np.ones(code.shape, bool)
+        for k in range(3):
+            cell = at[rows, k : k + 1] + ball[:, k]
+            inside &= (cell >= 0) & (cell < size[rows, k : k + 1])
+        owners.append(owner[inside])
+        codes.append(code[inside])
     return (np.concatenate(owners), np.concatenate(codes)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _common(scan, doctor, n_doctors, at, radius, size):
-    """Voxels that doctors of a scan have in common, as counts (scan, doctor, doctor), the diagonal being their masks' sizes."""
+def _sorted_voxels(scan, doctor, n_doctors: int, own, code, volume):
+    """Different (scan, code, doctor) of voxels in order; one number each where they fit 62 bits."""
+    import numpy as np
+
+    s, d = scan[own], doctor[own]
+    if float(volume.astype(float).sum()) * n_doctors < 2**62:
+        base = np.cumsum(volume) - volume
+        key = np.sort((base[s] + code) * n_doctors + d)
+        key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
+        cell, d = np.divmod(key, n_doctors)
+        return np.searchsorted(base, cell, "right") - 1, cell, d
+    order = np.lexsort((d, code, s))
+    s, code, d = s[order], code[order], d[order]
+    new = np.append(True, (s[1:] != s[:-1]) | (code[1:] != code[:-1]) | (d[1:] != d[:-1]))[: len(s)]
+    return s[new], code[new], d[new]
+
+
+def _common(scan, doctor, number, at, radius, size, pairs: bool = True):
+    """Voxels that doctors of a scan have in common: for each scan its doctors' square, row by row, one after the other; the
+    diagonal holds their masks' sizes. Without pairs, the sizes alone."""
     import numpy as np
 
-    out = np.zeros((int(scan.max()) + 1 if len(scan) else 0, n_doctors, n_doctors), np.int64)
-    volume = (2 * np.maximum(radius, 0) + 1) ** 3
-    step, begin = np.cumsum(volume), 0
+    width = number if pairs else np.ones(len(number), np.int64)
+    first = np.cumsum(number * width) - number * width
+    out = np.zeros(int((number * width).sum()), np.int64)
+    voxels = np.zeros(len(radius), np.int64)
+    for r in np.unique(radius[radius > 0]):
+        voxels[radius == r] = len(_ball(int(r)))
+    step, begin = np.cumsum(voxels), 0
+    grid = size.prod(axis=1)
     while begin < len(scan):
         end = max(begin + 1, int(np.searchsorted(step, (step[begin - 1] if begin else 0) + VOXELS, "right")))
-        while end < len(scan) and scan[end] == scan[end - 1]:  # a scan's masks meet
-            end += 1
+        if end < len(scan):  # a scan's masks meet
+            end = max(end, int(np.searchsorted(scan, scan[end - 1], "right")))
         own, code = _voxel_codes(at[begin:end], radius[begin:end], size[begin:end])
-        s, d = scan[begin:end][own], doctor[begin:end][own]
-        order = np.lexsort((d, code, s))
-        s, code, d = s[order], code[order], d[order]
-        new = np.append(True, (s[1:] != s[:-1]) | (code[1:] != code[:-1]) | (d[1:] != d[:-1]))[: len(s)]
-        s, code, d = s[new], code[new], d[new]
-        np.add.at(out, (s, d, d), 1)
-        for k in range(1, n_doctors):  # voxels of k + 1 doctors or more
-            same = (s[k:] == s[:-k]) & (code[k:] == code[:-k]) if len(s) > k else np.zeros(0, bool)
-            if not same.any():
+        low = scan[begin]
+        volume = np.zeros(scan[end - 1] - low + 1, np.int64)
+        volume[scan[begin:end] - low] = grid[begin:end]
+        s, code, d = _sorted_voxels(scan[begin:end] - low, doctor[begin:end], int(number.max()), own, code, volume)
+        s = s + low
+        add = lambda w: np.add(out, np.bincount(w, minlength=len(out)), out=out) if len(out) < 4 * len(w) else np.add.at(out, w, 1)
+        add(first[s] + d * width[s] + (d if pairs else 0))
+        for k in range(1, int(number.max()) if pairs else 0):  # voxels of k + 1 doctors or more
+            same = np.flatnonzero((s[k:] == s[:-k]) & (code[k:] == code[:-k])) if len(s) > k else np.zeros(0, np.int64)
+            if not len(same):
                 break
-            i, j = d[:-k][same], d[k:][same]
-            np.add.at(out, (s[:-k][same], i, j), 1)
-            np.add.at(out, (s[:-k][same], j, i), 1)
+            i, j, of = d[same], d[same + k], s[same]
+            add(np.append(first[of] + i * width[of] + j, first[of] + j * width[of] + i))
         begin = end
     return out
 
 
+def _scan_tables(batches, sizes: bool = False):
+    """Of tables of whole scans: the scans (Arrow), the number of doctors and of rows without a doctor of each, the doctors (Arrow,
+    sorted, a scan's after another's) and _common's counts; with sizes, those alone, and rows without a doctor are one doctor's."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for table in whole_groups(batches, "seriesuid"):
+        held = table.column("DoctorID").combine_chunks()
+        of, begin = numbered(table.column("seriesuid"), nulls_meet=True)
+        value = lambda c: table.column(c).fill_null(float("nan")).to_numpy()  # noqa: E731, B023
+        at, radius, size = _fitted(of, begin, np.stack([value(c) for c in "XYZ"], axis=1), value("d"))
+        known = held.is_valid().to_numpy(zero_copy_only=False)
+        unknown = np.bincount(of[~known], minlength=len(begin))
+        encoded = held.dictionary_encode()
+        names = pa.concat_arrays([encoded.dictionary, pa.nulls(1, held.type)])  # the last one for rows without a doctor
+        order = np.append(pc.sort_indices(encoded.dictionary).to_numpy(), len(names) - 1).astype(np.int64)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        who = rank[encoded.indices.fill_null(len(names) - 1).to_numpy()]
+        keep = np.ones(len(of), bool) if sizes else known
+        of, who = of[keep], who[keep]
+        # a scan's own doctors, numbered from 0
+        key, node = np.unique(of * len(order) + who, return_inverse=True)
+        doc_of, doc = np.divmod(key, len(order))
+        number = np.bincount(doc_of, minlength=len(begin))
+        counts = _common(of, node - (np.cumsum(number) - number)[of], number, at[keep], radius[keep], size[keep], not sizes)
+        yield table.column("seriesuid").combine_chunks().take(pa.array(begin)), number, unknown, names.take(pa.array(order[doc])), counts
+
+
+def _per_scan(nodules: DataFrame, factor: float, make, more: str, sizes: bool = False) -> DataFrame:
+    """make(scans, number, unknown, doctors, counts) over _scan_tables: it yields lists of columns of the schema more, in which @ and # stand for
+    the types of DoctorID and seriesuid.
+
+    Findings are dealt by scan once, over as many tasks as the tables' size asks for; balls are painted where they meet,
+    and no voxel leaves its task.
+    """
+    import re
+
+    doctor, scan = (nodules.schema[c].dataType.simpleString() for c in ("DoctorID", "seriesuid"))
+    schema = more.replace("@", doctor).replace("#", scan)
+    names = [re.split(r"\s+", part.strip())[0] for part in schema.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for held in _scan_tables(batches, sizes):
+            for columns in make(*held):
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    scaled = nodules.select("seriesuid", "DoctorID", (F.col("diameter_mm").cast("double") * factor).alias("d"), *[(F.col(f"coord{a}").cast("double") * factor).alias(a) for a in "XYZ"])
+    return dealt(scaled if sizes else scaled.where("seriesuid IS NOT NULL"), "seriesuid").sortWithinPartitions("seriesuid").mapInArrow(run, schema)
+
+
 def scan_masks(nodules: DataFrame, factor: float = 0.3) -> DataFrame:
     """A row per scan: seriesuid, doctors (sorted) and common, the voxels that each two of
-    their masks share (row by row; the diagonal holds the sizes).
+    their masks share (row by row; the diagonal holds the sizes)."""
 
-    Findings are dealt by scan once; balls are painted where they meet, and no voxel leaves its task.
-    """
-    doctor = nodules.schema["DoctorID"].dataType.simpleString()
-    scan = nodules.schema["seriesuid"].dataType.simpleString()
+    def make(scans, number, unknown, doctors, counts):
+        import numpy as np
+        import pyarrow as pa
 
-    def run(batches):
+        ends = lambda n: pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+        rows = pa.table({"s": scans, "d": pa.ListArray.from_arrays(ends(number), doctors), "c": pa.ListArray.from_arrays(ends(number * number), pa.array(counts))}).filter(pa.array(number > 0))
+        yield [c.combine_chunks() for c in rows.columns]
+
+    return _per_scan(nodules, factor, make, "seriesuid #, doctors array<@>, common array<bigint>")
+
+
+def mask_sizes(nodules: DataFrame, factor: float = 0.3) -> DataFrame:
+    """seriesuid, DoctorID and voxels, the number of different voxels of a doctor's findings; doctors without any are left out."""
+
+    def make(scans, number, unknown, doctors, counts):
         import numpy as np
         import pyarrow as pa
 
-        for table in whole_groups(batches, "seriesuid"):
-            of, begin = numbered(table.column("seriesuid"))
-            held = table.column("DoctorID").combine_chunks().dictionary_encode()
-            names = np.array(held.dictionary.to_pylist(), dtype=object)
-            rank = np.empty(len(names), np.int64)
-            rank[sorted(range(len(names)), key=lambda k: names[k])] = np.arange(len(names))
-            who = rank[held.indices.to_numpy()]
-            # a scan's own doctors, numbered from 0
-            key = np.unique(np.stack([of, who], axis=1), axis=0)
-            first = np.searchsorted(key[:, 0], np.arange(len(begin)))
-            number = np.diff(np.append(first, len(key)))
-            mine = np.searchsorted(key[:, 0] * len(names) + key[:, 1], of * len(names) + who) - first[of]
-            whole = lambda *c: np.stack([table.column(x).fill_null(0).to_numpy() for x in c], axis=1).astype(np.int64)
-            known = np.ones(table.num_rows, bool)
-            for c in "XYZ":
-                known &= table.column(c).is_valid().to_numpy()
-            radius = np.where(known, table.column("r").fill_null(0).to_numpy(), 0).astype(np.int64)
-            counts = _common(of, mine, int(number.max()), whole("X", "Y", "Z"), radius, whole("nX", "nY", "nZ"))
-            by_rank = names[np.argsort(rank)]
-            doctors = [by_rank[key[a : a + n, 1]].tolist() for a, n in zip(first, number, strict=True)]
-            common = [counts[k, :n, :n].ravel() for k, n in enumerate(number)]
-            yield pa.RecordBatch.from_arrays([table.column("seriesuid").take(pa.array(begin)).combine_chunks(), pa.array(doctors, pa.list_(table.schema.field("DoctorID").type)), pa.array(common, pa.list_(pa.int64()))], ["seriesuid", "doctors", "common"])
-
-    dealt = _placed(nodules, factor).where("seriesuid IS NOT NULL AND DoctorID IS NOT NULL").sortWithinPartitions("seriesuid")
-    return dealt.mapInArrow(run, f"seriesuid {scan}, doctors array<{doctor}>, common array<bigint>")
+        on = pa.array(np.flatnonzero(counts))
+        yield [scans.take(pa.array(np.repeat(np.arange(len(number)), number))).take(on), doctors.take(on), pa.array(counts).take(on)]
+
+    return _per_scan(nodules, factor, make, "seriesuid #, DoctorID @, voxels bigint", sizes=True)
+
+
+def _blocks(number, least: int, per_scan):
+    """(doctors of a scan, scans of that many) in blocks of about ROWS rows, for scans of least doctors or more."""
+    import numpy as np
+
+    for n in np.unique(number[number >= least]):
+        rows = np.flatnonzero(number == n)
+        step = max(1, ROWS // max(1, per_scan(int(n))))
+        for k in range(0, len(rows), step):
+            yield int(n), rows[k : k + step]
 
 
 def dice(common: Column, total: Column) -> Column:
     return (2 * common + 1e-6) / (total + 1e-6)
 
 
-def _numbers(n: Column) -> Column:
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+def _consiliums(nodules: DataFrame, factor: float) -> DataFrame:
+    """seriesuid, DoctorID, doc_i, doc_j, score and first: 1 for one row of each scan and pair of its doctors, else 0.
+
+    A scan of three doctors or more that also has rows without a doctor gives one row of nulls for them.
+    """
+
+    def make(scans, number, unknown, doctors, counts):
+        import numpy as np
+        import pyarrow as pa
+
+        first, square = np.cumsum(number) - number, np.cumsum(number * number) - number * number
+        for n, rows in _blocks(number, 3, lambda n: n * (n - 1) * (n - 2) // 2):
+            i, j = np.triu_indices(n, 1)
+            a = np.repeat(np.arange(n), len(i))
+            i, j = np.tile(i, n), np.tile(j, n)
+            on = (a != i) & (a != j)
+            a, i, j = a[on], i[on], j[on]
+            least = (a == np.where(i > 0, 0, np.where(j > 1, 1, 2))).astype(np.int64)
+            c = lambda x, y: counts[square[rows][:, None] + x * n + y].astype(float)  # noqa: E731, B023
+            score = (2 * ((c(a, i) + c(a, j)) / 2) + 1e-6) / (c(a, a) + (c(i, i) + c(j, j)) / 2 + 1e-6)
+            who = lambda x: doctors.take(pa.array((first[rows][:, None] + x).ravel()))  # noqa: E731, B023
+            yield [scans.take(pa.array(np.repeat(rows, len(a)))), who(a), who(i), who(j), pa.array(score.ravel()), pa.array(np.tile(least, len(rows)))]
+        lone = np.flatnonzero((number >= 3) & (unknown > 0))
+        if len(lone):
+            yield [scans.take(pa.array(lone)), *[pa.nulls(len(lone), doctors.type)] * 3, pa.nulls(len(lone), pa.float64()), pa.array(np.zeros(len(lone), np.int64))]
+
+    return _per_scan(nodules, factor, make, "seriesuid #, DoctorID @, doc_i @, doc_j @, score double, first bigint")
 
 
 def consilium_scores(nodules: DataFrame, factor: float = 0.3) -> DataFrame:
@@ -185,23 +317,26 @@ def consilium_scores(nodules: DataFrame, factor: float = 0.3) -> DataFrame:
 
     Only sizes and pairwise intersections of masks are needed: sum(a * (b + c) / 2) = (|ab| + |ac|) / 2.
     """
-    n = F.size("doctors")
-    at = lambda i, j: F.get("common", i * n + j).cast("double")
-    score = lambda a, i, j: dice((at(a, i) + at(a, j)) / 2, at(a, a) + (at(i, i) + at(j, j)) / 2)
-    one = lambda a, i, j: F.struct(F.get("doctors", a).alias("DoctorID"), F.get("doctors", i).alias("doc_i"), F.get("doctors", j).alias("doc_j"), score(a, i, j).alias("score"))
-    others = lambda a: F.filter(_numbers(n), lambda k: k != a)
-    later = lambda a, i: F.filter(others(a), lambda k: k > i)
-    every = F.flatten(F.transform(_numbers(n), lambda a: F.flatten(F.transform(others(a), lambda i: F.transform(later(a, i), lambda j: one(a, i, j))))))
-    return scan_masks(nodules, factor).select("seriesuid", F.inline(every))
+    return _consiliums(nodules, factor).where("DoctorID IS NOT NULL").drop("first")
 
 
 def pair_table(nodules: DataFrame, factor: float = 0.3) -> DataFrame:
     """doc_i, doc_j, mean dice of their masks over common scans, and the number of these."""
-    n = F.size("doctors")
-    at = lambda i, j: F.get("common", i * n + j).cast("double")
-    one = lambda i, j: F.struct(F.get("doctors", i).alias("doc_i"), F.get("doctors", j).alias("doc_j"), dice(at(i, j), at(i, i) + at(j, j)).alias("dice"))
-    every = F.flatten(F.transform(_numbers(n), lambda i: F.transform(F.filter(_numbers(n), lambda k: k > i), lambda j: one(i, j))))
-    return scan_masks(nodules, factor).select(F.inline(every)).groupBy("doc_i", "doc_j").agg(F.avg("dice").alias("mean_dice"), F.count("*").alias("meetings"))
+
+    def make(scans, number, unknown, doctors, counts):
+        import numpy as np
+        import pyarrow as pa
+
+        first, square = np.cumsum(number) - number, np.cumsum(number * number) - number * number
+        for n, rows in _blocks(number, 2, lambda n: n * (n - 1) // 2):
+            i, j = np.triu_indices(n, 1)
+            c = lambda x, y: counts[square[rows][:, None] + x * n + y].astype(float)  # noqa: E731, B023
+            score = (2 * c(i, j) + 1e-6) / (c(i, i) + c(j, j) + 1e-6)
+            who = lambda x: doctors.take(pa.array((first[rows][:, None] + x).ravel()))  # noqa: E731, B023
+            yield [who(i), who(j), pa.array(score.ravel())]
+
+    every = _per_scan(nodules, factor, make, "doc_i @, doc_j @, dice double")
+    return every.groupBy("doc_i", "doc_j").agg(F.avg("dice").alias("mean_dice"), F.count("*").alias("meetings"))
 
 
 def doctor_confidences(nodules: DataFrame, n_iters: int = 25, alpha: float = 0.7, factor: float = 0.3, start: float = 0.5, n_consiliums: int | None = None, seed: int = 42) -> DataFrame:
@@ -210,20 +345,24 @@ def doctor_confidences(nodules: DataFrame, n_iters: int = 25, alpha: float = 0.7
     Scores do not depend on confidences, so with all consiliums each iteration is c' = alpha c + (1 - alpha) (c + S) / W with
     the doctor's sums W of weights 1 / P(pair) and S of weight * score. With n_consiliums, each iteration
     takes its own hash-seeded sample of each doctor's consiliums. Doctors without any keep their confidence.
+
+    Scans of three doctors or more count. With all consiliums they are gone through once: sums per doctor and pair are what is left.
     """
-    doctors = Window.partitionBy("seriesuid")
-    rows = nodules.dropna(subset=["coordX", "coordY", "coordZ", "diameter_mm"]).withColumn("_n", F.size(F.collect_set("DoctorID").over(doctors))).where("_n >= 3").drop("_n")
-    pairs = rows.select("seriesuid", "DoctorID")
-    scores = consilium_scores(rows, factor).join(pair_probability(pairs), ["doc_i", "doc_j"])
-    weighed = scores.select("DoctorID", "seriesuid", "doc_i", "doc_j", (1 / F.col("probability")).alias("w"), "score")
-    everyone = pairs.select("DoctorID").distinct()
+    every = _consiliums(nodules.dropna(subset=["coordX", "coordY", "coordZ", "diameter_mm"]), factor)
     if n_consiliums is None:
-        sums = weighed.groupBy("DoctorID").agg(F.sum("w").alias("W"), F.sum(F.col("w") * F.col("score")).alias("S"))
-        steps = everyone.join(sums, "DoctorID", "left").select("DoctorID", F.array_repeat(F.struct("W", "S"), n_iters).alias("steps"))
+        tripled = every.groupBy("DoctorID", "doc_i", "doc_j").agg(F.count("score").alias("n"), F.sum("score").alias("s"), F.sum("first").alias("m"))
+        met = F.nullif(F.sum("m").over(Window.partitionBy("doc_i", "doc_j")), F.lit(0))
+        parts = tripled.withColumn("_met", met).groupBy("DoctorID").agg(F.sum(F.col("n") / F.col("_met")).alias("W"), F.sum(F.col("s") / F.col("_met")).alias("S"), F.sum("m").alias("m"))
+        total = F.sum("m").over(Window.partitionBy())  # one row a doctor
+        steps = parts.select("DoctorID", (total * F.col("W")).alias("W"), (total * F.col("S")).alias("S")).select("DoctorID", F.array_repeat(F.struct("W", "S"), n_iters).alias("steps"))
     else:
-        every = weighed.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(n_iters))))
+        met = every.groupBy("doc_i", "doc_j").agg(F.sum("first").alias("_met")).where("_met > 0")
+        whole = F.broadcast(met.agg(F.sum("_met").alias("_total")))  # one row
+        weighed = every.join(met.crossJoin(whole), ["doc_i", "doc_j"]).select("DoctorID", "seriesuid", "doc_i", "doc_j", (F.col("_total") / F.col("_met")).alias("w"), "score")
+        everyone = every.select("DoctorID").distinct()
+        repeated = weighed.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(n_iters))))
         order = Window.partitionBy("DoctorID", "iteration").orderBy(F.xxhash64(F.lit(seed), "iteration", "seriesuid", "doc_i", "doc_j"))
-        sample = every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n_consiliums)
+        sample = repeated.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n_consiliums)
         sums = sample.groupBy("DoctorID", "iteration").agg(F.sum("w").alias("W"), F.sum(F.col("w") * F.col("score")).alias("S"))
         listed = sums.groupBy("DoctorID").agg(F.sort_array(F.collect_list(F.struct("iteration", "W", "S"))).alias("steps"))
         steps = everyone.join(listed, "DoctorID", "left").select("DoctorID", F.coalesce(F.transform("steps", lambda s: F.struct(s["W"].alias("W"), s["S"].alias("S"))), F.array_repeat(F.struct(F.lit(None).cast("double").alias("W"), F.lit(None).cast("double").alias("S")), n_iters)).alias("steps"))

@@ -214,7 +214,7 @@ balls AS (SELECT DISTINCT seriesuid, doc, vx, vy, vz FROM it, range(-3, 4) a(i),
 
 @query(f"""WITH {BALLS} SELECT seriesuid, doc AS "DoctorID", count(*) AS voxels FROM balls GROUP BY 1, 2""")
 def annotation_mask_sizes(spark, d):
-    return conf.ball_voxels(nodules(spark, d), 0.1).groupBy("seriesuid", "DoctorID").agg(F.count("*").alias("voxels"))
+    return conf.mask_sizes(nodules(spark, d), 0.1)
 
 
 TABLE = f"""{BALLS}, n AS (SELECT seriesuid, doc, count(*) AS n FROM balls GROUP BY 1, 2),
