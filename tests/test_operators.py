@@ -452,3 +452,18 @@ def test_pivot_in_bits(spark):
     wide = annotations.annotators_pivot(pairs, range(70))
     assert {r.seriesuid: [k for k in range(70) if r[f"doctor_{k:03d}"]] for r in wide.collect()} == {"a": [0, 62, 63], "b": [], "c": [], None: [64]}
     assert plan(wide).count("Exchange hashpartitioning") == 1 and "pivotfirst" not in plan(wide)
+
+
+def test_first_rows_without_an_order_of_all(spark, scans, nodules, monkeypatch):
+    """Findings are picked before places are made, without a window over all; many are picked by shares of the draw, the same ones."""
+    starts = sampling.sample_starts(scans, nodules, (2, 2, 2), 5, 0.6, (1, 1, 1))
+    assert starts.where("nodule_id IS NOT NULL").count() == 3
+    assert "row_number" not in plan(sampling.sample_starts(scans, nodules, (2, 2, 2), 3, 1.0, (1, 1, 1)))
+    rows = spark.range(3000).withColumn("n", F.col("id").cast("string"))
+    u = sampling.uniform(1, F.col("id") % 1000)
+    want = sorted(r.id for r in rows.orderBy(u, "n").limit(1700).collect())
+    for top in (10_000, 50, 0):
+        monkeypatch.setattr(sampling, "TOP", top)
+        assert sorted(r.id for r in sampling._first(rows, 1700, u, "n").collect()) == want
+    none = sampling.sample_starts(scans, nodules, (2, 2, 2), 4, 0.0)
+    assert none.count() == 4 and none.where("nodule_id IS NULL").count() == 4 and none.columns == starts.columns

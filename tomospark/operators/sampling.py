@@ -144,16 +144,19 @@ def hex_name(length: int, seed: int, *keys) -> Column:
 def nodule_starts(nodules: DataFrame, scans: DataFrame, size, variance=None, seed: int = 42) -> DataFrame:
     """scan_id, nodule_id and start: boxes of size around findings (shifted at random), inside their scans."""
     rows = nodules.join(scans.select("scan_id", "shape", "spacing", "origin"), "scan_id")
+    if variance:
+        # one small expression for the three axes: spelled out, the generated method is too large for the JVM to compile
+        rows = rows.withColumn("_draws", F.transform(F.array(*map(F.lit, AXES)), lambda a: normal(seed, a, F.col("scan_id"), F.col("nodule_id"))))
     start = []
     for k, a in enumerate(AXES):
-        base = fit_start(F.col(f"center.{a}"), F.col(f"origin.{a}"), F.col(f"spacing.{a}"), size[k], dim(a)) if not variance else _shifted(a, size[k], variance[k], seed)
+        base = fit_start(F.col(f"center.{a}"), F.col(f"origin.{a}"), F.col(f"spacing.{a}"), size[k], dim(a)) if not variance else _shifted(a, size[k], variance[k], F.col("_draws")[k])
         start.append(F.when(base < 0, F.raise_error(F.lit("the crop is larger than the scan"))).otherwise(base))
     return rows.select("scan_id", "nodule_id", zyx(*start).alias("start"))
 
 
-def _shifted(a: str, size: int, variance: float, seed: int) -> Column:
+def _shifted(a: str, size: int, variance: float, draw: Column) -> Column:
     at = F.rint(F.abs(F.col(f"center.{a}") - F.col(f"origin.{a}")) / F.col(f"spacing.{a}")) - float(round(size / 2))
-    at = at + normal(seed, a, F.col("scan_id"), F.col("nodule_id")) * math.sqrt(int(variance))
+    at = at + draw * math.sqrt(int(variance))
     at = F.greatest(F.least(at, (dim(a) - size).cast("double")), F.lit(0.0))
     return F.when(dim(a) < size, F.lit(-1)).otherwise(at.cast("int"))
 
@@ -264,21 +267,48 @@ def sample_starts(scans: DataFrame, nodules: DataFrame, size, batch_size, share,
     if batch_size is None and share == 0:
         raise ValueError("share 0 needs a batch size")
     own = nodules.join(scans.select("scan_id"), "scan_id", "left_semi")
-    n = own.count()  # one number
-    whole = int(n / share) if batch_size is None else int(batch_size)
-    cancer = min(int(share * whole) if batch_size is not None else n, n)
-    placed = nodule_starts(own, scans, size, variance, seed)
-    if cancer < n:
-        order = Window.orderBy(uniform(seed, "pick", F.col("scan_id"), F.col("nodule_id")), "nodule_id")
-        placed = placed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cancer).drop("_n")
+    if batch_size is None:
+        # all findings; their number matters only to what is added to them
+        cancer = own.count() if share < 1 else 0
+        whole, picked = int(cancer / share), own
+    else:
+        whole, most = int(batch_size), int(share * batch_size)
+        cancer = own.limit(most).count() if most > 0 else 0  # one number; no more than most rows are looked at in a task
+        picked = own if 0 < cancer < most else _first(own, cancer, uniform(seed, "pick", F.col("scan_id"), F.col("nodule_id")), "nodule_id")
+    placed = nodule_starts(picked, scans, size, variance, seed)
     placed = placed.withColumn("crop_id", F.concat_ws("_", F.col("scan_id").cast("string"), hex_name(8, seed, F.col("nodule_id"))))
     if whole <= cancer:
         return placed
     others = random_starts(scans, whole - cancer, size, seed, histo)
     others = others.withColumn("crop_id", F.concat_ws("_", F.col("scan_id").cast("string"), hex_name(8, seed, F.lit("random"), F.col("id")))).drop("id")
+    if cancer == 0:
+        return others
     return placed.withColumn("nodule_id", F.col("nodule_id").cast("string")).unionByName(others)
 
 
+#: The most rows that each task keeps of an order.
+TOP = 100_000
+
+
+def _first(rows: DataFrame, k: int, u: Column, tie: str) -> DataFrame:
+    """The k rows of least u (in [0, 1)) and tie. No order of all rows is made: a task keeps k at most, or, for a large k,
+    all below a share of u that holds nearly so many and the first of the next share."""
+    if k <= TOP:
+        return rows.orderBy(u, tie).limit(k)
+    share = F.floor(u * 65536).cast("int")
+    below = 0
+    for at, n in sorted((r[0], r[1]) for r in rows.groupBy(share.alias("_share")).count().collect()):  # 65,536 numbers at most
+        if below + n >= k:
+            rest = _first(rows.where(share == at), k - below, u, tie) if k - below <= TOP else _ranked(rows.where(share == at), k - below, u, tie)
+            return rows.where(share < at).unionByName(rest)
+        below += n
+    return rows
+
+
+def _ranked(rows: DataFrame, k: int, u: Column, tie: str) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(Window.orderBy(u, tie))).where(F.col("_n") <= k).drop("_n")
+
+
 def sample_rounds(scans: DataFrame, nodules: DataFrame, rounds: int, seed: int = 42, **options) -> DataFrame:
     """sample_nodules so many times with other seeds, as one table with a column round."""
     size = options.get("size", (32, 64, 64))
