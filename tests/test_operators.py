@@ -467,3 +467,12 @@ def test_first_rows_without_an_order_of_all(spark, scans, nodules, monkeypatch):
         assert sorted(r.id for r in sampling._first(rows, 1700, u, "n").collect()) == want
     none = sampling.sample_starts(scans, nodules, (2, 2, 2), 4, 0.0)
     assert none.count() == 4 and none.where("nodule_id IS NULL").count() == 4 and none.columns == starts.columns
+
+
+@pytest.mark.parametrize("size", [(2, 3, 2), (9, 9, 3)])
+def test_crops_cut_whole_lines(spark, size):
+    made = files.load(spark, fmt=None, src={"s": np.arange(1000.0).reshape(10, 10, 10)})
+    starts = spark.createDataFrame([("s", "c", (1, 0, 4))], "scan_id string, crop_id string, start struct<z:int,y:int,x:int>")
+    crops = volumes.crops(made, starts, size)
+    want = np.arange(1000.0).reshape(10, 10, 10)[1 : 1 + size[0], : size[1], 4 : 4 + size[2]]
+    assert crops.first().images == want.ravel().tolist() and "slice(" in plan(crops)

@@ -75,8 +75,22 @@ def crops(scans: DataFrame, starts: DataFrame, size, columns=("images",), keep=(
     """
     joined = scans.join(starts.select("scan_id", "crop_id", "start", *keep), "scan_id")
     moved = joined.withColumn("origin", each(lambda a: F.col(f"origin.{a}") + F.col(f"spacing.{a}") * F.col(f"start.{a}")))
+    return moved.withColumns({c: _box(c, size) for c in columns}).withColumn("shape", _dims(size))
+
+
+def _box(column: str, size) -> Column:
+    """The box of size at start: lines along x are cut whole, where it lies inside the scan."""
+    nz, ny, nx = (int(k) for k in size)
     index = [_shifted(int(k), F.col(f"start.{a}")) for a, k in zip(AXES, size, strict=True)]
-    return gather(moved, *index, _dims(size), columns)
+    inside = F.col(column).isNotNull()
+    for a, k in zip(AXES, size, strict=True):
+        inside = inside & (F.col(f"start.{a}") >= 0) & (F.col(f"start.{a}") + int(k) <= dim(a))
+    line = lambda z, y: F.slice(F.col(column), ((F.col("start.z") + z) * dim("y") + F.col("start.y") + y) * dim("x") + F.col("start.x") + 1, nx)
+    if nz * ny <= 64:
+        cut = F.concat(*[line(z, y) for z in range(nz) for y in range(ny)]) if nz * ny else F.slice(F.col(column), 1, 0)
+    else:
+        cut = F.flatten(F.transform(span(nz), lambda z: F.flatten(F.transform(span(ny), lambda y: line(z, y)))))
+    return F.when(inside, cut).otherwise(take(F.col(column), F.col("shape"), *index))
 
 
 def axial_slice(scans: DataFrame, height: float, column: str = "images", mask: str | None = None) -> DataFrame:
